@@ -29,6 +29,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "es
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("ESTATELENS_DRIVER_MEMORY", "8g"))
         .config("spark.driver.bindAddress", "127.0.0.1")
