@@ -89,8 +89,8 @@ FROM {orders}
 SELECT p_partkey AS package_id,
   concat('pkg_', CAST(p_partkey AS VARCHAR(20)), '.dtsx') AS path,
   concat('<?xml version="1.0"?><DTS:Executable xmlns:DTS="urn:dts" DTS:ExecutableType="Microsoft.Package" DTS:ObjectName="E', CAST(p_partkey AS VARCHAR(20)), '">',
-   CASE WHEN p_partkey % 5 = 0 THEN '<DTS:Executable DTS:refId="Package', chr(92), 'A" DTS:ExecutableType="Microsoft.SendMailTask"/>' ELSE '' END,
-   CASE WHEN p_partkey % 7 = 0 THEN '<DTS:Executable DTS:refId="Package', chr(92), 'B" DTS:ExecutableType="Microsoft.FtpTask"/>' ELSE '' END,
+   CASE WHEN p_partkey % 5 = 0 THEN concat('<DTS:Executable DTS:refId="Package', chr(92), 'A" DTS:ExecutableType="Microsoft.SendMailTask"/>') ELSE '' END,
+   CASE WHEN p_partkey % 7 = 0 THEN concat('<DTS:Executable DTS:refId="Package', chr(92), 'B" DTS:ExecutableType="Microsoft.FtpTask"/>') ELSE '' END,
    repeat('<DTS:Executable DTS:ExecutableType="Microsoft.ExecuteSQLTask"><T SQLTask:SqlStatementSource="SELECT a FROM t WHERE a &lt; 5 AND b = &quot;x&quot;;"/></DTS:Executable>', CAST(p_partkey % 25 AS INT)),
    '<DTS:Executable DTS:ExecutableType="Microsoft.Pipeline"><component componentClassID="Microsoft.OLEDBSource"><property name="SqlCommand">SELECT a FROM s WHERE a &gt; 1</property></component>',
    CASE WHEN p_partkey % 3 = 0 THEN '<component componentClassID="Microsoft.Lookup"/>' ELSE '<component componentClassID="Microsoft.DerivedColumn"/>' END,
