@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from estatelens.cases import assessment, corpus_cases, estate_cases, scalar_cases
+from estatelens.cases import (
+    assessment,
+    corpus_cases,
+    estate_cases,
+    etl_cases,
+    flow_cases,
+    scalar_cases,
+)
 from estatelens.cases.base import Cases
 
-AREAS = [assessment, scalar_cases, corpus_cases, estate_cases]
+AREAS = [assessment, scalar_cases, corpus_cases, estate_cases, etl_cases, flow_cases]
 
 
 def all_cases() -> Cases:
