@@ -96,9 +96,8 @@ def _routed(t):
     return corpus.route_scripts(_scripts(t))
 
 
-def _ided(t):
-    scripts = _routed(t)
-    return corpus.object_ids(corpus.objects(scripts), scripts)
+def _documents(t):
+    return spread(t["documents"], "doc_id")
 
 
 @cases.add(
@@ -113,7 +112,7 @@ def corp_decode(t):
         F.encode("lang", "UTF-8"),
         F.unhex(F.lit("C328")),
     )
-    return t["documents"].select("doc_id", X.decode(stray).alias("text"))
+    return _documents(t).select("doc_id", X.decode(stray).alias("text"))
 
 
 @cases.add(
@@ -184,7 +183,7 @@ def corp_strip_comments(t):
 )
 def corp_strip_comments_documents(t):
     """The same over free text, whole documents."""
-    return t["documents"].select("doc_id", X.strip_comments(F.col("text")).alias("text"))
+    return _documents(t).select("doc_id", X.strip_comments(F.col("text")).alias("text"))
 
 
 @cases.add(
@@ -244,7 +243,7 @@ def corp_complexity(t):
 def corp_document_size(t):
     """Size and bucket of long free texts, all three buckets in use."""
     return (
-        t["documents"]
+        _documents(t)
         .select("doc_id", X.size_score(F.col("text")).alias("nodes"))
         .withColumn("complexity", X.size_bucket(F.col("nodes")))
     )
@@ -257,7 +256,7 @@ def corp_objects(t):
 
 @cases.add("corp_object_id", f"WITH {CLEAN_OBJECTS}, {IDS} SELECT path, pos, object_id FROM ided")
 def corp_object_id(t):
-    return _ided(t).select("path", "pos", "object_id")
+    return corpus.keyed_objects(_routed(t)).select("path", "pos", "object_id")
 
 
 @cases.add(
@@ -266,7 +265,7 @@ def corp_object_id(t):
   complexity AS categorization, nodes AS number_of_nodes, 'YES' AS included FROM ided""",
 )
 def corp_to_inventory(t):
-    return corpus.to_inventory(_ided(t))
+    return corpus.to_inventory(corpus.keyed_objects(_routed(t)))
 
 
 @cases.add(

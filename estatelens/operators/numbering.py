@@ -20,20 +20,22 @@ def newest_numbered(df: DataFrame, order: Sequence[Column], n: int, out: str = "
     return df.orderBy(*order).limit(n).withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
-def split_points(keys: DataFrame, key: str, splits: int = SPLITS, sample: int = SAMPLE) -> DataFrame:
+def split_points(
+    df: DataFrame, key: str, row: Sequence[str], splits: int = SPLITS, sample: int = SAMPLE
+) -> DataFrame:
     """One row with an array of at most ``splits - 1`` values that cut ``key`` into like parts.
 
-    They come from the ``sample`` keys with the smallest hash: a fixed number of rows whatever the
-    input, and the same ones on every run.
+    They come from the ``sample`` rows with the smallest hash of the ``row`` columns: a fixed number
+    of rows whatever the input, the same ones on every run, and an even sample of the rows, so the
+    parts are alike in rows and not only in keys.
     """
-    few = keys.select(F.col(key).alias("k")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    ordered = F.array_sort(F.collect_set("k"))
+    few = df.select(F.col(key).alias("k"), F.xxhash64(*row).alias("h")).orderBy("h", "k").limit(sample)
     size = F.size("k")
     cuts = F.transform(
         F.sequence(F.lit(1), F.lit(splits - 1)),
         lambda i: F.get(F.col("k"), F.floor(i * size / splits).cast("int")),
     )
-    return few.agg(ordered.alias("k")).select(
+    return few.agg(F.array_sort(F.collect_list("k")).alias("k")).select(
         F.when(size > 0, F.array_distinct(cuts)).otherwise(F.array().cast("array<string>"))
     )
 
@@ -42,7 +44,6 @@ def occurrence_number(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    keys: DataFrame | None = None,
     out: str = "occurrence",
     splits: int = SPLITS,
 ) -> DataFrame:
@@ -50,14 +51,13 @@ def occurrence_number(
 
     Rows of a group are cut into ranges of the first order column, numbered range by range, and
     shifted by the number of rows in earlier ranges. The numbers are exact whatever the cuts are;
-    the cuts only decide how evenly a hot group spreads. ``keys`` is a smaller relation to take the
-    cuts from (it has the first order column); by default ``df`` itself.
+    the cuts only decide how evenly a hot group spreads. The first order column is a text.
 
-    The group's sizes need a pass over ``df`` of their own, so hand in a stored relation when the
-    rows are costly to make.
+    Cuts and sizes need passes over ``df`` of their own, so hand in a stored relation when the rows
+    are costly to make.
     """
     first = order[0]
-    points = split_points(keys if keys is not None else df, first, splits).scalar()
+    points = split_points(df, first, order, splits).scalar()
     # sort_array rather than filter: a subquery may not stand inside a lambda
     part = F.array_position(F.sort_array(F.array_append(points, F.col(first))), F.col(first))
     cut = df.withColumn("_part", F.coalesce(part, F.lit(0)))

@@ -13,6 +13,7 @@ from estatelens.functions import scalars as S
 from estatelens.functions import text as X
 from estatelens.functions.storage_clause import strip_storage_clauses
 from estatelens.operators.numbering import SPLITS, occurrence_number
+from estatelens.session import durable
 
 COUNTERS = ["with_clauses", "statistics", "indexes", "varchar_max"]
 
@@ -161,27 +162,27 @@ def base_key(lower: bool = False) -> Column:
     return F.concat(F.lower(F.substring_index("object_type", " ", -1)), F.lit(":"), name)
 
 
-def object_ids(
-    objs: DataFrame,
-    scripts: DataFrame | None = None,
-    lower: bool = False,
-    splits: int = SPLITS,
-) -> DataFrame:
+def object_ids(objs: DataFrame, lower: bool = False, splits: int = SPLITS) -> DataFrame:
     """Objects with ``object_id``: the base key, and ``#n`` from its second occurrence on.
 
-    Occurrences count in path order, then statement order. ``scripts`` gives the paths the hot groups
-    are cut by, one row per file, without touching any text. On a large corpus store the objects
-    first: the keys then need only their slim columns.
+    Occurrences count in path order, then statement order. See ``keyed_objects`` for a whole corpus.
     """
     keyed = objs.select("*", base_key(lower).alias("_base"), path_order("path").alias("_order"))
-    keys = None if scripts is None else scripts.select(path_order("path").alias("_order"))
-    numbered = occurrence_number(
-        keyed, ["_base"], ["_order", "pos"], keys=keys, out="_n", splits=splits
-    )
+    numbered = occurrence_number(keyed, ["_base"], ["_order", "pos"], out="_n", splits=splits)
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("#"), F.col("_n").cast("string"))).otherwise("")
     return numbered.withColumn("object_id", F.concat("_base", suffix)).drop("_base", "_order", "_n")
 
 
+def keyed_objects(scripts: DataFrame, **options) -> DataFrame:
+    """Objects of a corpus with their keys, without their text.
+
+    The slim rows are stored in the checkpoint folder first: numbering reads them twice, and splitting
+    every script twice would cost far more than writing a few short columns once.
+    """
+    slim = durable(objects(scripts, **options).drop("source"))
+    return object_ids(slim)
+
+
 def to_inventory(objs_with_ids: DataFrame) -> DataFrame:
     """Objects as inventory rows."""
     return objs_with_ids.select(
