@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from estatelens.operators.merge import update_from
+from estatelens.operators.skew import spread_join
 
 ERROR_OUTPUT = "error"
 
@@ -89,13 +90,13 @@ def lookup(
 ) -> dict[str, DataFrame]:
     """Rows with the looked-up columns (``match``), and the rows without a match (``nomatch``).
 
-    A key that the reference holds several times gives one match. No join hint is set: a small
-    reference is broadcast by its measured size, a large one is sort-merged with skew handling.
+    A key that the reference holds several times gives one match. A small reference is broadcast by
+    its size; with a large one hot input keys are spread.
     """
     found = one_row_per_key(reference.select(*keys, *columns), keys)
     return {
-        "match": df.join(found, list(keys)).select(*df.columns, *columns),
-        "nomatch": df.join(found.select(*keys), list(keys), "left_anti"),
+        "match": spread_join(df, found, keys).select(*df.columns, *columns),
+        "nomatch": spread_join(df, found.select(*keys), keys, "left_anti"),
     }
 
 

@@ -12,15 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estatelens.operators.skew import spread_join
+
 
 def has_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def nullable(df: DataFrame, keys: Sequence[str]) -> bool:
-    return any(df.schema[k].nullable for k in keys)
-
-
 def one_per_key(df: DataFrame, keys: Sequence[str], payload: str = "_row") -> DataFrame:
     """One row per key with all columns in a struct; raises where a key occurs twice.
 
@@ -49,38 +47,37 @@ def merge(
     """Upsert: matched rows take ``update`` columns from the source, unmatched source rows are inserted.
 
     By default all columns are updated and inserted; a column left out of ``insert`` is null in new
-    rows. A key that occurs twice in the source raises. A null key matches nothing: such rows go round
-    the join, so they cannot pile up in one task of it.
+    rows. A key that occurs twice in the source raises. A null key matches nothing.
+
+    Two joins instead of one full outer join: the target rows meet the source in a join that spreads
+    hot target keys, which a full outer join cannot, and the source is checked against the target's
+    different keys only.
     """
     columns = target.columns
     update = [c for c in columns if c not in keys] if update is None else list(update)
     insert = columns if insert is None else list(insert)
     types = {f.name: f.dataType for f in target.schema.fields}
+    right = one_per_key(source.filter(~has_null(keys)), keys, "_new")
+    new = F.col("_new")
 
-    def new_row(value) -> list[Column]:
-        return [
-            (value(c) if c in insert else F.lit(None)).cast(types[c]).alias(c) for c in columns
+    kept = spread_join(target, right, keys, "left").select(
+        *[
+            F.when(new.isNotNull(), new[c].cast(types[c])).otherwise(F.col(c)).alias(c)
+            if c in update
+            else F.col(c)
+            for c in columns
         ]
+    )
 
-    open_target = target.filter(~has_null(keys)) if nullable(target, keys) else target
-    open_source = source.filter(~has_null(keys)) if nullable(source, keys) else source
-    left = open_target.select(*keys, F.struct(*columns).alias("_old"))
-    right = one_per_key(open_source, keys, "_new")
-    old, new = F.col("_old"), F.col("_new")
-
-    def merged(c: str) -> Column:
-        changed = new[c].cast(types[c]) if c in update else old[c]
-        added = new[c].cast(types[c]) if c in insert else F.lit(None).cast(types[c])
-        return (
-            F.when(old.isNull(), added).when(new.isNull(), old[c]).otherwise(changed).alias(c)
+    def added(rows: DataFrame, value) -> DataFrame:
+        return rows.select(
+            *[(value(c) if c in insert else F.lit(None)).cast(types[c]).alias(c) for c in columns]
         )
 
-    state = left.join(right, list(keys), "full_outer").select(*[merged(c) for c in columns])
-    if nullable(target, keys):
-        state = state.unionByName(target.filter(has_null(keys)))
-    if nullable(source, keys):
-        state = state.unionByName(source.filter(has_null(keys)).select(*new_row(F.col)))
-    return state
+    known = target.select(*keys).distinct()
+    inserted = added(right.join(known, list(keys), "left_anti"), lambda c: new[c])
+    keyless = added(source.filter(has_null(keys)), F.col)
+    return kept.unionByName(inserted).unionByName(keyless)
 
 
 def update_from(
@@ -93,7 +90,7 @@ def update_from(
     right = one_per_key(source.filter(~has_null(keys)), keys, "_new")
     new = F.col("_new")
     types = {f.name: f.dataType for f in target.schema.fields}
-    return target.join(right, list(keys), "left").select(
+    return spread_join(target, right, keys, "left").select(
         *[
             F.when(new.isNotNull(), new[assign[c]].cast(types[c])).otherwise(F.col(c)).alias(c)
             if c in assign

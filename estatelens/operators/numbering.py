@@ -60,22 +60,21 @@ def occurrence_number(
     points = split_points(df, first, order, splits).scalar()
     # sort_array rather than filter: a subquery may not stand inside a lambda
     part = F.array_position(F.sort_array(F.array_append(points, F.col(first))), F.col(first))
-    cut = df.withColumn("_part", F.coalesce(part, F.lit(0)))
-    sizes = cut.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct instead of several columns: equal even where a part of it is null
+    cut = df.withColumns(
+        {"_part": F.coalesce(part, F.lit(0)), "_group": F.struct(*[F.col(g) for g in group])}
+    )
+    sizes = cut.groupBy("_group", "_part").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_part").alias("_gpart"),
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"),
+        "_group", "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
     )
-    same = F.col("_part") == F.col("_gpart")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     numbered = cut.withColumn(
-        "_within", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+        "_within", F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order))
     )
+    # the rows are already partitioned and sorted for a merge; only the few shifts move
     return (
-        numbered.join(shifts, same)
+        numbered.join(shifts.hint("merge"), ["_group", "_part"])
         .withColumn(out, (F.col("_within") + F.col("_shift")).cast("bigint"))
-        .drop("_part", "_gpart", "_within", "_shift", *[f"_g{i}" for i in range(len(group))])
+        .drop("_group", "_part", "_within", "_shift")
     )

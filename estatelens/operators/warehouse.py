@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from estatelens.functions import scalars as S
 from estatelens.operators.merge import merge, replace_where, update_from
 from estatelens.operators.numbering import newest_numbered
+from estatelens.operators.skew import spread_join
 
 Moment = datetime | str | None
 
@@ -135,7 +136,7 @@ def update_inventory(stock: DataFrame, movements: DataFrame, as_of: Moment = Non
     keys = ["product_id", "warehouse_id"]
     taken = movements.groupBy(*keys).agg(F.sum("quantity").alias("_taken"))
     moved = F.col("_taken").isNotNull()
-    return stock.join(taken, keys, "left").select(
+    return spread_join(stock, taken, keys, "left").select(
         *keys,
         (F.col("quantity_on_hand") - F.coalesce("_taken", F.lit(0))).alias("quantity_on_hand"),
         F.when(moved, S.as_of(as_of)).otherwise(_stamp(stock)).alias("last_modified"),
