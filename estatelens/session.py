@@ -25,8 +25,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "estatelens") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, name: str = "estatelens", **extra: str
+) -> SparkSession:
+    """A local session for tests and the benchmark; ``extra`` settings have ``__`` for dots."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -37,7 +39,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "es
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
-    for key, value in RUNTIME_CONF.items():
+    settings = RUNTIME_CONF | {key.replace("__", "."): value for key, value in extra.items()}
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
