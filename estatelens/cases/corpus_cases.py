@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from estatelens.cases.base import Cases
@@ -9,6 +11,8 @@ from estatelens.functions import text as X
 from estatelens.functions.storage_clause import strip_storage_clauses
 from estatelens.operators.partitioning import spread
 from estatelens.plans import corpus
+from estatelens.session import ensure_checkpoint_dir
+from estatelens.sources import corpus as corpus_files
 
 cases = Cases()
 
@@ -100,6 +104,27 @@ def _documents(t):
     return spread(t["documents"], "doc_id")
 
 
+@cases.add(
+    "corp_scan",
+    r"""SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(length(regexp_replace(text, '\r\n?', chr(10), 'g')) + 1) AS BIGINT) AS chars,
+  CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM {documents} GROUP BY source, lang""",
+)
+def corp_scan(t):
+    """All documents written as text files by source and language, and scanned back from the folders."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/scan-{uuid.uuid4().hex}"
+    texts = t["documents"].select("source", "lang", "text")
+    texts.write.partitionBy("source", "lang").option("maxRecordsPerFile", 20_000).text(folder)
+    text = F.col("text")
+    return (
+        corpus_files.scan(t.spark, folder, "*.txt")
+        .groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
+        .agg(
+            F.sum(F.length(text)).alias("chars"),
+            F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"),
+        )
+    )
+
+
 @cases.add(
     "corp_decode",
     r"""SELECT doc_id, regexp_replace(concat(text, chr(65533), chr(13), chr(10), lang, chr(65533), '('), '\r\n?', chr(10), 'g') AS text FROM {documents}""",
