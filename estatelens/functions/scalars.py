@@ -44,13 +44,9 @@ def normalize_header(name: str) -> str:
 
 def to_number(c: str | Column) -> Column:
     """Lenient whole number: text that is no number, and null, give 0; fractions are cut."""
-    value = F.expr("try_cast({} as double)".format(_quoted(c))) if isinstance(c, str) else c.try_cast("double")
-    finite = F.when(F.isnan(value), None).otherwise(value)
-    return F.coalesce(finite.cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    text = _col(f"`{c}`" if isinstance(c, str) else c).cast("string")
+    number = F.when(F.rlike(text, F.lit(V.NUMBER)), text.try_cast("double"))
+    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 # -- strings

@@ -27,9 +27,21 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def up_to_last(c: Column, mark: str) -> tuple[Column, Column]:
+    """The text up to the last ``mark`` (a pattern), and the rest.
+
+    A pattern that has to end in the mark is run on the first part only. In the rest it could only
+    search on to the end of the text in vain, once per place it might begin.
+    """
+    head = F.regexp_extract(c, rf"(?s)^.*(?:{mark})", 0)
+    return head, F.substring(c, F.length(head) + 1, F.lit(2**31 - 1))
+
+
 def strip_comments(c: Column) -> Column:
     """Block comments out first, then line comments; quotes are not looked at."""
-    return F.regexp_replace(F.regexp_replace(c, V.BLOCK_COMMENT, ""), V.LINE_COMMENT, "")
+    head, rest = up_to_last(c, r"\*/")
+    bare = F.concat(F.regexp_replace(head, V.BLOCK_COMMENT, ""), rest)
+    return F.regexp_replace(F.when(c.contains("/*"), bare).otherwise(c), V.LINE_COMMENT, "")
 
 
 # -- batches and statements

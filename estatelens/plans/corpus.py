@@ -46,9 +46,16 @@ def _clean(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``text`` cleaned in place and the four counters beside it."""
     c = F.col(text)
 
-    def remove(frame: DataFrame, pattern: str, counter: str, replacement: str = "") -> DataFrame:
-        counted = frame.withColumn(counter, F.regexp_count(c, F.lit(pattern)).cast("bigint"))
-        return counted.withColumn(text, F.regexp_replace(c, pattern, replacement))
+    def remove(frame: DataFrame, pattern: str, counter: str) -> DataFrame:
+        # statements end in a semicolon, so the text after the last one is not searched
+        head, rest = X.up_to_last(c, ";")
+        cut = frame.withColumns({"_head": head, "_rest": rest})
+        return cut.withColumns(
+            {
+                counter: F.regexp_count("_head", F.lit(pattern)).cast("bigint"),
+                text: F.concat(F.regexp_replace("_head", pattern, ""), F.col("_rest")),
+            }
+        ).drop("_head", "_rest")
 
     stripped = df.withColumn("_stripped", strip_storage_clauses(c)).withColumns(
         {
@@ -59,7 +66,9 @@ def _clean(df: DataFrame, text: str) -> DataFrame:
     out = stripped.drop("_stripped")
     out = remove(out, V.CREATE_STATISTICS, "statistics")
     out = remove(out, V.CREATE_INDEX, "indexes")
-    out = remove(out, V.VARCHAR_MINUS_ONE, "varchar_max", "$1(max)")
+    out = out.withColumn(
+        "varchar_max", F.regexp_count(c, F.lit(V.VARCHAR_MINUS_ONE)).cast("bigint")
+    ).withColumn(text, F.regexp_replace(c, V.VARCHAR_MINUS_ONE, "$1(max)"))
     out = out.withColumn(text, F.regexp_replace(c, V.CLOSE_THEN_SEMICOLON, ");"))
     return out.withColumn(text, F.regexp_replace(c, V.BLANK_LINES, "\n\n"))
 

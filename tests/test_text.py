@@ -259,3 +259,47 @@ def test_regrouped_files_keep_order(frame):
 def test_function_calls(frame):
     text = "SELECT ISNULL(SUM(x), 0), 'f(x)', dbo.g (1) -- h(2)"
     assert run(frame, [text], X.function_calls) == [["ISNULL", "SUM", "G"]]
+
+
+HOSTILE = {
+    "open comments": "/* x " * 60_000,
+    "comment ends only": "*/ " * 60_000,
+    "statistics without an end": "CREATE STATISTICS s ON t (a)\nGO\n" * 40_000,
+    "index without an end": "CREATE INDEX i ON t (a)\nGO\n" * 40_000,
+    "hints": "SELECT 1 FROM t WITH (NOLOCK) " * 40_000,
+    "open storage clauses": "WITH (HEAP " * 40_000,
+    "open clauses": "WITH ( x " * 40_000 + "HEAP",
+    "one long word": "a" * 1_000_000,
+    "blank lines after a bracket": ")" + "\n" * 50_000 + "x",
+    "open quotes": "' \" " * 60_000 + "'",
+    "dashes": "-" * 500_000 + "\n" + "/" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts_take_linear_time(frame, name):
+    """Each would take many minutes if a pattern searched on to the end from every place."""
+    import time
+
+    started = time.time()
+    scripts = frame([("a.dsql", HOSTILE[name])], "path string, text string")
+    corpus.objects(corpus.route_scripts(scripts)).count()
+    scripts.select(X.function_calls(F.col("text")), X.size_score(F.col("text"))).collect()
+    assert time.time() - started < 60
+
+
+def test_comment_stripping_like_python(frame):
+    rng = random.Random(11)
+    parts = ["/*", "*/", "--", "\n", "a", "*", "/", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    for text, got in zip(texts, run(frame, texts, X.strip_comments)):
+        want = re.sub(r"--[^\n]*", "", re.sub(r"/\*.*?\*/", "", text, flags=re.S))
+        assert got == want, text
+
+
+def test_lenient_numbers(frame):
+    from estatelens.functions import scalars as S
+
+    texts = ["12", " 12.9 ", "-3.5", "1e3", "", "x", None, "12d", "inf", "NaN", "1e300", "0x10"]
+    got = run(frame, texts, S.to_number)
+    assert got == [12, 12, -3, 1000, 0, 0, 0, 0, 0, 0, 0, 0]
