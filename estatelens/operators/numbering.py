@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 64
-SAMPLE = 4096
+SAMPLE = 8192
+PARTS = 256
 
 
 def newest_numbered(df: DataFrame, order: Sequence[Column], n: int, out: str = "rn") -> DataFrame:
@@ -20,23 +20,34 @@ def newest_numbered(df: DataFrame, order: Sequence[Column], n: int, out: str = "
     return df.orderBy(*order).limit(n).withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
-def split_points(
-    df: DataFrame, key: str, row: Sequence[str], splits: int = SPLITS, sample: int = SAMPLE
+def hot_cuts(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    sample: int = SAMPLE,
+    parts: int = PARTS,
 ) -> DataFrame:
-    """One row with an array of at most ``splits - 1`` values that cut ``key`` into like parts.
+    """One row with a map: hash of a hot group -> values of the first order column that cut it.
 
-    They come from the ``sample`` rows with the smallest hash of the ``row`` columns: a fixed number
-    of rows whatever the input, the same ones on every run, and an even sample of the rows, so the
-    parts are alike in rows and not only in keys.
+    A group is hot when it holds more than one ``parts``-th of the rows, and its cuts make pieces of
+    about that size. Both are read off the ``sample`` rows with the smallest hash: an even sample of
+    fixed size, the same one on every run, so the map has at most ``parts`` groups and cuts.
     """
-    few = df.select(F.col(key).alias("k"), F.xxhash64(*row).alias("h")).orderBy("h", "k").limit(sample)
-    size = F.size("k")
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.lit(splits - 1)),
-        lambda i: F.get(F.col("k"), F.floor(i * size / splits).cast("int")),
+    each = max(1, sample // parts)
+    few = (
+        df.select(
+            F.xxhash64(*group).alias("g"),
+            F.col(order[0]).alias("k"),
+            F.xxhash64(*group, *order).alias("h"),
+        )
+        .orderBy("h", "g", "k")
+        .limit(sample)
     )
-    return few.agg(F.array_sort(F.collect_list("k")).alias("k")).select(
-        F.when(size > 0, F.array_distinct(cuts)).otherwise(F.array().cast("array<string>"))
+    seen = few.groupBy("g").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    places = F.sequence(F.lit(each), F.size("ks") - 1, F.lit(each))
+    cuts = F.array_distinct(F.transform(places, lambda i: F.get("ks", i)))
+    return seen.filter(F.size("ks") > each).agg(
+        F.map_from_entries(F.collect_list(F.struct("g", cuts)))
     )
 
 
@@ -45,36 +56,40 @@ def occurrence_number(
     group: Sequence[str],
     order: Sequence[str],
     out: str = "occurrence",
-    splits: int = SPLITS,
+    sample: int = SAMPLE,
+    parts: int = PARTS,
 ) -> DataFrame:
     """The n-th occurrence of ``group`` in ``order``, also when one group holds most rows.
 
-    Rows of a group are cut into ranges of the first order column, numbered range by range, and
-    shifted by the number of rows in earlier ranges. The numbers are exact whatever the cuts are;
-    the cuts only decide how evenly a hot group spreads. The first order column is a text.
+    A hot group is cut into ranges of the first order column, numbered range by range, and shifted by
+    the number of its rows in earlier ranges; all other groups are numbered as they are. The numbers
+    are exact whatever the cuts are; cuts only decide how evenly a hot group spreads.
 
     Cuts and sizes need passes over ``df`` of their own, so hand in a stored relation when the rows
     are costly to make.
     """
-    first = order[0]
-    points = split_points(df, first, order, splits).scalar()
-    # sort_array rather than filter: a subquery may not stand inside a lambda
-    part = F.array_position(F.sort_array(F.array_append(points, F.col(first))), F.col(first))
+    first = F.col(order[0])
+    cuts = F.try_element_at(
+        hot_cuts(df, group, order, sample, parts).scalar(), F.xxhash64(*[F.col(g) for g in group])
+    )
+    # a subquery may not stand inside a lambda, so the place is found by sorting the value in
+    place = F.array_position(F.sort_array(F.array_append(cuts, first)), first)
     # one struct instead of several columns: equal even where a part of it is null
     cut = df.withColumns(
-        {"_part": F.coalesce(part, F.lit(0)), "_group": F.struct(*[F.col(g) for g in group])}
+        {
+            "_group": F.struct(*[F.col(g) for g in group]),
+            "_part": F.when(cuts.isNotNull(), place).otherwise(0),
+        }
     )
-    sizes = cut.groupBy("_group", "_part").agg(F.count("*").alias("_size"))
+    sizes = cut.filter(F.col("_part") > 0).groupBy("_group", "_part").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        "_group", "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
-    )
+    shifts = sizes.select("_group", "_part", F.sum("_size").over(earlier).alias("_shift"))
     numbered = cut.withColumn(
         "_within", F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order))
     )
-    # the rows are already partitioned and sorted for a merge; only the few shifts move
+    number = F.col("_within") + F.coalesce("_shift", F.lit(0))
     return (
-        numbered.join(shifts.hint("merge"), ["_group", "_part"])
-        .withColumn(out, (F.col("_within") + F.col("_shift")).cast("bigint"))
+        numbered.join(shifts, ["_group", "_part"], "left")
+        .withColumn(out, number.cast("bigint"))
         .drop("_group", "_part", "_within", "_shift")
     )

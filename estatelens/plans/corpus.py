@@ -12,7 +12,7 @@ from estatelens import fixed_values as V
 from estatelens.functions import scalars as S
 from estatelens.functions import text as X
 from estatelens.functions.storage_clause import strip_storage_clauses
-from estatelens.operators.numbering import SPLITS, occurrence_number
+from estatelens.operators.numbering import occurrence_number
 from estatelens.session import durable
 
 COUNTERS = ["with_clauses", "statistics", "indexes", "varchar_max"]
@@ -46,16 +46,19 @@ def _clean(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``text`` cleaned in place and the four counters beside it."""
     c = F.col(text)
 
+    def count(frame: DataFrame, counter: str, before: str, after: str, pattern: str) -> DataFrame:
+        # most texts hold no match, and then need no second search
+        found = F.regexp_count(before, F.lit(pattern)).cast("bigint")
+        changed = F.col(before) != F.col(after)
+        return frame.withColumn(counter, F.when(changed, found).when(c.isNotNull(), 0).cast("bigint"))
+
     def remove(frame: DataFrame, pattern: str, counter: str) -> DataFrame:
         # statements end in a semicolon, so the text after the last one is not searched
         head, rest = X.up_to_last(c, ";")
         cut = frame.withColumns({"_head": head, "_rest": rest})
-        return cut.withColumns(
-            {
-                counter: F.regexp_count("_head", F.lit(pattern)).cast("bigint"),
-                text: F.concat(F.regexp_replace("_head", pattern, ""), F.col("_rest")),
-            }
-        ).drop("_head", "_rest")
+        done = cut.withColumn("_done", F.regexp_replace("_head", pattern, ""))
+        counted = count(done, counter, "_head", "_done", pattern)
+        return counted.withColumn(text, F.concat("_done", "_rest")).drop("_head", "_rest", "_done")
 
     stripped = df.withColumn("_stripped", strip_storage_clauses(c)).withColumns(
         {
@@ -66,9 +69,9 @@ def _clean(df: DataFrame, text: str) -> DataFrame:
     out = stripped.drop("_stripped")
     out = remove(out, V.CREATE_STATISTICS, "statistics")
     out = remove(out, V.CREATE_INDEX, "indexes")
-    out = out.withColumn(
-        "varchar_max", F.regexp_count(c, F.lit(V.VARCHAR_MINUS_ONE)).cast("bigint")
-    ).withColumn(text, F.regexp_replace(c, V.VARCHAR_MINUS_ONE, "$1(max)"))
+    out = out.withColumn("_done", F.regexp_replace(c, V.VARCHAR_MINUS_ONE, "$1(max)"))
+    out = count(out, "varchar_max", text, "_done", V.VARCHAR_MINUS_ONE)
+    out = out.withColumn(text, F.col("_done")).drop("_done")
     out = out.withColumn(text, F.regexp_replace(c, V.CLOSE_THEN_SEMICOLON, ");"))
     return out.withColumn(text, F.regexp_replace(c, V.BLANK_LINES, "\n\n"))
 
@@ -171,13 +174,13 @@ def base_key(lower: bool = False) -> Column:
     return F.concat(F.lower(F.substring_index("object_type", " ", -1)), F.lit(":"), name)
 
 
-def object_ids(objs: DataFrame, lower: bool = False, splits: int = SPLITS) -> DataFrame:
+def object_ids(objs: DataFrame, lower: bool = False, **spreading: int) -> DataFrame:
     """Objects with ``object_id``: the base key, and ``#n`` from its second occurrence on.
 
     Occurrences count in path order, then statement order. See ``keyed_objects`` for a whole corpus.
     """
     keyed = objs.select("*", base_key(lower).alias("_base"), path_order("path").alias("_order"))
-    numbered = occurrence_number(keyed, ["_base"], ["_order", "pos"], out="_n", splits=splits)
+    numbered = occurrence_number(keyed, ["_base"], ["_order", "pos"], out="_n", **spreading)
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("#"), F.col("_n").cast("string"))).otherwise("")
     return numbered.withColumn("object_id", F.concat("_base", suffix)).drop("_base", "_order", "_n")
 

@@ -11,7 +11,7 @@ from estatelens.operators import merge as M
 from estatelens.operators import quality as Q
 from estatelens.operators import skew
 from estatelens.operators import warehouse as W
-from estatelens.operators.numbering import newest_numbered, occurrence_number
+from estatelens.operators.numbering import hot_cuts, newest_numbered, occurrence_number
 
 
 def rows(df):
@@ -21,15 +21,15 @@ def rows(df):
 # -- numbering
 
 
-@pytest.mark.parametrize("splits", [2, 7, 64])
-def test_occurrences_with_a_hot_and_a_null_group(frame, splits):
-    rng = random.Random(splits)
+@pytest.mark.parametrize("sample,parts", [(8192, 256), (100, 10), (50, 50), (8192, 1)])
+def test_occurrences_with_a_hot_and_a_null_group(frame, sample, parts):
+    rng = random.Random(parts)
     data = [
         (rng.choice(["hot", "hot", "hot", "a", "b", None]), f"p{rng.randint(0, 400):03}", i)
         for i in range(3000)
     ]
     got = occurrence_number(
-        frame(data, "g string, o string, i int"), ["g"], ["o", "i"], splits=splits
+        frame(data, "g string, o string, i int"), ["g"], ["o", "i"], sample=sample, parts=parts
     )
     seen, want = Counter(), []
     for g, o, i in sorted(data, key=lambda r: (r[1], r[2])):
@@ -38,18 +38,16 @@ def test_occurrences_with_a_hot_and_a_null_group(frame, splits):
     assert rows(got) == sorted(want, key=repr)
 
 
-def test_hot_group_is_cut(frame):
-    """The rows of one group go to many window partitions, none of them large."""
-    df = frame([("hot", f"p{i:05}", i) for i in range(8000)], "g string, o string, i int")
-    plan = occurrence_number(df, ["g"], ["o", "i"], splits=16)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(_group" in text and "_part" in text
-    from estatelens.operators.numbering import split_points
-
-    points = split_points(df, "o", ["o", "i"], 16).first()[0]
+def test_hot_group_is_cut_and_others_are_not(frame):
+    """A hot group gets even pieces of its own; a rare one stays whole."""
+    data = [("hot", f"p{i:05}", i) for i in range(9000)] + [(f"g{i}", f"q{i}", i) for i in range(900)]
+    df = frame(data, "g string, o string, i int")
+    cuts = hot_cuts(df, ["g"], ["o", "i"], sample=1000, parts=50).first()[0]
+    assert len(cuts) == 1
+    (points,) = cuts.values()
     part = F.array_position(F.sort_array(F.array_append(F.lit(points), F.col("o"))), F.col("o"))
-    sizes = [r[0] for r in df.groupBy(part).count().select("count").collect()]
-    assert len(sizes) >= 15 and max(sizes) < 8000 / 16 * 2
+    sizes = [r[0] for r in df.filter("g = 'hot'").groupBy(part).count().select("count").collect()]
+    assert 30 <= len(sizes) <= 50 and max(sizes) < 3 * 9900 / 50
 
 
 def test_newest_numbered_sorts_before_numbering(frame):

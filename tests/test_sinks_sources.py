@@ -170,8 +170,9 @@ def test_durable_uses_the_named_folder(spark):
     cut = session.durable(spark.range(3))
     assert cut.count() == 3
     assert spark.sparkContext.getCheckpointDir()
-    plan = cut._jdf.queryExecution().optimizedPlan().toString()
-    assert "Range" not in plan
+    folder = spark.sparkContext.getCheckpointDir()
+    assert cut.inputFiles() and all(folder.split("/")[-1] in name for name in cut.inputFiles())
+    assert session.durable(spark.range(0)).count() == 0
 
 
 def test_outcome_table_life_cycle(spark, table):
