@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens.cases.views import Inputs, ansi
+from estatelens.session import configure
 
 
 @dataclass
@@ -22,7 +23,7 @@ class Cases:
     def add(self, name: str, check: str | None = None):
         def register(build: Callable[[Inputs], DataFrame]):
             def run(spark, sf_dir) -> DataFrame:
-                return portable(build(Inputs(spark, sf_dir)))
+                return portable(build(Inputs(configure(spark), sf_dir)))
 
             run.__name__ = name
             run.__doc__ = build.__doc__

@@ -68,28 +68,37 @@ def occurrence_number(
     Cuts and sizes need passes over ``df`` of their own, so hand in a stored relation when the rows
     are costly to make.
     """
-    first = F.col(order[0])
+    first, key = F.col(order[0]), F.struct(*[F.col(g) for g in group])
     cuts = F.try_element_at(
         hot_cuts(df, group, order, sample, parts).scalar(), F.xxhash64(*[F.col(g) for g in group])
     )
-    # a subquery may not stand inside a lambda, so the place is found by sorting the value in
-    place = F.array_position(F.sort_array(F.array_append(cuts, first)), first)
-    # one struct instead of several columns: equal even where a part of it is null
-    cut = df.withColumns(
-        {
-            "_group": F.struct(*[F.col(g) for g in group]),
-            "_part": F.when(cuts.isNotNull(), place).otherwise(0),
-        }
-    )
-    sizes = cut.filter(F.col("_part") > 0).groupBy("_group", "_part").agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_group", "_part", F.sum("_size").over(earlier).alias("_shift"))
-    numbered = cut.withColumn(
-        "_within", F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order))
-    )
-    number = F.col("_within") + F.coalesce("_shift", F.lit(0))
+    # a column of its own: a subquery may not stand inside a higher-order function
+    marked = df.withColumn("_cuts", cuts)
+    place = F.size(F.filter("_cuts", lambda c: c <= first)) + 1
+    shifts = part_shifts(marked.filter("_cuts IS NOT NULL").select(key.alias("g"), place.alias("p")))
+
+    cut = marked.withColumn("_part", F.when(F.col("_cuts").isNotNull(), place).otherwise(0))
+    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    shift = F.get(F.try_element_at(shifts.scalar(), key), F.col("_part") - 1)
+    number = F.col("_within") + F.when(F.col("_part") > 0, shift).otherwise(0)
     return (
-        numbered.join(shifts, ["_group", "_part"], "left")
+        cut.drop("_cuts")
+        .withColumn("_within", within)
         .withColumn(out, number.cast("bigint"))
-        .drop("_group", "_part", "_within", "_shift")
+        .drop("_part", "_within")
+    )
+
+
+def part_shifts(rows: DataFrame) -> DataFrame:
+    """One row with a map: hot group ``g`` -> for each part ``p``, its rows in all parts before it."""
+    sizes = rows.groupBy("g", "p").agg(F.count("*").alias("n"))
+    per_group = sizes.groupBy("g").agg(F.collect_list(F.struct("p", "n")).alias("parts"))
+    before = F.transform(
+        F.sequence(F.lit(1), F.array_max("parts.p")),
+        lambda p: F.aggregate(
+            F.filter("parts", lambda x: x["p"] < p),
+            F.lit(0).cast("bigint"),
+            lambda total, x: total + x["n"],
+        ),
     )
+    return per_group.agg(F.map_from_entries(F.collect_list(F.struct("g", before))))

@@ -15,7 +15,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split skewed join partitions also where that costs a later shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -40,7 +39,7 @@ def local_session(
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
-    settings = RUNTIME_CONF | {key.replace("__", "."): value for key, value in extra.items()}
+    settings = RUNTIME_CONF | {"spark.sql.session.timeZone": "UTC"} | {key.replace("__", "."): value for key, value in extra.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -70,7 +69,7 @@ def durable(df: DataFrame) -> DataFrame:
 
     Cuts the lineage without depending on any executor staying alive, and lets a table be overwritten
     by a plan that read it. Unlike a checkpoint of rows it is read back column by column, and its size
-    is known to the optimizer.
+    is known to the optimizer. Like checkpoints, the files stay until the cluster clears the folder.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/durable-{uuid.uuid4().hex}"
     df.write.parquet(folder)
