@@ -51,7 +51,8 @@ def merge(
 
     Two joins instead of one full outer join: the target rows meet the source in a join that spreads
     hot target keys, which a full outer join cannot, and the source is checked against the target's
-    different keys only.
+    different keys only. Both sides are read more than once, so store one that is costly to make
+    (``session.durable``).
     """
     columns = target.columns
     update = [c for c in columns if c not in keys] if update is None else list(update)

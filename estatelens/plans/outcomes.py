@@ -10,6 +10,7 @@ from estatelens import schemas
 from estatelens.functions import scalars as S
 from estatelens.operators.merge import merge
 from estatelens.plans.packages import count_cells, unsupported_types
+from estatelens.session import durable
 
 KEY = ["file_name"]
 
@@ -118,5 +119,9 @@ def merge_outcomes(stored: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def outcomes_lifecycle(sql_rows: DataFrame, package_rows: DataFrame) -> DataFrame:
-    """A run's outcome table: SQL rows replace everything, package rows are merged in after."""
-    return merge_outcomes(sql_rows, package_rows)
+    """A run's outcome table: SQL rows replace everything, package rows are merged in after.
+
+    Both are stored first: a merge reads its sides several times, and making the package rows takes
+    joins over their texts.
+    """
+    return merge_outcomes(durable(sql_rows), durable(package_rows))
