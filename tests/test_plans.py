@@ -35,8 +35,9 @@ def test_shape(spark, name):
     assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
     python = re.findall(r"ArrowEvalPython|MapInArrow|BatchEvalPython|FlatMapGroups\w+|MapInPandas", text)
     assert bool(python) == (name in PYTHON)
-    if re.search(r"\bWindow \[", text) and "SinglePartition" in text.split("Subqueries")[0]:
-        pytest.fail("a window over one partition")
+    for window in text.split(" Window [")[1:]:
+        below = re.search(r"Exchange \w+|TakeOrderedAndProject", window)
+        assert below and below[0] != "Exchange SinglePartition", "a window over one partition"
 
 
 def test_numbering_takes_the_top_first(spark):
