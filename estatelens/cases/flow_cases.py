@@ -52,6 +52,16 @@ def flow_destination(t):
     return t["orders"].groupBy(destination.alias("destination")).agg(F.count("*").alias("rows"))
 
 
+@cases.add(
+    "flow_append",
+    """SELECT account_code, account_name, CAST(posting_date AS VARCHAR) AS posting_date, amount FROM {etl_fact_finance}
+UNION ALL SELECT account_code, NULL, CAST(posting_date AS VARCHAR), amount FROM {etl_stage_finance}""",
+)
+def flow_append(t):
+    """A destination after a load whose rows lack one column."""
+    return D.destination(t["etl_fact_finance"], t["etl_stage_finance"].drop("account_name"))
+
+
 REFERENCE = "(SELECT ps.s_nationkey, min(ps.s_name) AS s_name FROM {supplier} ps WHERE ps.s_acctbal > 5000 GROUP BY ps.s_nationkey)"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from estatelens.operators.merge import update_from
 from estatelens.operators.skew import spread_join
+from estatelens.schemas import conform
 
 ERROR_OUTPUT = "error"
 
@@ -21,6 +22,11 @@ def source_query(spark: SparkSession, text: str, args=None, **relations: DataFra
     return spark.sql(text, args, **relations)
 
 
+def destination(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """A table after rows were appended to it: columns by name, types of the table, missing ones null."""
+    return table.unionByName(conform(rows, table.schema))
+
+
 # -- row by row
 
 

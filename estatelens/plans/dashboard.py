@@ -16,6 +16,10 @@ OBJECT, TRANSPILED, RATE = "Object", "Transpiled", "Transpilability Rate"
 
 def rate_card_dataset(card: DataFrame, overheads: DataFrame) -> DataFrame:
     """Rates, then overheads, under their display names and in display order."""
+    return _card_rows(card, overheads).orderBy("sort_key", "Object Type", "Complexity", "Status")
+
+
+def _card_rows(card: DataFrame, overheads: DataFrame) -> DataFrame:
     rates = card.select(
         F.col("object_type").alias("Object Type"),
         F.col("complexity_level").alias("Complexity"),
@@ -34,7 +38,7 @@ def rate_card_dataset(card: DataFrame, overheads: DataFrame) -> DataFrame:
         percent_note("rate", "notes").alias("Notes"),
         F.lit(2).alias("sort_key"),
     )
-    return rates.unionByName(shares).orderBy("sort_key", "Object Type", "Complexity", "Status")
+    return rates.unionByName(shares)
 
 
 def percent_note(rate: str, notes: str) -> Column:
@@ -56,7 +60,7 @@ def rate_card_with_objects(
     everything = usage.agg(F.sum("Objects")).scalar()
     keys = ["Object Type", "Complexity", "Status"]
     return (
-        rate_card_dataset(card, overheads)
+        _card_rows(card, overheads)
         .join(usage, keys, "left")
         .withColumn("Objects", F.coalesce("Objects", everything))
     )

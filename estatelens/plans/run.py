@@ -29,10 +29,10 @@ def assess(
     Returns the stored tables by name; ``objects`` has the text of every object by its key.
     """
     tables.ensure_schema(spark, database)
-    found = scan(spark, folder)
-    scripts = corpus.route_scripts(scripts_of(found))
+    # the files are read once, cleaned once and split once; every later pass reads columns it needs
+    found = durable(scan(spark, folder))
+    scripts = durable(corpus.route_scripts(scripts_of(found)))
     pkgs = packages_of(found)
-    # keys need the objects several times; their text is split only once
     objects = durable(corpus.objects(scripts))
     keyed = corpus.object_ids(objects)
     stored = {

@@ -12,8 +12,8 @@ from estatelens.functions.text import decode
 def scan(spark: SparkSession, folder: str, glob: str = V.CORPUS_GLOB) -> DataFrame:
     """All matching files under ``folder``, subfolders included, as ``(path, text)``.
 
-    ``path`` is relative to ``folder``. One row is one file, so a task never holds more than the
-    files of its split at a time.
+    ``path`` is relative to ``folder``. One row is one file; Spark packs small files into one task and
+    refuses files over 2 GB.
     """
     files = (
         spark.read.format("binaryFile")
