@@ -41,7 +41,8 @@ def strip_comments(c: Column) -> Column:
     """Block comments out first, then line comments; quotes are not looked at."""
     head, rest = up_to_last(c, r"\*/")
     bare = F.concat(F.regexp_replace(head, V.BLOCK_COMMENT, ""), rest)
-    return F.regexp_replace(F.when(c.contains("/*"), bare).otherwise(c), V.LINE_COMMENT, "")
+    blockless = F.when(c.contains("/*"), bare).otherwise(c)
+    return F.when(c.contains("--") | c.contains("/*"), F.regexp_replace(blockless, V.LINE_COMMENT, "")).otherwise(c)
 
 
 # -- batches and statements

@@ -81,7 +81,8 @@ def spread_join(
     dealt out over ``salts`` by a hash of the row, and only the right rows of those keys are repeated
     for every salt; all other rows keep salt 0. Each left row has one salt, so every pair of rows
     meets exactly once, and the result is that of the plain join. A salt is a hash of content, never a
-    random number, so a task that runs again deals its rows the same way.
+    random number, so a task that runs again deals its rows the same way. Rows that are copies of each
+    other share a salt; both sides are plain shuffles here, so adaptive splitting still applies to them.
     """
     if how not in _HOWS:
         raise ValueError(f"how must be one of {_HOWS}, not {how!r}")

@@ -52,13 +52,16 @@ def _clean(df: DataFrame, text: str) -> DataFrame:
         changed = F.col(before) != F.col(after)
         return frame.withColumn(counter, F.when(changed, found).when(c.isNotNull(), 0).cast("bigint"))
 
-    def remove(frame: DataFrame, pattern: str, counter: str) -> DataFrame:
-        # statements end in a semicolon, so the text after the last one is not searched
-        head, rest = X.up_to_last(c, ";")
+    def remove(frame: DataFrame, start: str, counter: str) -> DataFrame:
+        # most texts have no such statement and are only looked through once; where there is one, it
+        # ends in a semicolon, so the text after the last semicolon is not searched
+        pattern = start + V.TO_SEMICOLON
+        head, rest = X.up_to_last(F.when(F.rlike(c, F.lit(start)), c), ";")
         cut = frame.withColumns({"_head": head, "_rest": rest})
         done = cut.withColumn("_done", F.regexp_replace("_head", pattern, ""))
         counted = count(done, counter, "_head", "_done", pattern)
-        return counted.withColumn(text, F.concat("_done", "_rest")).drop("_head", "_rest", "_done")
+        cleaned = F.coalesce(F.concat("_done", "_rest"), c)
+        return counted.withColumn(text, cleaned).drop("_head", "_rest", "_done")
 
     stripped = df.withColumn("_stripped", strip_storage_clauses(c)).withColumns(
         {
