@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from estatelens.cases.catalog import all_cases
 from tools.check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = all_cases().queries, all_cases().checks
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not there")
 
@@ -28,6 +29,11 @@ def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
 
 
+def test_the_entry_module_offers_them_all():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(CHECKS) <= set(entry.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.count() > 0
