@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from estatelens.llm.line_dedup import dedup_lines
 from estatelens.llm.minhash import Near, without_near_duplicates
 from estatelens.llm.packing import pack_documents
 from estatelens.llm.quality import good_documents
 from estatelens.llm.queries import vocabulary
+from estatelens.llm.secrets import redact
 from estatelens.session import configure, durable
 
 
@@ -16,11 +18,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return good_documents(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that are similar to an earlier line of the corpus."""
+    return dedup_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles are 80 % the same."""
     return without_near_duplicates(docs, Near(words=5, percent=80))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With live credentials masked; examples that many owners carry stay."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces and their places in sequences of 1024 tokens."""
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -28,7 +40,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
     ("packing", packing),
 ]
 

@@ -1,3 +1,168 @@
 """The queries in SQL, where SQL can express them."""
 
+from __future__ import annotations
+
+from estatelens.llm.line_dedup import LOWER, UPPER, Alike
+from estatelens.llm.quality import SYMBOLS, Rules
+from estatelens.llm.secrets import ADDED, KINDS, MADE_UP, Ownership
+
 CHECKS: dict[str, str] = {}
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def words(text: str, lower: bool = False) -> str:
+    if lower:
+        text = f"translate({text}, '{UPPER}', '{LOWER}')"
+    return f"regexp_extract_all(coalesce({text}, ''), '{WORD}')"
+
+
+def near_groups(k: int, percent: int) -> str:
+    """All similar pairs by shared shingles, then the smallest id each document reaches."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words("text", lower=True)} AS w FROM documents),
+sh AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - {k} + 1), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END)) AS s
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (
+  SELECT a, b FROM both_ways
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+  least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(l.other, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)"""
+
+
+def secret_spans(rule: Ownership) -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def one(at: int, kind: str, pattern: str, group: int, least: int) -> str:
+        value = f"regexp_extract(m, {quoted(pattern)}, {group})" if group else "m"
+        p = quoted(pattern)
+        return f"""
+SELECT doc_id, owner, repo, '{kind}' AS kind, {at} AS place, e - length(m) AS s, e, {value} AS v
+FROM (
+  SELECT doc_id, owner, repo, m, sum(length(b) + coalesce(length(m), 0)) OVER (
+    PARTITION BY doc_id ORDER BY i)::BIGINT AS e
+  FROM (
+    SELECT doc_id, owner, repo, unnest(range(len(b))) AS i, unnest(b) AS b, unnest(list_resize(m, len(b))) AS m
+    FROM (SELECT doc_id, source AS owner, lang AS repo, string_split_regex(t, {p}) AS b,
+      regexp_extract_all(t, {p}, 0) AS m FROM (SELECT *, coalesce(text, '') AS t FROM documents))))
+WHERE m IS NOT NULL AND length({value}) >= {least}"""
+
+    kinds = "\nUNION ALL".join(one(at, k, *v) for at, (k, v) in enumerate(KINDS.items()))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in [*KINDS, *ADDED])
+    out = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in [*KINDS, *ADDED])
+    return f"""
+WITH base AS ({kinds}),
+used AS (
+  SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS owners FROM base GROUP BY v),
+verdict AS (
+  SELECT v, CASE
+    WHEN owners <= {rule.live_owners} AND len(list_distinct(string_split(v, ''))) >= {rule.distinct_signs}
+      AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '(?i){MADE_UP}') THEN '{ADDED[0]}'
+    WHEN owners >= {rule.copied_owners} THEN '{ADDED[1]}' END AS kind
+  FROM used),
+spans AS (
+  SELECT doc_id, kind, place, s, e FROM base
+  UNION ALL
+  SELECT DISTINCT b.doc_id, w.kind, CASE w.kind WHEN '{ADDED[0]}' THEN {len(KINDS)} ELSE {len(KINDS) + 1} END,
+    e - length(b.v), e
+  FROM base b JOIN verdict w USING (v) WHERE w.kind IS NOT NULL),
+listed AS (
+  SELECT doc_id, {counts},
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) AS spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) FILTER (place < {len(KINDS)}) AS base
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, {out}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)"""
+
+
+def line_removal(like: Alike) -> str:
+    """Pairs of lines that share one of their rarest words, then compared on their full sets."""
+    t = like.percent
+    return f"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS x
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+tok AS (
+  SELECT doc_id * 1000000 + line AS ord, unnest(w) AS t, len(w) AS n
+  FROM (SELECT doc_id, line, list_distinct({words("x", lower=True)}) AS w FROM l) WHERE len(w) >= {like.min_words}),
+df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+ranked AS (
+  SELECT ord, t, n, row_number() OVER (PARTITION BY ord ORDER BY c, t) AS i FROM tok JOIN df USING (t)),
+prefix AS (SELECT ord, t, n FROM ranked WHERE i <= n - ((n * {t} + 99) // 100) + 1),
+pair AS (
+  SELECT DISTINCT a.ord AS a, b.ord AS b, a.n AS n, b.n AS m
+  FROM prefix a JOIN prefix b ON a.t = b.t AND a.ord < b.ord
+  WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {t}),
+common AS (
+  SELECT a, b, pair.n, m, count(*) AS c FROM pair JOIN tok x ON x.ord = a JOIN tok y ON y.ord = b AND x.t = y.t
+  GROUP BY ALL),
+gone AS (SELECT DISTINCT b AS ord FROM common WHERE c * 100 >= (n + m - c) * {t}),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.ord) AS n_removed,
+    string_agg(x, chr(10) ORDER BY line) FILTER (g.ord IS NULL) AS text
+  FROM l LEFT JOIN gone g ON g.ord = l.doc_id * 1000000 + line GROUP BY l.doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, coalesce(text, '') AS text FROM kept"""
+
+
+def document_quality(rules: Rules) -> str:
+    k = rules.window
+    inside = " OR ".join(f"coalesce(list_contains(r, i - {j}), false)" for j in range(k))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, {words("text")} AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(1, len(w) - {k} + 2)) AS i,
+    unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS x
+  FROM d WHERE len(w) >= {k}),
+again AS (
+  SELECT doc_id, list(i) AS r FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g)
+  WHERE c > 1 GROUP BY doc_id),
+rep AS (
+  SELECT doc_id, len(list_filter(range(1, len(w) + 1), lambda i: {inside})) AS n
+  FROM d JOIN again USING (doc_id)),
+l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS x FROM d),
+lw AS (
+  SELECT doc_id, host, x, {words("x", lower=True)} AS w FROM l),
+dup AS (
+  SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, x, count(*) AS c FROM lw WHERE len(w) > 0 GROUP BY ALL)
+  GROUP BY doc_id),
+first_copy AS (SELECT host, text, min(doc_id) AS doc_id FROM d GROUP BY ALL),
+sizes AS (SELECT host, count(*) AS n FROM first_copy GROUP BY host),
+norm AS (SELECT doc_id, host, array_to_string(w, ' ') AS x, len(w) AS n FROM lw WHERE len(w) > 0),
+frequent AS (
+  SELECT a.host, x FROM norm a JOIN first_copy f ON f.doc_id = a.doc_id JOIN sizes s ON s.host = a.host
+  GROUP BY a.host, x, s.n
+  HAVING count(DISTINCT a.doc_id) >= {rules.least} AND count(DISTINCT a.doc_id) * 100 > s.n * {rules.share_percent}),
+lost AS (SELECT doc_id, sum(n) AS n FROM norm JOIN frequent USING (host, x) GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS word_chars,
+    len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed
+  FROM counts)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost <= {rules.lost_percent} * n_words AS kept, lost::BIGINT AS n_removed_words
+FROM judged"""
+
+
+CHECKS["op1_minhash_dedup"] = near_groups(3, 85)
+CHECKS["op3_secret_scan"] = secret_spans(Ownership())
+CHECKS["op5_line_dedup"] = line_removal(Alike())
+CHECKS["op9_quality_rules"] = document_quality(Rules())

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from estatelens.llm import checks
+from estatelens.llm.line_dedup import line_report
 from estatelens.llm.minhash import Near, near_duplicates
 from estatelens.llm.packing import pack_documents
 from estatelens.llm.quality import quality
+from estatelens.llm.secrets import find_secrets
 from estatelens.llm.token_count import count_tokens
 from estatelens.llm.token_files import read_token_files, shared_folder, write_token_files
 from estatelens.llm.trie_bpe import encode_documents
@@ -53,12 +55,24 @@ def op2_token_counts(spark, sf_dir):
     )
 
 
+@register
+def op3_secret_scan(spark, sf_dir):
+    """Secrets of each document, with live and copied values told apart by who owns them."""
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_trie_bpe(spark, sf_dir):
     """Ids of each document by the trie of its words, and the text decoded from them."""
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@register
+def op5_line_dedup(spark, sf_dir):
+    """Documents without lines that are similar to an earlier line of the corpus."""
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 @register
 def op8_best_fit_packing(spark, sf_dir):
     """Documents packed into sequences of 1024 tokens."""
