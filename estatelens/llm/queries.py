@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from estatelens.llm import checks
+from estatelens.llm.ann_forest import nearest
+from estatelens.llm.html_extract import extract
 from estatelens.llm.line_dedup import line_report
 from estatelens.llm.minhash import Near, near_duplicates
 from estatelens.llm.packing import pack_documents
@@ -73,6 +75,19 @@ def op5_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_ann_forest(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@register
+def op7_html_extract(spark, sf_dir):
+    """Main text of each web page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @register
 def op8_best_fit_packing(spark, sf_dir):
     """Documents packed into sequences of 1024 tokens."""
