@@ -3,7 +3,7 @@
 Each tree halves the vectors again and again by hyperplanes between two of them. Trees are fitted on a
 sample of fixed size and are small; every vector of the table is then put into its leaf of every tree.
 A query walks all trees at once: branches it did not take wait in one queue, those whose hyperplanes are
-closest first, and leaves are visited until they hold ``share`` of all rows. In each leaf the queries
+closest first, and leaves are visited until they hold as many rows as ``share`` of the table. In each leaf the queries
 that visit it are ranked exactly against its vectors, in double precision; the best of all leaves are
 merged.
 
@@ -31,13 +31,15 @@ from estatelens.session import durable
 @dataclass(frozen=True)
 class Forest:
     """Trees, rows they are fitted on at most, rows a leaf should hold at most, least depth, share of
-    all rows a query visits (counted per tree), and queries ranked together in a leaf."""
+    all rows a query visits and rows it visits at least (a row counts for every tree), and queries
+    ranked together in a leaf."""
 
     trees: int = 16
     sample: int = 8192
     leaf_rows: int = 4096
     least_depth: int = 7
-    share: float = 0.75
+    share: float = 1.0
+    least_rows: int = 4000
     together: int = 20_000
 
     def depth(self, rows: int) -> int:
@@ -190,7 +192,7 @@ def nearest(
     )
     seeking = asked.select("entry").distinct().join(placed.select("entry", "vector"), "entry")
     blocks = max(1, math.ceil(asked.count() / forest.together))
-    budget = forest.share * total
+    budget = max(forest.share * total, forest.least_rows)
 
     def search(batches):
         for batch in batches:
