@@ -7,9 +7,12 @@
    of those ties each document first tries the one that shares most bands. Ties that the signatures and
    then the full sets confirm are links; components of these take in nearly all of a large group.
 3. What is left are buckets that hold members of more than one component. Only there, members of
-   different components are compared with each other, again by signature, then on the full sets. So a
-   bucket of copies costs one comparison a member, and no two members that could be linked stay
-   uncompared.
+   different components are compared with each other: inside the join by their odd sketches, then by
+   signature, then on the full sets. An odd sketch has one bit per bucket of shingles, set if the bucket
+   holds an odd number of them; the bits in which two sketches differ are never more than the shingles
+   in which the sets differ, so this drops no link. A bucket of copies costs one comparison a member, a
+   bucket of texts below the threshold emits next to no pairs, and no two members that could be linked
+   stay uncompared.
 4. Components of all links; their smallest id is the document that stays.
 
 The number of bands is worked out from the threshold so that a pair just at it is missed by all bands
@@ -24,9 +27,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.llm.components import connected_components
@@ -37,6 +39,8 @@ from estatelens.session import durable
 
 #: Chance that a pair at the threshold shares no band, and that its signatures look too far apart.
 MISS = 1e-6
+#: 64-bit words of an odd sketch.
+SKETCH = 16
 #: Standard deviations a signature may fall short of the threshold.
 SLACK = 5.0
 ROWS = 5
@@ -92,19 +96,23 @@ class Signer:
 
 
 def signatures(docs: DataFrame, near: Near) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, minima) per row of ``docs(doc_id, text)``; minima as 16 bits."""
+    """(doc_id, n_shingles, digest, bands, minima, odd) per row of ``docs(doc_id, text)``.
+
+    Minima are kept as 16 bits each, ``odd`` is the odd sketch.
+    """
 
     def sign(batches):
         signer = Signer(near)
         for batch in slices(batches, 1):
             sets = shingle_sets(batch.column(1).fill_null(""), near.words)
-            digests, bands, minima = [], [], []
+            digests, bands, minima, odd = [], [], [], []
             for s in sets:
                 found = len(s) > 0
                 values = signer.minima(s) if found else None
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if found else None)
                 bands.append(signer.band_keys(values) if found else None)
                 minima.append(values.astype("<u2").tobytes() if found else None)
+                odd.append(odd_sketch(s) if found else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -112,12 +120,34 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
                     pa.array(digests, type=pa.binary()),
                     pa.array(bands, type=pa.list_(pa.int64())),
                     pa.array(minima, type=pa.binary()),
+                    pa.array(odd, type=pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "minima"],
+                names=["doc_id", "n_shingles", "digest", "bands", "minima", "odd"],
             )
 
     return docs.mapInArrow(
-        sign, "doc_id long, n_shingles long, digest binary, bands array<long>, minima binary"
+        sign,
+        "doc_id long, n_shingles long, digest binary, bands array<long>, minima binary, odd array<long>",
+    )
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit per bucket of shingles: is their number odd?"""
+    bits = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+
+
+def _may_be_similar(near: Near) -> Column:
+    """Do the odd sketches of a and b leave room for a link?
+
+    Sets of n and m shingles at the threshold t differ in (1 - t) / (1 + t) * (n + m) at most.
+    """
+    apart = reduce(
+        lambda x, y: x + y,
+        [F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i)))) for i in range(SKETCH)],
+    )
+    return apart * (100 + near.percent) <= (F.col("n_shingles_a") + F.col("n_shingles_b")) * (
+        100 - near.percent
     )
 
 
@@ -232,21 +262,24 @@ def near_duplicates(
         "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     placed = durable(placed)
+    sketched = signed.where("odd IS NOT NULL").select("doc_id", "odd").dropDuplicates(["doc_id"])
     mixed_keys = (
         placed.groupBy("key")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .where("least <> most")
         .select("key")
     )
-    open_ = placed.join(mixed_keys, "key", "left_semi")
-    x = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "component")])
-    y = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "component")])
+    open_ = durable(placed.join(mixed_keys, "key", "left_semi").join(sketched, "doc_id"))
+    names = ("doc_id", "n_shingles", "component", "odd")
+    x = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    y = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
     smaller = F.least("n_shingles_a", "n_shingles_b")
     larger = F.greatest("n_shingles_a", "n_shingles_b")
     rest = (
         x.join(y, "key")
         .where("component_a < component_b")
         .where(100 * smaller >= near.percent * larger)
+        .where(_may_be_similar(near))
         .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
         .distinct()
     )
