@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join: DataFrame functions only.
 
-A line is the set of its words, A-Z in lower case. It goes if an earlier line, by document id and line
+A line is the set of its words. It goes if an earlier line, by document id and line
 number, has a set with a Jaccard similarity of ``percent`` or more.
 
 * Tokens are 63-bit codes whose order is their rarity: the leading 14 bits are the rank of the token's
@@ -19,17 +19,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatelens.operators.skew import spread_join
+from estatelens.operators.skew import hot_keys, spread_join
 from estatelens.session import durable
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 LOW_BITS = 63 - BUCKET_BITS
-BLANK = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: White space other than spaces and line feeds.
+BLANK = "\t\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,16 @@ class Alike:
     min_words: int = 5
 
 
+def _words(text: Column) -> Column:
+    """Words of a text without line feeds. Splitting at one sign is quick; other white space is rare."""
+    other = [F.contains(text, F.lit(c)) for c in BLANK]
+    spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(text, f"[{BLANK}]", " "))
+    return F.array_remove(F.split(F.coalesce(spaced, text), " "), "")
+
+
 def _hashes(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    words = F.filter(F.split(F.translate(line, UPPER, LOWER), BLANK), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _bucket(h: Column) -> Column:
@@ -60,12 +66,13 @@ def lines_of(docs: DataFrame, like: Alike) -> DataFrame:
     )
 
 
-def rarity(lines: DataFrame) -> Column:
-    """The rank of every bucket as an array, the bucket with the fewest tokens first.
+def rarity(docs: DataFrame) -> Column:
+    """The rank of every bucket as an array, the bucket with the fewest words of all texts first.
 
     The driver sees one count per bucket. The array is a literal because lambdas take no subqueries.
     """
-    counts = lines.select(F.explode("hashes").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).count()
+    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     seen = {r["b"]: r["count"] for r in counts.collect()}
     order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))
     ranks = [0] * BUCKETS
@@ -96,11 +103,6 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.floor((whole + 99 + percent) / (100 + percent)).cast("int")
 
 
-def _position(doc: str, line: str) -> Column:
-    """Document and line as one number that sorts like the two."""
-    return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(line)
-
-
 def _earlier(doc_a, line_a, doc_b, line_b) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (line_a < line_b))
 
@@ -131,64 +133,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     """(doc_id, line) of the lines of ``docs(doc_id, text)`` that an earlier one makes superfluous."""
     t = like.percent
-    lines = lines_of(docs, like)
-    ranks = rarity(lines)
-    coded = lines.select("doc_id", "line", _codes(F.col("hashes"), ranks).alias("codes"))
+    ranks = rarity(docs)
+    coded = lines_of(docs, like).select("doc_id", "line", _codes(F.col("hashes"), ranks).alias("codes"))
     n = F.size("codes")
+    rare = F.slice("codes", F.lit(1), n - _needed(n, t) + 1)
+    # a posting only has to bring lines together, so 32 bits of a code will do
     slim = durable(
         coded.select(
             "doc_id",
             "line",
             n.alias("n"),
             F.xxhash64("codes").alias("set"),
-            F.slice("codes", F.lit(1), n - _needed(n, t) + 1).alias("prefix"),
+            F.transform(rare, lambda c: F.hash(c)).alias("prefix"),
         )
     )
 
     # equal sets: the first stays
-    place = _position("doc_id", "line")
-    sets = slim.groupBy("set", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    several = sets.where("times > 1").drop("times")
-    equal = durable(
+    docs_of = slim.groupBy("set", "n").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("times"))
+    several = docs_of.where("times > 1").drop("times")
+    copies = durable(
         spread_join(slim.select("doc_id", "line", "set", "n"), several, ["set", "n"])
-        .where(place > F.col("first"))
+    )
+    lines_at = copies.where("doc_id = doc_a").groupBy("set", "n").agg(F.min("line").alias("line_a"))
+    equal = durable(
+        spread_join(copies, lines_at, ["set", "n"])
+        .where((F.col("doc_id") > F.col("doc_a")) | (F.col("line") > F.col("line_a")))
         .select("doc_id", "line")
     )
     firsts = slim.select("doc_id", "line", "n", "prefix").join(equal, ["doc_id", "line"], "left_anti")
 
-    # rare tokens that several lines share
-    postings = firsts.select("doc_id", "line", "n", F.posexplode("prefix").alias("i", "code"))
-    shared = (
-        postings.groupBy("code")
-        .agg(F.count("*").alias("times"), F.min(place).alias("first"))
-        .where("times > 1")
-        .select("code", "first")
-    )
-    postings = durable(spread_join(postings, shared, ["code"]))
+    postings = durable(_with_heads(firsts.select("doc_id", "line", "n", F.posexplode("prefix").alias("i", "code"))))
 
     # each line and the earliest that shares a rare token with it
-    head = postings.where(place == F.col("first")).select(
-        "code",
-        F.col("doc_id").alias("doc_a"),
-        F.col("line").alias("line_a"),
-        F.col("n").alias("n_a"),
-        F.col("i").alias("i_a"),
-    )
-    others = postings.where(place > F.col("first")).select(
-        "code",
-        F.col("doc_id").alias("doc_b"),
-        F.col("line").alias("line_b"),
-        F.col("n").alias("n_b"),
-        F.col("i").alias("i_b"),
+    others = postings.where("doc_a IS NOT NULL").withColumnsRenamed(
+        {"doc_id": "doc_b", "line": "line_b", "n": "n_b", "i": "i_b"}
     )
     keys = ["doc_a", "line_a", "doc_b", "line_b"]
-    first_pairs = durable(_filtered(others.join(head, "code"), t).select(*keys).distinct())
-
-    sets_of = _candidate_sets(docs, like, ranks, first_pairs)
-    settled = durable(_verified(first_pairs, sets_of, t))
+    first_pairs = durable(_filtered(others, t).select(*keys).distinct())
+    settled = durable(_verified(first_pairs, _candidate_sets(docs, like, ranks, first_pairs), t))
 
     # lines that are still open, and all earlier ones
-    open_ = others.join(
+    open_ = others.drop("doc_a", "line_a", "n_a", "i_a").join(
         settled.withColumnsRenamed({"doc_id": "doc_b", "line": "line_b"}), ["doc_b", "line_b"], "left_anti"
     )
     earlier = postings.select(
@@ -208,6 +193,43 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     return durable(equal.unionAll(settled).unionAll(more).distinct())
 
 
+def _with_heads(postings: DataFrame) -> DataFrame:
+    """Postings of codes that several lines share, each with the earliest line of its code.
+
+    One shuffle by code: a running window carries the first line along. The few codes that hold a large
+    share of all postings would be one task each; they are left out of the window, and their first line
+    is found by combining minima.
+    """
+    hot = hot_keys(postings, ["code"], ["code", "doc_id", "line"]).scalar()
+    is_hot = F.array_contains(hot, F.xxhash64("code"))
+    by_code = Window.partitionBy("code").orderBy("doc_id", "line")
+    upto = by_code.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = {"doc_id": "doc_a", "line": "line_a", "n": "n_a", "i": "i_a"}
+    heads = {name: F.first(c).over(upto) for c, name in first.items()}
+    cold = (
+        postings.where(~F.coalesce(is_hot, F.lit(False)))
+        .withColumns(heads | {"next": F.lead("line").over(by_code), "at": F.row_number().over(by_code)})
+        .where("at > 1 OR next IS NOT NULL")
+        .withColumns({name: F.when(F.col("at") > 1, F.col(name)) for name in first.values()})
+        .drop("at", "next")
+    )
+    warm = postings.where(F.coalesce(is_hot, F.lit(False)))
+    docs = warm.groupBy("code").agg(F.min("doc_id").alias("doc_a"))
+    head_rows = (
+        warm.join(docs, "code")
+        .where("doc_id = doc_a")
+        .select("code", "doc_a", F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
+    )
+    least = head_rows.groupBy("code").agg(F.min("line_a").alias("line_a"))
+    found = head_rows.join(least, ["code", "line_a"]).dropDuplicates(["code"])
+    itself = (F.col("doc_id") == F.col("doc_a")) & (F.col("line") == F.col("line_a"))
+    hot_rows = warm.join(found, "code").withColumn("itself", itself)
+    hot_rows = hot_rows.withColumns(
+        {name: F.when(~F.col("itself"), F.col(name)) for name in first.values()}
+    ).drop("itself")
+    return cold.unionByName(hot_rows)
+
+
 def _candidate_sets(docs: DataFrame, like: Alike, ranks: Column, pairs: DataFrame) -> DataFrame:
     """(doc_id, line, codes) of the lines in ``pairs``, read from the texts again."""
     sides = [
