@@ -69,8 +69,32 @@ def durable(df: DataFrame) -> DataFrame:
 
     Cuts the lineage without depending on any executor staying alive, and lets a table be overwritten
     by a plan that read it. Unlike a checkpoint of rows it is read back column by column, and its size
-    is known to the optimizer. Like checkpoints, the files stay until the cluster clears the folder.
+    is known to the optimizer. Like checkpoints, the files stay until the cluster clears the folder, or
+    until ``release`` is called for them.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/durable-{uuid.uuid4().hex}"
+    _written.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """Folders that ``durable`` has written in this process and that are not released, oldest first."""
+    return list(_written)
+
+
+def release(spark: SparkSession, folders: list[str], still_read: DataFrame | None = None) -> list[str]:
+    """Delete folders of ``durable`` through the cluster's file system; returns those that were deleted.
+
+    Folders that ``still_read`` reads stay.
+    """
+    used = "\n".join(still_read.inputFiles()) if still_read is not None else ""
+    gone = [f for f in folders if f in _written and f.rsplit("/", 1)[1] not in used]
+    for folder in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(folder)
+    return gone

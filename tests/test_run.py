@@ -95,3 +95,14 @@ def test_chain_runs_in_order_and_names_the_failing_step(spark):
     assert run_chain([("stage", stage), ("fact", fact)], {"start": 1})["rows"] == 6
     with pytest.raises(RuntimeError, match="'fact'"):
         run_chain([("fact", fact), ("stage", stage)])
+
+
+def test_durable_folders_can_be_released(spark):
+    from estatelens.session import durable, release, written
+
+    before = len(written())
+    kept, dropped = durable(spark.range(3)), durable(spark.range(4))
+    mine = written()[before:]
+    assert release(spark, mine, still_read=kept) == [mine[1]]
+    assert written()[before:] == [mine[0]] and kept.count() == 3
+    assert release(spark, mine) == [mine[0]] and len(written()) == before
