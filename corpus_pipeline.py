@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from estatelens.llm.line_dedup import dedup_lines
@@ -10,29 +12,56 @@ from estatelens.llm.packing import pack_documents
 from estatelens.llm.quality import good_documents
 from estatelens.llm.queries import vocabulary
 from estatelens.llm.secrets import redact
-from estatelens.session import configure, durable
+from estatelens.session import configure, durable, release, written
+
+#: Checkpoint folders of the stages so far.
+_made: list[str] = []
+
+
+def tidy(stage):
+    """A stage that first deletes the checkpoint folders of earlier stages that nobody reads any more.
+
+    What earlier stages returned has been written and read again by then; folders that ``docs`` itself
+    still reads stay.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for folder in release(spark, _made, still_read=docs):
+            _made.remove(folder)
+        before = set(written())
+        out = stage(configure(spark), docs, sf_dir)
+        _made.extend(f for f in written() if f not in before)
+        return out
+
+    return run_stage
 
 
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without rejected documents and without lines that too many documents of a host carry."""
     return good_documents(docs)
 
 
+@tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that are similar to an earlier line of the corpus."""
     return dedup_lines(docs)
 
 
+@tidy
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles are 80 % the same."""
     return without_near_duplicates(docs, Near(words=5, percent=80))
 
 
+@tidy
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With live credentials masked; examples that many owners carry stay."""
     return redact(docs)
 
 
+@tidy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces and their places in sequences of 1024 tokens."""
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
