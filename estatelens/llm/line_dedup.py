@@ -3,9 +3,11 @@
 A line is the set of its words. It goes if an earlier line, by document id and line
 number, has a set with a Jaccard similarity of ``percent`` or more.
 
-* Tokens are 63-bit codes whose order is their rarity: the leading 14 bits are the rank of the token's
-  bucket among 16,384 buckets by how often their tokens occur in the whole corpus, the rest a hash. The
-  ranks are one array of fixed size, so codes need no join.
+* Tokens are 63-bit codes whose order is their rarity. Words are counted over the whole corpus and
+  dealt into 8,192 buckets by their hash; the most frequent word of each bucket is ranked by its count,
+  and all others come before those, long words first, which are the rarer ones, then by their hash. The
+  two arrays this takes have a fixed size, so codes need no join, and as a code depends on the word
+  alone, the order is the same in every line.
 * Lines with equal sets are one; all but the first go at once, and only the first goes on.
 * Two sets of n and m tokens can only be similar if they share one of their rarest
   ``n - ceil(t * n) + 1`` tokens (prefix filter), if neither is smaller than t times the other (length
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 from estatelens.operators.skew import hot_keys, spread_join
 from estatelens.session import durable
 
-BUCKET_BITS = 14
+BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 LOW_BITS = 63 - BUCKET_BITS
+OWNER_BITS = 40
 #: White space other than spaces and line feeds.
 BLANK = "\t\x0b\x0c\r"
 
@@ -49,7 +52,13 @@ def _words(text: Column) -> Column:
 
 def _hashes(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), _hash))
+
+
+def _hash(word: Column) -> Column:
+    """58 bits of hash, and in the last six how short the word is."""
+    short = F.lit(63) - F.least(F.length(word), F.lit(63))
+    return F.xxhash64(word).bitwiseAND(F.lit(-64)).bitwiseOR(short.cast("long"))
 
 
 def _bucket(h: Column) -> Column:
@@ -66,30 +75,54 @@ def lines_of(docs: DataFrame, like: Alike) -> DataFrame:
     )
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The rank of every bucket as an array, the bucket with the fewest words of all texts first.
+@dataclass(frozen=True)
+class Ranks:
+    """By bucket: low bits of its most frequent word's hash, and that word's rank by count."""
+
+    words: Column
+    ranks: Column
+
+
+def rarity(docs: DataFrame) -> Ranks:
+    """The ranks over all texts.
 
-    The driver sees one count per bucket. The array is a literal because lambdas take no subqueries.
+    The driver sees one row per bucket. The arrays are literals because lambdas take no subqueries.
     """
     words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
-    seen = {r["b"]: r["count"] for r in counts.collect()}
-    order = sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for rank, bucket in enumerate(order):
-        ranks[bucket] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    counts = words.groupBy(_hash(F.col("w")).alias("h")).count()
+    top = 62 - OWNER_BITS
+    packed = F.shiftleft(F.least(F.col("count"), F.lit((1 << top) - 1)), OWNER_BITS).bitwiseOR(
+        _low(F.col("h"), OWNER_BITS)
+    )
+    most = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max(packed).alias("most")).collect()
+    order = sorted(most, key=lambda r: (r["most"] >> OWNER_BITS, r["b"]))
+    words_at, ranks_at = [-1] * BUCKETS, [0] * BUCKETS
+    for rank, row in enumerate(order):
+        words_at[row["b"]] = row["most"] & ((1 << OWNER_BITS) - 1)
+        ranks_at[row["b"]] = rank
+    return Ranks(_literal(words_at), _literal(ranks_at))
+
 
+def _literal(numbers: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
-def _codes(hashes: Column, ranks: Column) -> Column:
+
+def _low(h: Column, bits: int) -> Column:
+    return h.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _codes(hashes: Column, ranks: Ranks) -> Column:
     """Tokens as codes, rarest first."""
-    low = F.lit((1 << LOW_BITS) - 1)
-    return F.sort_array(
-        F.transform(
-            hashes,
-            lambda h: F.shiftleft(F.get(ranks, _bucket(h)), LOW_BITS).bitwiseOR(h.bitwiseAND(low)),
+
+    def code(h: Column) -> Column:
+        known = F.get(ranks.words, _bucket(h)) == _low(h, OWNER_BITS)
+        rank = F.when(known, F.get(ranks.ranks, _bucket(h))).otherwise(F.lit(0).cast("long"))
+        short = F.shiftleft(_low(h, 6), LOW_BITS - 6)
+        return F.shiftleft(rank, LOW_BITS).bitwiseOR(short).bitwiseOR(
+            F.shiftrightunsigned(_low(h, LOW_BITS), 6)
         )
-    )
+
+    return F.sort_array(F.transform(hashes, code))
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -107,12 +140,29 @@ def _earlier(doc_a, line_a, doc_b, line_b) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (line_a < line_b))
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length and positional filter on (n_a, i_a, n_b, i_b), i the place of the shared token."""
+def _may_match(percent: int) -> Column:
+    """Length, positional and odd-sketch filter on the columns ``CARRIED`` of a and b.
+
+    Sets of n and m tokens at the threshold t differ in (1 - t) / (1 + t) * (n + m) tokens at most, and
+    their odd sketches in no more bits than that.
+    """
     n, m = F.col("n_a"), F.col("n_b")
     behind = F.least(n - F.col("i_a"), m - F.col("i_b"))
-    return pairs.where(
-        (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (behind >= _overlap(n, m, percent))
+    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(
+        F.col("high_a").bitwiseXOR(F.col("high_b"))
+    )
+    return (
+        (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+        & (behind >= _overlap(n, m, percent))
+        & (apart * (100 + percent) <= (n + m) * (100 - percent))
+    )
+
+
+def _odd(half: int) -> Column:
+    """64 bits of the odd sketch of ``codes``: one per bucket, set if it holds an odd number of them."""
+    return F.expr(
+        f"aggregate(codes, 0L, (bits, code) -> if((code & 64) = {64 * half}, "
+        "bits ^ shiftleft(1L, cast(code & 63 as int)), bits))"
     )
 
 
@@ -145,6 +195,8 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
             n.alias("n"),
             F.xxhash64("codes").alias("set"),
             F.transform(rare, lambda c: F.hash(c)).alias("prefix"),
+            _odd(0).alias("low"),
+            _odd(1).alias("high"),
         )
     )
 
@@ -160,39 +212,36 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
         .where((F.col("doc_id") > F.col("doc_a")) | (F.col("line") > F.col("line_a")))
         .select("doc_id", "line")
     )
-    firsts = slim.select("doc_id", "line", "n", "prefix").join(equal, ["doc_id", "line"], "left_anti")
-
-    postings = durable(_with_heads(firsts.select("doc_id", "line", "n", F.posexplode("prefix").alias("i", "code"))))
+    firsts = slim.drop("set").join(equal, ["doc_id", "line"], "left_anti")
+    each = firsts.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("i", "code"))
+    postings = durable(_with_heads(each))
 
     # each line and the earliest that shares a rare token with it
-    others = postings.where("doc_a IS NOT NULL").withColumnsRenamed(
-        {"doc_id": "doc_b", "line": "line_b", "n": "n_b", "i": "i_b"}
-    )
+    others = postings.where("doc_a IS NOT NULL").withColumnsRenamed(_sided("b"))
     keys = ["doc_a", "line_a", "doc_b", "line_b"]
-    first_pairs = durable(_filtered(others, t).select(*keys).distinct())
+    first_pairs = durable(others.where(_may_match(t)).select(*keys).distinct())
     settled = durable(_verified(first_pairs, _candidate_sets(docs, like, ranks, first_pairs), t))
 
     # lines that are still open, and all earlier ones
-    open_ = others.drop("doc_a", "line_a", "n_a", "i_a").join(
+    open_ = others.drop(*_sided("a").values()).join(
         settled.withColumnsRenamed({"doc_id": "doc_b", "line": "line_b"}), ["doc_b", "line_b"], "left_anti"
     )
-    earlier = postings.select(
-        "code",
-        F.col("doc_id").alias("doc_a"),
-        F.col("line").alias("line_a"),
-        F.col("n").alias("n_a"),
-        F.col("i").alias("i_a"),
-    )
-    rest = open_.join(earlier, "code").where(
-        _earlier(F.col("doc_a"), F.col("line_a"), F.col("doc_b"), F.col("line_b"))
-    )
-    more_pairs = durable(
-        _filtered(rest, t).select(*keys).distinct().join(first_pairs, keys, "left_anti")
-    )
+    earlier = postings.select("code", *CARRIED).withColumnsRenamed(_sided("a"))
+    before = _earlier(F.col("doc_a"), F.col("line_a"), F.col("doc_b"), F.col("line_b"))
+    rest = open_.join(earlier, "code").where(before & _may_match(t))
+    more_pairs = durable(rest.select(*keys).distinct().join(first_pairs, keys, "left_anti"))
     more = _verified(more_pairs, _candidate_sets(docs, like, ranks, more_pairs), t)
     return durable(equal.unionAll(settled).unionAll(more).distinct())
 
 
+#: What a posting says of its line.
+CARRIED = ("doc_id", "line", "n", "i", "low", "high")
+
+
+def _sided(side: str) -> dict[str, str]:
+    return {c: f"{c.removesuffix('_id')}_{side}" for c in CARRIED}
+
+
 def _with_heads(postings: DataFrame) -> DataFrame:
     """Postings of codes that several lines share, each with the earliest line of its code.
 
@@ -204,7 +253,7 @@ def _with_heads(postings: DataFrame) -> DataFrame:
     is_hot = F.array_contains(hot, F.xxhash64("code"))
     by_code = Window.partitionBy("code").orderBy("doc_id", "line")
     upto = by_code.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = {"doc_id": "doc_a", "line": "line_a", "n": "n_a", "i": "i_a"}
+    first = _sided("a")
     heads = {name: F.first(c).over(upto) for c, name in first.items()}
     cold = (
         postings.where(~F.coalesce(is_hot, F.lit(False)))
@@ -218,7 +267,7 @@ def _with_heads(postings: DataFrame) -> DataFrame:
     head_rows = (
         warm.join(docs, "code")
         .where("doc_id = doc_a")
-        .select("code", "doc_a", F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
+        .select("code", *[F.col(c).alias(name) for c, name in first.items()])
     )
     least = head_rows.groupBy("code").agg(F.min("line_a").alias("line_a"))
     found = head_rows.join(least, ["code", "line_a"]).dropDuplicates(["code"])
@@ -230,7 +279,7 @@ def _with_heads(postings: DataFrame) -> DataFrame:
     return cold.unionByName(hot_rows)
 
 
-def _candidate_sets(docs: DataFrame, like: Alike, ranks: Column, pairs: DataFrame) -> DataFrame:
+def _candidate_sets(docs: DataFrame, like: Alike, ranks: Ranks, pairs: DataFrame) -> DataFrame:
     """(doc_id, line, codes) of the lines in ``pairs``, read from the texts again."""
     sides = [
         pairs.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"line_{s}").alias("line")) for s in "ab"
