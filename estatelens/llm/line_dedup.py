@@ -12,6 +12,7 @@ number, has a set with a Jaccard similarity of ``percent`` or more.
 * Two sets of n and m tokens can only be similar if they share one of their rarest
   ``n - ceil(t * n) + 1`` tokens (prefix filter), if neither is smaller than t times the other (length
   filter), and if enough tokens stand behind the shared one in both (positional filter).
+* Semi joins find the lines for which such a partner exists at all; only those go on.
 * Of the lines that share a rare token, each is first compared with the earliest of them alone. Only
   lines that this does not settle are compared with the other earlier ones, so a family of variants
   costs one comparison a line. Every pair that passes the filters is settled or verified on full sets.
@@ -214,7 +215,8 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     )
     firsts = slim.drop("set").join(equal, ["doc_id", "line"], "left_anti")
     each = firsts.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("i", "code"))
-    postings = durable(_with_heads(each))
+    lines = durable(_plausible(each, t))
+    postings = durable(_with_heads(each.join(lines, ["doc_id", "line"], "left_semi")))
 
     # each line and the earliest that shares a rare token with it
     others = postings.where("doc_a IS NOT NULL").withColumnsRenamed(_sided("b"))
@@ -234,6 +236,23 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     return durable(equal.unionAll(settled).unionAll(more).distinct())
 
 
+def _plausible(postings: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line) of the lines that share a code with another line and pass the filters with it.
+
+    Semi joins stop at the first such line and write no pairs. All sides are the same rows dealt by code,
+    so they share one shuffle, and all that follows works on these lines alone.
+    """
+    a = postings.select("code", *[F.col(c).alias(name) for c, name in _sided("a").items()])
+    b = postings.select("code", *[F.col(c).alias(name) for c, name in _sided("b").items()])
+    other = (F.col("doc_a") != F.col("doc_b")) | (F.col("line_a") != F.col("line_b"))
+    same = a["code"] == b["code"]
+    return (
+        b.join(a, same & other & _may_match(percent), "left_semi")
+        .select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line"))
+        .distinct()
+    )
+
+
 #: What a posting says of its line.
 CARRIED = ("doc_id", "line", "n", "i", "low", "high")
 
