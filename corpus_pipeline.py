@@ -12,6 +12,7 @@ from estatelens.llm.packing import pack_documents
 from estatelens.llm.quality import good_documents
 from estatelens.llm.queries import vocabulary
 from estatelens.llm.secrets import redact
+from estatelens.llm.workers import small_batches
 from estatelens.session import configure, durable, release, written
 
 #: Checkpoint folders of the stages so far.
@@ -30,7 +31,7 @@ def tidy(stage):
         for folder in release(spark, _made, still_read=docs):
             _made.remove(folder)
         before = set(written())
-        out = stage(configure(spark), docs, sf_dir)
+        out = stage(small_batches(configure(spark)), docs, sf_dir)
         _made.extend(f for f in written() if f not in before)
         return out
 
@@ -81,7 +82,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))

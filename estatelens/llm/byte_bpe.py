@@ -12,6 +12,7 @@ import json
 import re
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import tiktoken
@@ -47,13 +48,19 @@ class Vocabulary:
         self.size = max([*self.ids.values(), *self.special.values()]) + 1
         self.typecode = "H" if self.size <= 1 << 16 else "I"
         self.special_pattern = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.plain = tiktoken.Encoding(
             path, pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={}
         ).encode_ordinary
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizer itself, loaded where a text needs it: it takes much memory."""
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def whole(self, text: str) -> list[int]:
         """Ids as the library gives them, special strings included."""
         return self.library.encode(text, add_special_tokens=False).ids

@@ -17,6 +17,7 @@ from estatelens.llm.secrets import find_secrets
 from estatelens.llm.token_count import count_tokens
 from estatelens.llm.token_files import read_token_files, shared_folder, write_token_files
 from estatelens.llm.trie_bpe import encode_documents
+from estatelens.llm.workers import small_batches
 from estatelens.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def vocabulary(name: str) -> str:
 
 def register(build: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(configure(spark), sf_dir)
+        return build(small_batches(configure(spark)), sf_dir)
 
     run.__name__, run.__doc__ = build.__name__, build.__doc__
     QUERIES[build.__name__] = run

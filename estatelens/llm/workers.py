@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+#: Rows handed to a Python worker at once; Spark's own limit of bytes applies too.
+BATCH_ROWS = 2000
 
 _STORE = "_estatelens_worker_store"
 
@@ -25,6 +29,12 @@ def kept(key, make: Callable):
     return store[key]
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keep batches for Python workers small, so that two of them fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of a column, null as the empty text."""
     return [t or "" for t in column.to_pylist()]
@@ -37,7 +47,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], column: int, size: int = 8_000_000
+    batches: Iterator[pa.RecordBatch], column: int, size: int = 2_000_000
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of a text column, one row at least."""
     for batch in batches:
@@ -47,3 +57,4 @@ def slices(
         for start, end in zip(edges, edges[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
+        pa.default_memory_pool().release_unused()
