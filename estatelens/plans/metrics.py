@@ -68,10 +68,6 @@ class MetricView:
         wanted, by = list(measures), list(by)
         base = [name for name in self._closure(wanted) if not isinstance(self.measures[name], Percent)]
         rows = self.source if where is None else self.source.filter(where)
-        rows = rows.select(
-            *[self.dimensions[name].alias(name) for name in by],
-            *[c for i, name in enumerate(base) for c in self._inputs(i, self.measures[name])],
-        )
         keys = list(
             dict.fromkeys(
                 m.key for m in (self.measures[n] for n in base) if isinstance(m, DistinctCount)
@@ -79,8 +75,12 @@ class MetricView:
         )
         if len(keys) > 1:
             raise ValueError("ask for distinct counts of one key at a time")
+        rows = rows.select(
+            *[self.dimensions[name].alias(name) for name in by],
+            *[F.col(key).alias("_key") for key in keys],
+            *[c for i, name in enumerate(base) for c in self._inputs(i, self.measures[name])],
+        )
         if keys:
-            rows = rows.withColumn("_key", F.col("_key0"))
             rows = rows.groupBy(*[f"`{n}`" for n in by], "_key").agg(
                 *[c for i, n in enumerate(base) for c in self._first(i, self.measures[n])]
             )
@@ -102,9 +102,8 @@ class MetricView:
     def _inputs(self, i: int, measure: Measure) -> list[Column]:
         if isinstance(measure, DistinctCount):
             holds = F.lit(True) if measure.where is None else F.coalesce(measure.where, F.lit(False))
-            key = F.col(measure.key)
-            flag = F.when(key.isNotNull() & holds, 1).otherwise(0).alias(f"_v{i}")
-            return [flag] if i else [flag, key.alias("_key0")]
+            counted = F.col(measure.key).isNotNull() & holds
+            return [F.when(counted, 1).otherwise(0).alias(f"_v{i}")]
         return [measure.value.alias(f"_v{i}")]
 
     @staticmethod

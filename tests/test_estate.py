@@ -181,3 +181,12 @@ def test_job_report(frame):
     assert got == {"p.dtsx": 12, "q.dtsx": 0}
     plain = {r.file_name for r in inventory.job_details(raw, "MS SQL Server").collect()}
     assert plain == {"p", "q.dtsx"}
+
+
+def test_measures_in_any_order(frame):
+    view = metrics.assessment_metrics(frame([], INV), frame([], OUT))
+    names = list(view.measures)
+    for first in range(len(names)):
+        turned = names[first:] + names[:first]
+        assert view.query(turned).columns == turned
+    assert len(view.query(["Avg Nodes per File", "Total Files"], by=["Platform"]).columns) == 3
