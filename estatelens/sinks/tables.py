@@ -18,6 +18,12 @@ def identifier(name: str) -> str:
     return ".".join("`" + (a or b).strip().replace("`", "``") + "`" for a, b in parts)
 
 
+def _text(value: str) -> str:
+    """A text literal; partition values take no parameter marks."""
+    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}")
+    return f"'{escaped}'"
+
+
 def ensure_schema(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {identifier(name)}")
 
@@ -76,7 +82,7 @@ def replace_partition(df: DataFrame, table: str, column: str, value: str) -> Non
     rest = [c for c in spark.table(identifier(table)).columns if c != column]
     rows = df.select(*rest)
     spark.sql(
-        f"INSERT OVERWRITE TABLE {identifier(table)} PARTITION ({identifier(column)} = '{value}') "
+        f"INSERT OVERWRITE TABLE {identifier(table)} PARTITION ({identifier(column)} = {_text(value)}) "
         "SELECT * FROM {rows}",
         rows=rows,
     )

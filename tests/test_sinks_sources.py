@@ -62,6 +62,11 @@ def test_reports(spark, tmp_path):
     got = reports.read_sheet(spark, str(sheet), schemas.FUNCTIONS)
     assert got.schema == schemas.FUNCTIONS
     assert reports.tidy(spark.read.option("header", True).csv(str(sheet))).columns == ["function_name", "call_count", "other"]
+    sheet.write_text("name,count\nf,3.0\ng,n/a\n")
+    read = reports.read_sheet(spark, str(sheet), schemas.FUNCTIONS.__class__(schemas.FUNCTIONS.fields[:2]))
+    assert sorted(rows(read)) == [("f", 3), ("g", 0)]
+    with pytest.raises(ValueError, match="columns"):
+        reports.read_sheet(spark, str(sheet), schemas.JOB_DETAILS)
     missing = reports.read_sheet(spark, str(tmp_path / "none.csv"), schemas.JOB_DETAILS)
     assert missing.count() == 0 and missing.schema == schemas.JOB_DETAILS
     from estatelens.plans.inventory import function_report
