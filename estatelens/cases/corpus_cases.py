@@ -295,8 +295,10 @@ def corp_to_inventory(t):
 
 @cases.add(
     "corp_regroup_files",
-    f"""WITH {CLEAN_OBJECTS} SELECT path, 'converted_' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) || '.sql' AS output_file,
-  string_agg(source, chr(10) || chr(10) || ';' || chr(10) || chr(10) ORDER BY pos) AS text FROM sized GROUP BY path""",
+    f"""WITH {CLEAN_OBJECTS}, files AS (SELECT path, regexp_extract(path, '^.*/') || 'converted_' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) AS name,
+  string_agg(source, chr(10) || chr(10) || ';' || chr(10) || chr(10) ORDER BY pos) AS text FROM sized GROUP BY path),
+nth AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS n FROM files)
+SELECT path, name || CASE WHEN n > 1 THEN '#' || n ELSE '' END || '.sql' AS output_file, text FROM nth""",
 )
 def corp_regroup_files(t):
     objs = corpus.objects(_routed(t))
@@ -305,9 +307,11 @@ def corp_regroup_files(t):
 
 @cases.add(
     "corp_stage_failing",
-    """SELECT o.file_name, regexp_replace(o.file_name, '[^0-9A-Za-z_.]', '_', 'g') || '.sql' AS staged_as, d.text AS source
+    """WITH named AS (SELECT o.file_name, regexp_replace(o.file_name, '[^0-9A-Za-z_.]', '_', 'g') AS name, d.text AS source
 FROM {outcomes} o JOIN {documents} d ON o.file_name = 'doc_' || CAST(d.doc_id AS VARCHAR) || CASE WHEN d.doc_id % 3 = 0 THEN '.dtsx' ELSE '.sql' END
-WHERE NOT o.transpiled AND o.file_type = 'CREATE PROCEDURE'""",
+WHERE NOT o.transpiled AND o.file_type = 'CREATE PROCEDURE'),
+nth AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_name) AS n FROM named)
+SELECT file_name, name || CASE WHEN n > 1 THEN '#' || n ELSE '' END || '.sql' AS staged_as, source FROM nth""",
 )
 def corp_stage_failing(t):
     sources = t.sql(

@@ -186,14 +186,14 @@ def pkg_precedence(t):
 
 @cases.add(
     "pkg_precedence_reach",
-    f"""WITH {PRECEDENCE}, hops AS (SELECT DISTINCT path, src, dst, 1 AS hops FROM edges
-  UNION SELECT a.path, a.src, b.dst, 2 FROM edges a JOIN edges b ON a.path = b.path AND a.dst = b.src)
+    f"""WITH RECURSIVE {PRECEDENCE}, longest AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM edges GROUP BY path)),
+hops AS (SELECT path, src, dst, 1 AS hops FROM edges
+  UNION SELECT a.path, a.src, b.dst, a.hops + 1 FROM hops a JOIN edges b ON a.path = b.path AND a.dst = b.src
+  WHERE a.hops < (SELECT n FROM longest))
 SELECT path, src, dst, CAST(min(hops) AS INT) AS hops FROM hops GROUP BY path, src, dst""",
 )
 def pkg_precedence_reach(t):
-    return packages.precedence_hops(
-        packages.precedence_edges(_packages(t, "flow_packages")), hops=3
-    )
+    return packages.precedence_reach(packages.precedence_edges(_packages(t, "flow_packages")))
 
 
 @cases.add(
@@ -228,7 +228,7 @@ def pkg_literal_count(t):
 
 # -- outcomes
 
-FIRST_LINE = r"left(regexp_extract({0}, '^[^\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]*'), 200)"
+FIRST_LINE = r"regexp_extract({0}, '^[^\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]*')"
 SQL_OUTCOMES = f"""sql_outcomes AS (
   SELECT file_name, file_type, engine, CAST(NULL AS VARCHAR) AS model,
     CASE WHEN exception_type IS NULL THEN success_count ELSE 0 END AS success_count,

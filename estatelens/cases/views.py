@@ -252,6 +252,15 @@ SELECT concat('flow_', CAST(p_partkey AS VARCHAR(20)), '.dtsx') AS path,
    '</DTS:Executables><DTS:PrecedenceConstraints>',
    '<DTS:PrecedenceConstraint DTS:refId="c0" DTS:From="Package', chr(92), 'Load" DTS:LogicalAnd="True" DTS:To="Package', chr(92), 'Move" DTS:Value="0"/>',
    repeat(concat('<DTS:PrecedenceConstraint DTS:refId="c1" DTS:From="Package', chr(92), 'Move" DTS:LogicalAnd="True" DTS:To="Package', chr(92), 'Notify" DTS:Value="0"/>'), CAST(p_size % 2 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s0" DTS:From="Step0" DTS:LogicalAnd="True" DTS:To="Step1" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s1" DTS:From="Step1" DTS:LogicalAnd="True" DTS:To="Step2" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s2" DTS:From="Step2" DTS:LogicalAnd="True" DTS:To="Step3" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s3" DTS:From="Step3" DTS:LogicalAnd="True" DTS:To="Step4" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s4" DTS:From="Step4" DTS:LogicalAnd="True" DTS:To="Step5" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s5" DTS:From="Step5" DTS:LogicalAnd="True" DTS:To="Step6" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s6" DTS:From="Step6" DTS:LogicalAnd="True" DTS:To="Step7" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s7" DTS:From="Step7" DTS:LogicalAnd="True" DTS:To="Step8" DTS:Value="0"/>', CAST(p_size % 3 AS INT)),
+   repeat('<DTS:PrecedenceConstraint DTS:refId="s8" DTS:From="Step8" DTS:LogicalAnd="True" DTS:To="Step0" DTS:Value="0"/>', CAST(p_size % 2 AS INT)),
    '</DTS:PrecedenceConstraints></DTS:Executable>') AS xml
 FROM {part}
 """,
@@ -335,6 +344,7 @@ def ansi(text: str) -> str:
     body = text.strip().format(**every)
     if not ctes:
         return body
-    if re.match(r"(?i)with\s", body):
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
+    own = re.match(r"(?i)with\s+(recursive\s+)?", body)
+    if own:
+        return f"WITH {own[1] or ''}" + ",\n".join(ctes) + ",\n" + body[own.end() :]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -78,10 +78,10 @@ def line_count(c: str | Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint") + 1
 
 
-def first_line(c: str | Column, width: int) -> Column:
-    """Text before the first line end, at most ``width`` characters."""
+def first_line(c: str | Column, width: int | None = None) -> Column:
+    """Text before the first line end, at most ``width`` characters of it if a width is given."""
     line = F.regexp_extract(_col(c), V.FIRST_LINE, 1)
-    return F.substring(line, 1, width)
+    return line if width is None else F.substring(line, 1, width)
 
 
 # -- dates

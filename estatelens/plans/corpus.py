@@ -5,7 +5,7 @@ Every step is DataFrame to DataFrame over ``(path, text)``, so the work spreads
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens import fixed_values as V
@@ -21,25 +21,15 @@ COUNTERS = ["with_clauses", "statistics", "indexes", "varchar_max"]
 # -- cleaning
 
 
-def is_warehouse_export(
-    scripts: DataFrame, max_files: int | None = None, max_chars: int | None = None
-) -> DataFrame:
+def is_warehouse_export(scripts: DataFrame) -> DataFrame:
     """One row, one boolean: do the scripts come from the parallel warehouse product?
 
-    True if any file ends in ``.dsql`` or any text shows its DDL. All files are read whole unless
-    limits are given (``SNIFF_MAX_FILES``, ``SNIFF_MAX_CHARS`` are the customary ones); limits apply
-    to the ``.sql`` files in path order.
+    True if any file ends in ``.dsql`` or any text shows its DDL; all files are read whole.
     """
     by_name = F.col("path").endswith(".dsql")
-    text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
-    by_text = F.col("path").endswith(".sql") & F.rlike(text, F.lit(V.WAREHOUSE_MARK))
+    by_text = F.col("path").endswith(".sql") & F.rlike("text", F.lit(V.WAREHOUSE_MARK))
     flag = F.coalesce(F.bool_or(F.col("hit")), F.lit(False)).alias("is_export")
-    if max_files is None:
-        return scripts.select((by_name | by_text).alias("hit")).agg(flag)
-    first = scripts.filter(F.col("path").endswith(".sql")).orderBy(path_order("path")).limit(max_files)
-    return (
-        scripts.select(by_name.alias("hit")).unionByName(first.select(by_text.alias("hit"))).agg(flag)
-    )
+    return scripts.select((by_name | by_text).alias("hit")).agg(flag)
 
 
 def _clean(df: DataFrame, text: str) -> DataFrame:
@@ -217,19 +207,33 @@ def regroup_files(code: DataFrame) -> DataFrame:
     """Converted blocks ``(path, pos, code)`` put together again, one row per source file.
 
     A group is one file: it holds no more than the file it was split from. Files are told apart by
-    their whole path; empty blocks are left out.
+    their whole path and written beside each other as in their folders; where two files of a folder
+    differ in their suffix only, the later path gets a number. Empty blocks are left out.
     """
     blocks = F.array_sort(F.collect_list(F.struct("pos", "code")))
-    return (
+    folder = F.regexp_extract("path", r"(?s)^.*/", 0)
+    files = (
         code.filter(F.coalesce(F.col("code"), F.lit("")) != "")
         .groupBy("path")
         .agg(blocks.alias("blocks"))
         .select(
             "path",
-            F.concat(F.lit("converted_"), S.stem("path"), F.lit(".sql")).alias("output_file"),
+            F.concat(folder, F.lit("converted_"), S.stem("path"), F.lit(".sql")).alias("output_file"),
             F.array_join("blocks.code", V.BLOCK_SEPARATOR).alias("text"),
         )
     )
+    return _numbered_names(files, "output_file", "path")
+
+
+def _numbered_names(files: DataFrame, name: str, order: str) -> DataFrame:
+    """File names made unique: the n-th of a name, by ``order``, ends in ``#n.sql`` from the second on."""
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    numbered = F.concat(F.regexp_replace(name, r"\.sql$", "#"), F.col("_nth").cast("string"), F.lit(".sql"))
+    return (
+        files.withColumn("_nth", nth)
+        .withColumn(name, F.when(F.col("_nth") > 1, numbered).otherwise(F.col(name)))
+        .drop("_nth")
+    )
 
 
 def stage_failing(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -239,8 +243,6 @@ def stage_failing(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
     """
     failing = outcomes.filter(~F.col("transpiled") & (F.col("file_type") == "CREATE PROCEDURE"))
     staged = F.regexp_replace("file_name", V.STAGED_NAME_BAD, "_")
-    return (
-        failing.select("file_name")
-        .join(sources.select("file_name", "source"), "file_name")
-        .select("file_name", F.concat(staged, F.lit(".sql")).alias("staged_as"), "source")
-    )
+    found = failing.select("file_name").join(sources.select("file_name", "source"), "file_name")
+    named = found.select("file_name", F.concat(staged, F.lit(".sql")).alias("staged_as"), "source")
+    return _numbered_names(named, "staged_as", "file_name")

@@ -16,8 +16,8 @@ KEY = ["file_name"]
 
 
 def failure_reason(kind: Column, message: Column) -> Column:
-    """``Type: first line of the message``, the line cut to 200 characters."""
-    return F.concat(kind, F.lit(": "), S.first_line(message, V.REASON_WIDTH))
+    """``Type: first line of the message``, the whole line; displays may cut it."""
+    return F.concat(kind, F.lit(": "), S.first_line(message))
 
 
 def object_outcomes(attempts: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def package_outcomes(
     """
     messages = diagnostics.groupBy("path").agg(
         F.array_sort(
-            F.collect_list(F.struct("ord", S.first_line("message", V.REASON_WIDTH).alias("line")))
+            F.collect_list(F.struct("ord", S.first_line("message").alias("line")))
         ).alias("messages")
     )
     rows = (

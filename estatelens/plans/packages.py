@@ -5,6 +5,8 @@ Per-package figures are made inside the row; only totals over packages are shuff
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -13,6 +15,7 @@ from estatelens import fixed_values as V
 from estatelens.functions import scalars as S
 from estatelens.functions import text as X
 from estatelens.functions import xml as M
+from estatelens.session import durable
 from estatelens.sources.literals import literal_relation
 
 ROOT_TYPE = "Package"
@@ -195,22 +198,29 @@ def _edges(packages: DataFrame, element: str, start: str, end: str) -> DataFrame
     )
 
 
-def precedence_hops(edges: DataFrame, hops: int) -> DataFrame:
-    """Pairs of tasks at most ``hops`` constraints apart, with the smallest distance.
+def precedence_reach(edges: DataFrame) -> DataFrame:
+    """All pairs of tasks that a chain of constraints connects, with the length of the shortest.
 
-    One equi-join per hop on package and task; a pair found again later keeps its first distance.
+    Each round joins the pairs found last with the constraints, on package and task, and goes on with
+    those not seen before, until there are none: as many rounds as the longest shortest chain. The XML
+    is parsed once; every round is stored, so none is computed again.
     """
-    step = edges.select("path", F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct()
-    reached = step.select("path", F.col("_from").alias("src"), F.col("_to").alias("dst"), F.lit(1).alias("hops"))
-    frontier = reached
-    for n in range(2, hops + 1):
-        frontier = (
-            frontier.join(step.withColumnRenamed("_from", "dst"), ["path", "dst"])
-            .select("path", "src", F.col("_to").alias("dst"), F.lit(n).alias("hops"))
+    pairs = ["path", "src", "dst"]
+    step = durable(edges.select(*pairs).dropna().distinct())
+    onward = step.select("path", F.col("src").alias("dst"), F.col("dst").alias("_to"))
+    found = [step.withColumn("hops", F.lit(1))]
+    while True:
+        reached = functools.reduce(DataFrame.unionByName, found)
+        further = durable(
+            found[-1]
+            .join(onward, ["path", "dst"])
+            .select("path", "src", F.col("_to").alias("dst"), F.lit(len(found) + 1).alias("hops"))
             .distinct()
+            .join(reached, pairs, "left_anti")
         )
-        reached = reached.unionByName(frontier)
-    return reached.groupBy("path", "src", "dst").agg(F.min("hops").alias("hops"))
+        if further.isEmpty():
+            return reached
+        found.append(further)
 
 
 def parameters(packages: DataFrame) -> DataFrame:

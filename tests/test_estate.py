@@ -62,14 +62,38 @@ def test_embedded_sql_and_parameters(pkgs):
     assert [tuple(r) for r in packages.parameters(pkgs).collect()] == [("d/p.dtsx", "Load & go", 0, "0", "$P::N", "Input")]
 
 
+def test_character_references(frame):
+    from estatelens.functions import xml
+
+    texts = {
+        "a &#39;b&#x27; &#60;&#x1F600;&#xa;": "a 'b' <\U0001f600\n",
+        "&amp;#39; &#38;lt; &amp;lt;&#9;": "&#39; &lt; &lt;\t",
+        "&#0; &#xD800; &#x110000; &#; &#12": "&#0; &#xD800; &#x110000; &#; &#12",
+        "&#xA": "&#xA",
+        "": "",
+        "&lt;&gt;&apos;&quot;": "<>'\"",
+    }
+    df = frame([(t,) for t in texts], "t string")
+    assert {r.t: r.u for r in df.select("t", xml.unescape(F.col("t")).alias("u")).collect()} == texts
+
+
 def test_edges_and_reach(pkgs):
     assert [(r.src, r.dst) for r in packages.data_flow_edges(pkgs).collect()] == [("Src.out", "Dst.in")]
     edges = packages.precedence_edges(pkgs)
     assert [(r.src, r.dst) for r in edges.orderBy("pos").collect()] == [("A", "B"), ("B", "C"), ("C", "A")]
-    reach = {(r.src, r.dst): r.hops for r in packages.precedence_hops(edges, 5).collect()}
+    reach = {(r.src, r.dst): r.hops for r in packages.precedence_reach(edges).collect()}
     assert len(reach) == 9 and reach[("A", "C")] == 2 and reach[("A", "A")] == 3
 
 
+def test_reach_has_no_limit(frame):
+    chain = [("p", i, f"t{i:02}", f"t{i + 1:02}") for i in range(12)] + [("q", 0, "t00", "t12"), ("q", 1, None, "x")]
+    edges = frame(chain, "path string, pos int, src string, dst string")
+    reach = {(r.path, r.src, r.dst): r.hops for r in packages.precedence_reach(edges).collect()}
+    assert len(reach) == 12 * 13 // 2 + 1
+    assert reach[("p", "t00", "t12")] == 12 and reach[("q", "t00", "t12")] == 1
+    assert packages.precedence_reach(edges.limit(0)).count() == 0
+
+
 def test_package_outcomes(frame):
     clean = '<c componentClassID="Microsoft.OLEDBSource"/>'
     mail = '<c ExecutableType="Microsoft.SendMailTask"/>'
@@ -95,7 +119,7 @@ def test_object_outcomes(frame):
     got = {r.file_name: r for r in outcomes.object_outcomes(attempts).collect()}
     assert (got["a"].transpiled, got["a"].failure_reason, got["a"].error_count) == (True, None, 0)
     assert (got["b"].transpiled, got["b"].failure_reason, got["b"].error_count) == (False, "x; y", 2)
-    assert (got["c"].success_count, got["c"].error_count, got["c"].failure_reason) == (0, 1, "Err: " + "l" * 200)
+    assert (got["c"].success_count, got["c"].error_count, got["c"].failure_reason) == (0, 1, "Err: " + "l" * 300)
     assert got["d"].failure_reason == "Err: " and got["a"].transpilation_scope == "Object"
     rate = outcomes.success_rate(outcomes.object_outcomes(attempts)).first()
     assert (rate.objects, rate.converted, rate.percent) == (4, 1, 25)

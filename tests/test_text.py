@@ -208,19 +208,17 @@ def test_empty_corpus_gives_empty_tables(frame):
 
 
 def test_sniffing(frame):
-    def flag(rows, **limits):
-        return corpus.is_warehouse_export(frame(rows, "path string, text string"), **limits).first()[0]
+    def flag(rows):
+        return corpus.is_warehouse_export(frame(rows, "path string, text string")).first()[0]
 
-    limits = {"max_files": V.SNIFF_MAX_FILES, "max_chars": V.SNIFF_MAX_CHARS}
     mark = "CREATE TABLE t (a int) WITH (distribution = HASH(a))"
-    assert flag([("a.dsql", "SELECT 1")]) and flag([("a.dsql", "SELECT 1")], **limits)
-    assert flag([("a.sql", mark)]) and flag([("a.sql", mark)], **limits)
+    assert flag([("a.dsql", "SELECT 1")])
+    assert flag([("a.sql", mark)])
     assert not flag([("a.dtsx", mark)])
     assert not flag([("a.sql", "SELECT 1")])
-    late = "x" * V.SNIFF_MAX_CHARS + " " + mark
-    assert flag([("a.sql", late)]) and not flag([("a.sql", late)], **limits)
+    assert flag([("a.sql", "x" * 300_000 + " " + mark)])
     many = [(f"{i:03}.sql", "SELECT 1") for i in range(30)] + [("999.sql", mark)]
-    assert flag(many) and not flag(many, **limits)
+    assert flag(many)
 
 
 def test_cleaning(frame):
@@ -248,11 +246,12 @@ def test_flat_copy_keeps_the_last_file_of_a_name(frame):
 
 
 def test_regrouped_files_keep_order(frame):
-    rows = [("d/a.sql", 2, "C"), ("d/a.sql", 0, "A"), ("d/a.sql", 1, ""), ("e/a.sql", 0, "Z"), ("f.sql", 0, None)]
+    rows = [("d/a.sql", 2, "C"), ("d/a.sql", 0, "A"), ("d/a.sql", 1, ""), ("e/a.sql", 0, "Z"), ("f.sql", 0, None), ("d/a.dsql", 0, "B")]
     got = corpus.regroup_files(frame(rows, "path string, pos int, code string")).collect()
     assert {(r.path, r.output_file): r.text for r in got} == {
-        ("d/a.sql", "converted_a.sql"): "A\n\n;\n\nC",
-        ("e/a.sql", "converted_a.sql"): "Z",
+        ("d/a.dsql", "d/converted_a.sql"): "B",
+        ("d/a.sql", "d/converted_a#2.sql"): "A\n\n;\n\nC",
+        ("e/a.sql", "e/converted_a.sql"): "Z",
     }
 
 
