@@ -37,11 +37,13 @@ MADE_UP = "example|sample|dummy|changeme|placeholder|your_|xxxx|1234567890|00000
 
 @dataclass(frozen=True)
 class Ownership:
-    """At most so many owners of a live value, at least so many of a copied one; signs a value has."""
+    """At most so many owners of a live value, at least so many of a copied one; signs a value has; whether
+    copies of a text count once, at the smallest of their owners."""
 
     live_owners: int = 1
     copied_owners: int = 3
     distinct_signs: int = 6
+    by_text: bool = False
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -55,8 +57,8 @@ def _parts(text: Column, kind: str) -> Column:
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of ``docs(doc_id, repo, owner, text)``.
 
-    rows: row, doc_id, text_hash. spans: row, repo, owner, kind, at (order of the kind), start, end,
-    from (where the value starts), value; code points, end exclusive.
+    rows: row, doc_id, text_hash. spans: row, repo, owner, text_hash, kind, at (order of the kind), start,
+    end, from (where the value starts), value; code points, end exclusive.
     """
     found = durable(
         docs.select(
@@ -72,10 +74,12 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = None
     for at, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         each = found.where(F.col(kind).isNotNull()).select(
-            "row", "repo", "owner", F.posexplode(kind).alias("i", "part")
+            "row", "repo", "owner", "text_hash", F.posexplode(kind).alias("i", "part")
         )
         each = each.select(
-            "row", "repo", "owner", "i", F.col("part.before").alias("before"), F.col("part.match").alias("match")
+            *["row", "repo", "owner", "text_hash", "i"],
+            F.col("part.before").alias("before"),
+            F.col("part.match").alias("match"),
         )
         end = F.sum(F.col("before") + F.coalesce(F.length("match"), F.lit(0))).over(upto)
         value = F.regexp_extract("match", pattern, group) if group else F.col("match")
@@ -88,6 +92,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 "row",
                 "repo",
                 "owner",
+                "text_hash",
                 F.lit(kind).alias("kind"),
                 F.lit(at).alias("at"),
                 (F.col("end") - F.length("match")).alias("start"),
@@ -102,9 +107,15 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ownership(spans: DataFrame, rule: Ownership) -> DataFrame:
     """(value_hash, verdict) of the values that are live or copied."""
-    places = spans.groupBy(F.xxhash64("value").alias("value_hash"), "owner", "repo").agg(
-        F.first("value").alias("value")
-    )
+    valued = spans.select(F.xxhash64("value").alias("value_hash"), "text_hash", "owner", "repo", "value")
+    if rule.by_text:
+        place = F.min(F.struct("owner", "repo")).alias("place")
+        valued = (
+            valued.groupBy("value_hash", "text_hash")
+            .agg(place, F.first("value").alias("value"))
+            .select("value_hash", "place.owner", "place.repo", "value")
+        )
+    places = valued.groupBy("value_hash", "owner", "repo").agg(F.first("value").alias("value"))
     owners = places.groupBy("value_hash", "owner").agg(
         F.count("*").alias("repos"), F.first("value").alias("value")
     )
