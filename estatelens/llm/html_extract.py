@@ -1,10 +1,12 @@
 """Main text of web pages by boosted trees over their elements.
 
 The model is fitted on a sample of at most ``TRAIN_PAGES`` pages of the table, labelled by what their
-markup says outright (article and main elements against navigation, footers, asides, forms and the
-like). So that it learns more than those names, each page is also taken with neutral names in changing
-dress and with boilerplate of every kind put around and into the article. Elements of all pages are then
-scored, and a decision that is free of contradictions along the tree picks the text.
+markup says outright (article and main elements against navigation, footers, asides, forms, comments and
+the like). Pages without article or main say nothing and are left out of the fit; where fewer than
+``MADE_PAGES`` others are found, made pages in plain containers fill up. So that the model learns more
+than those names, each page is also taken with neutral names in changing dress and with boilerplate of
+every kind put around and into the article. Elements of all pages are then scored, and a decision that is
+free of contradictions along the tree picks the text.
 
 The model is a few trees and the same for every page; pages are independent rows after that.
 """
@@ -20,13 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm.boosting import Boosted
-from estatelens.llm.dom import Page
+from estatelens.llm.dom import _ATTRIBUTE, _TOKEN, Page
 from estatelens.llm.workers import slices, strings
 
 #: Pages the model is fitted on at most.
 TRAIN_PAGES = 160
+#: Made pages that stand in for labelled ones.
+MADE_PAGES = 40
 MAIN = frozenset(["article", "main"])
 ASIDE = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu"])
+#: Words in class, id and role of containers that are no main text, also inside an article.
+NOT_MAIN = frozenset("ad ads comment comments share sharing social notice cookie consent".split())
 #: Neutral dress for an article and for what is not.
 MAIN_DRESS = ["post-content", "entry", "story-body", "content", "main-text", "article-body", "col-8", "x1"]
 OTHER_DRESS = {
@@ -46,6 +52,45 @@ EXTRA = [
 ]
 
 
+def made_page(number: int) -> str:
+    """A labelled page in plain containers, the same for a number every time."""
+    pick = random.Random(number)
+
+    def words(least: int, most: int) -> str:
+        lengths = [pick.randint(2, 10) for _ in range(pick.randint(least, most))]
+        return " ".join("".join(pick.choices("aeionrstl", k=n)) for n in lengths)
+
+    def sentences(least: int, most: int) -> str:
+        return " ".join(words(6, 20).capitalize() + "." for _ in range(pick.randint(least, most)))
+
+    def dressed(choices: list[str]) -> str:
+        return f' class="{pick.choice(choices)}"' if pick.random() < 0.6 else ""
+
+    def links(tag: str) -> str:
+        each = [f'<a href="/">{words(1, 4)}</a>' for _ in range(pick.randint(3, 9))]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>" if tag == "ul" else " ".join(each)
+
+    parts = [f"<h1>{words(3, 10)}</h1>"]
+    for _ in range(pick.randint(2, 9)):
+        parts.append(f"<p>{sentences(1, 6)}</p>")
+        more = pick.random()
+        if more < 0.15:
+            parts.append(f"<h2>{words(2, 6)}</h2>")
+        elif more < 0.25:
+            parts.append("<ul>" + "".join(f"<li>{sentences(1, 1)}</li>" for _ in range(3)) + "</ul>")
+        elif more < 0.3:
+            parts.append(f"<blockquote>{sentences(1, 2)}</blockquote>")
+    top, foot = OTHER_DRESS["nav"], OTHER_DRESS["footer"]
+    side = f"<div data-no{dressed(['sidebar', 'related'])}><h3>{words(1, 3)}</h3>{links('ul')}</div>"
+    body = f"<div data-yes{dressed(MAIN_DRESS)}>{''.join(parts)}</div>"
+    middle = [body, side] if pick.random() < 0.5 else [side, body] if pick.random() < 0.5 else [body]
+    return (
+        f"<html><head><title>{words(2, 6)}</title></head><body>"
+        f"<div data-no{dressed(top)}>{links(pick.choice(['ul', 'div']))}</div><div>{''.join(middle)}</div>"
+        f"<div data-no{dressed(foot)}><p>{words(3, 9)}</p>{links('div')}</div></body></html>"
+    )
+
+
 def variant(source: str, words: list[str], number: int) -> str:
     """The page in another dress; number 0 leaves it as it is."""
     if not number:
@@ -86,6 +131,8 @@ def labels(page: Page) -> np.ndarray:
     for i in range(1, len(page.tag)):
         tag, said = page.tag[i], page.attributes[i]
         no = tag in ASIDE or "data-no" in said or re.search(r'class="(ad|ads|advert\w*)"', said)
+        if not no and said and tag not in MAIN and "data-yes" not in said:
+            no = not NOT_MAIN.isdisjoint(_TOKEN.findall(" ".join(_ATTRIBUTE.findall(said)).lower()))
         if no:
             out[i] = False
         else:
@@ -94,9 +141,10 @@ def labels(page: Page) -> np.ndarray:
 
 
 def fit(pages: list[str], variants: int = 4) -> Boosted:
-    """The model from labelled pages; without any main text it takes none."""
+    """The model from the pages that are labelled, and from made ones where these are few."""
+    labelled = [source for source in pages if labels(Page(source)).any()]
     xs, ys = [], []
-    for source in pages:
+    for source in labelled + [made_page(i) for i in range(len(labelled), MADE_PAGES)]:
         words = re.sub(r"<[^>]*>", " ", source).split() or ["text"]
         for number in range(variants):
             page = Page(variant(source, words, number))
@@ -128,7 +176,8 @@ def extract(
 
     A null page is an empty one and has the empty text. Every row gives one row, also if it repeats
     another; an empty table gives none; null ids and urls stay null; other columns are not read. Pages
-    for the fit are those with the smallest hash of their text, so the same table gives the same model.
+    for the fit are the labelled ones with the smallest hash of their text, so the same table gives the
+    same model.
     """
     slim = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -138,14 +187,12 @@ def extract(
     h = F.xxhash64("html")
     sample = (
         slim.where("length(html) BETWEEN 1 AND 100000")
+        .where(F.rlike("html", F.lit(r"(?i)<(?:article|main)[\s/>]")))
         .select("html", h.alias("h"))
         .orderBy("h", "html")
         .limit(train_pages)
         .collect()
     )
-    if not sample:
-        none = F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")
-        return slim.select("page_id", "url", *none)
     model = fit([r["html"] for r in sample])
 
     def read(batches):

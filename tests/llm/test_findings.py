@@ -1,6 +1,8 @@
 """Cases of the second review."""
 
 import corpus_pipeline
+from estatelens.llm.dom import Page
+from estatelens.llm.html_extract import extract, fit, labels, main_texts
 from estatelens.llm.secrets import Ownership, redact
 
 
@@ -14,3 +16,29 @@ def test_pipeline_masks_secrets_of_two_owners(spark, documents):
     assert all(left[10 + i] == f"text {i} token=<secret>" for i in range(2))
     assert all(left[20 + i] == f"text {i} token={example}" for i in range(3))
     assert all("<secret>" not in r.text for r in redact(documents(rows), rule=Ownership()).collect())
+
+
+def plain_page(number, dress):
+    text = "".join(f"<p>Sentence {i} of page {number} tells, at some length, what happened on that day in town.</p>" for i in range(5))
+    menu = "".join(f'<li><a href="/{i}">go {i}</a></li>' for i in range(6))
+    return f"<html><body><div><ul>{menu}</ul></div><div{dress}><h1>Page {number}</h1>{text}</div><div><a href=/>imprint</a></div></body></html>"
+
+
+def test_pages_without_article_keep_their_text(spark):
+    rows = [(i, "u", plain_page(i, ["", ' class="content"'][i % 2])) for i in range(20)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        assert all(f"Sentence {i} of page {r.page_id} " in r.text for i in range(5))
+        assert "go 1" not in r.text and "imprint" not in r.text
+
+
+def test_unlabelled_pages_teach_nothing():
+    articles = [plain_page(i, "").replace("<div><h1>", "<article><h1>").replace("</p></div>", "</p></article>") for i in range(60)]
+    plain = [plain_page(100 + i, "") for i in range(60)]
+    text = main_texts(fit(articles + plain), [plain[0]])[0]
+    assert "Sentence 4 of page 100 " in text and "go 1" not in text
+
+
+def test_comments_inside_an_article_are_no_main_text():
+    page = Page('<article><p>text</p><div id="comments"><p>reply</p></div><div class="share-box">tell</div><p class="notice">n</p></article>')
+    assert page.text_of(labels(page)) == "text"
