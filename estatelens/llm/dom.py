@@ -10,7 +10,7 @@ import numpy as np
 # Fixed values of HTML: elements without contents, elements whose contents are no text of the page,
 # elements that end a line of text, and what an opening element closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object textarea title head".split())
+RAW = frozenset("script style template iframe svg textarea title head".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup "
@@ -43,6 +43,7 @@ TAGS = (
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
+_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.I | re.A) for name in RAW}
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SIGNS = re.compile(r"[.!?,;:]")
@@ -58,7 +59,6 @@ class Page:
 
     def read(self, source: str) -> None:
         stack, block, at = [0], 0, 0
-        lower = None
         for m in _TAG.finditer(source):
             if m.start() < at:
                 continue  # inside an element without text
@@ -85,11 +85,10 @@ class Page:
                     if tag in WALL:
                         break
             if name in RAW and name != "head":
-                if lower is None:
-                    lower = source.lower()
-                end = lower.find(f"</{name}", at)
-                end = len(source) if end < 0 else end
-                close = source.find(">", end)
+                if name == "svg" and m[3].endswith("/"):
+                    continue  # closed at once
+                end = _END[name].search(source, at)
+                close = source.find(">", end.start()) if end else -1
                 at = len(source) if close < 0 else close + 1
                 continue
             if name not in VOID:

@@ -42,3 +42,13 @@ def test_unlabelled_pages_teach_nothing():
 def test_comments_inside_an_article_are_no_main_text():
     page = Page('<article><p>text</p><div id="comments"><p>reply</p></div><div class="share-box">tell</div><p class="notice">n</p></article>')
     assert page.text_of(labels(page)) == "text"
+
+
+def test_skipped_elements_end_where_they_end():
+    def text(source):
+        page = Page(source)
+        return page.text_of([True] * len(page.tag))
+
+    assert text("<p>a<svg width=1 /><p>b<svg><text>no</text></svg>c") == "a\n\nbc"
+    assert text("<p>" + "\u0130" * 9 + "<script>x</SCRIPT >one<b>two</b>") == "\u0130" * 9 + "onetwo"
+    assert text("<p>a <math><mi>x</mi></math> <object>b</object> <noscript>c</noscript><math/> d") == "a x b c d"
