@@ -213,7 +213,8 @@ def near_duplicates(
     signed = durable(signatures(slim, near))
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    # documents with equal sets: one goes on, the others are tied to it
+    # documents with equal sets: one goes on, the others are tied to it; an id with several texts goes on
+    # with those of its sets that no smaller id has
     sets = known.groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
     )
@@ -221,15 +222,15 @@ def near_duplicates(
     copies = durable(
         spread_join(known.select("doc_id", "digest"), several, ["digest"])
         .where("doc_id <> first")
-        .select("doc_id", "first")
+        .select("doc_id", F.xxhash64("digest").alias("set"), "first")
         .distinct()
     )
-    singles = known.select("doc_id", "n_shingles", "bands").join(
-        copies.select("doc_id"), "doc_id", "left_anti"
+    singles = known.select("doc_id", F.xxhash64("digest").alias("set"), "n_shingles", "bands").join(
+        copies.select("doc_id", "set"), ["doc_id", "set"], "left_anti"
     )
 
     # buckets of two and more
-    banded = singles.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    banded = singles.select("doc_id", "set", "n_shingles", F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
         .agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
@@ -259,17 +260,21 @@ def near_duplicates(
     # buckets that still hold members of several components
     found = connected_components(links)
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+        "key", "doc_id", "set", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     placed = durable(placed)
-    sketched = signed.where("odd IS NOT NULL").select("doc_id", "odd").dropDuplicates(["doc_id"])
+    sketched = (
+        signed.where("odd IS NOT NULL")
+        .select("doc_id", F.xxhash64("digest").alias("set"), "odd")
+        .dropDuplicates(["doc_id", "set"])
+    )
     mixed_keys = (
         placed.groupBy("key")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .where("least <> most")
         .select("key")
     )
-    open_ = durable(placed.join(mixed_keys, "key", "left_semi").join(sketched, "doc_id"))
+    open_ = durable(placed.join(mixed_keys, "key", "left_semi").join(sketched, ["doc_id", "set"]))
     names = ("doc_id", "n_shingles", "component", "odd")
     x = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     y = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in names])

@@ -3,6 +3,7 @@
 import corpus_pipeline
 from estatelens.llm.dom import Page
 from estatelens.llm.html_extract import extract, fit, labels, main_texts
+from estatelens.llm.minhash import near_duplicates
 from estatelens.llm.secrets import Ownership, redact
 
 
@@ -52,3 +53,10 @@ def test_skipped_elements_end_where_they_end():
     assert text("<p>a<svg width=1 /><p>b<svg><text>no</text></svg>c") == "a\n\nbc"
     assert text("<p>" + "\u0130" * 9 + "<script>x</SCRIPT >one<b>two</b>") == "\u0130" * 9 + "onetwo"
     assert text("<p>a <math><mi>x</mi></math> <object>b</object> <noscript>c</noscript><math/> d") == "a x b c d"
+
+
+def test_every_text_of_an_id_counts(documents):
+    own, copied = " ".join(f"own{i}" for i in range(60)), " ".join(f"same{i}" for i in range(60))
+    rows = [(1, copied), (5, copied), (5, own), (7, f"{own} more"), (9, "else " * 3 + copied[::-1])]
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows)).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 9}
