@@ -111,6 +111,27 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=kind).reshape(len(parts), -1).astype(np.float64)
 
 
+def _best(q: np.ndarray, v: np.ndarray, entry: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, score) of the ``n`` best of each row of q; ties go to the smaller entry."""
+    near = q @ v.T
+    best = min(n, len(v))
+    least = np.partition(near, len(v) - best, axis=1)[:, len(v) - best]
+    # scores are rounded differently here, so all within the rounding of the last place go on
+    sizes = np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", v, v).max())
+    slack = 4 * np.finfo(np.float64).eps * q.shape[1] * sizes
+    row, column = np.nonzero(near >= (least - slack)[:, None])
+    score = np.concatenate(
+        [
+            np.einsum("ij,ij->i", q[row[i : i + 16384]], v[column[i : i + 16384]])
+            for i in range(0, len(row), 16384)
+        ]
+    )
+    order = np.lexsort((entry[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < best
+    return row[keep], column[keep], score[keep]
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -123,7 +144,8 @@ def nearest(
 
     Nearness is the inner product in double precision; ties go to the smaller id; a query never finds
     its own id. Vectors that are null, zero, hold null or non-finite components, or have another length
-    than the first of the sample, take no part on either side, nor do rows without an id. Rows that
+    than most (of equally frequent ones the smallest counts), take no part on either side, nor do rows
+    without an id. Rows that
     repeat an id and vector count once. Fewer than ``k`` candidates give fewer rows; no usable vectors or
     queries give none. Other columns are not read.
     """
@@ -142,14 +164,17 @@ def nearest(
         )
 
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(forest.sample).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sample:
+    lengths = rows.groupBy(F.size("v").alias("dims")).count()
+    most = lengths.orderBy(F.desc("count"), "dims").first()
+    if most is None:
         return empty
-    dims = len(sample[0]["v"])
-    fitted = np.array([r["v"] for r in sample if len(r["v"]) == dims], dtype=np.float64)
+    dims = most["dims"]
+    rows = rows.where(F.size("v") == dims)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(forest.sample).collect()
+    fitted = np.array([r["v"] for r in sample], dtype=np.float64)
     fitted = np.unique(fitted, axis=0)
-    rows = rows.where(F.size("v") == dims).dropDuplicates(["id", "v"])
+    rows = rows.dropDuplicates(["id", "v"])
     by_vector = Window.partitionBy("v").orderBy("id")
     entries = (
         rows.withColumn("at", F.row_number().over(by_vector))
@@ -229,17 +254,12 @@ def nearest(
         q = _matrix(left.column("vector").combine_chunks(), kind)
         v = _matrix(right.column("vector").combine_chunks(), kind)
         ids, entry = left.column("query").to_numpy(), right.column("entry").to_numpy()
-        best = min(k + 1, len(v))
         found = [[], [], []]
         for start in range(0, len(q), 512):
-            block = q[start : start + 512]
-            near = block @ v.T
-            top = np.argpartition(-near, best - 1, axis=1)[:, :best] if best < len(v) else np.tile(np.arange(len(v)), (len(block), 1))
-            row = np.repeat(np.arange(len(block)), best)
-            column = top.ravel()
+            row, column, score = _best(q[start : start + 512], v, entry, k + 1)
             found[0].append(ids[start : start + 512][row])
             found[1].append(entry[column])
-            found[2].append(np.einsum("ij,ij->i", block[row], v[column]))
+            found[2].append(score)
         return pa.table([pa.array(np.concatenate(f)) for f in found], names=names)
 
     hits = (

@@ -1,6 +1,9 @@
 """Cases of the second review."""
 
+import numpy as np
+
 import corpus_pipeline
+from estatelens.llm.ann_forest import Forest, nearest
 from estatelens.llm.dom import Page
 from estatelens.llm.html_extract import extract, fit, labels, main_texts
 from estatelens.llm.minhash import near_duplicates
@@ -60,3 +63,36 @@ def test_every_text_of_an_id_counts(documents):
     rows = [(1, copied), (5, copied), (5, own), (7, f"{own} more"), (9, "else " * 3 + copied[::-1])]
     got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows)).collect()}
     assert got == {1: 1, 5: 1, 7: 1, 9: 9}
+
+
+def test_the_most_frequent_length_counts(spark):
+    rows = [(i, [float(i % 7 + 1), 1.0]) for i in range(60)]
+    for odd in range(100, 140):
+        rows.append((odd, [1.0] * (odd - 90)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.query_id for r in nearest(df, df, k=3).collect()} == set(range(60))
+
+
+def test_ties_in_a_leaf_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(0)
+    grid = {tuple(x) for x in rng.integers(-3, 4, (600, 6)).tolist() if any(x)}
+    rows = [(i, [1.0, *map(float, x)]) for i, x in enumerate(sorted(grid))]
+    rows = [(i, v) for i, v in zip(rng.permutation(len(rows)).tolist(), [v for _, v in rows])]
+    query = [(9999, [1.0] + [0.0] * 6)]  # the same score with every vector
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame(rows + query, schema)
+    got = nearest(df, df.where("vec_id = 9999"), k=5, forest=Forest(trees=2, share=3.0)).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [0, 1, 2, 3, 4]
+
+
+def test_recall_beyond_the_least_rows(spark):
+    matrix = np.random.default_rng(1).standard_normal((12_000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 200 = 0"), k=20).collect()
+    hits = 0
+    for query in range(0, 12_000, 200):
+        scores = matrix @ matrix[query]
+        scores[query] = -np.inf
+        hits += len({r.vec_id for r in got if r.query_id == query} & set(np.argsort(-scores)[:20].tolist()))
+    print("recall", hits / 1200)
+    assert hits / 1200 >= 0.9
