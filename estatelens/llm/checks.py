@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from estatelens.llm.conversations import Costs
+from estatelens.llm.hard_negatives import Mining
 from estatelens.llm.line_dedup import Alike
 from estatelens.llm.quality import SYMBOLS, Rules
 from estatelens.llm.secrets import ADDED, KINDS, MADE_UP, Ownership
@@ -163,7 +165,143 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged"""
 
 
+def leaks(window: int) -> str:
+    """Item windows met with all word sequences of the documents that are as long."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def split(text: str) -> str:
+        return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{word}')"
+
+    return f"""
+WITH d AS (SELECT doc_id, {split("text")} AS w FROM documents),
+b AS (SELECT item_id, {split("text")} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), {window}) AS k,
+    unnest(list_transform(generate_series(1, greatest(len(w) - {window} + 1, 1)),
+      lambda i: array_to_string(w[i:i + {window} - 1], ' '))) AS s
+  FROM b WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (
+  SELECT doc_id, k, unnest(generate_series(1, len(w) - k + 1)) AS i,
+    unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM d JOIN ks ON len(w) >= k),
+met AS (SELECT dw.doc_id, dw.i, dw.k, win.item_id FROM dw JOIN win ON dw.k = win.k AND dw.s = win.s),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM met) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(found.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def conversation_repair(costs: Costs) -> str:
+    """The cheapest repair row by row, with whole lists of edits and whole repaired texts in every state."""
+    # states: 0 nothing yet, 1 after s, 2 after u, 3 after a
+    kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    coming = {0: ("user", 2), 1: ("user", 2), 2: ("assistant", 3), 3: ("user", 2)}
+    steps, ends = [], []
+    for state in range(4):
+        at, edits, cost, text = state, "", 0, ""
+        for _ in range(3):
+            rows = [("D", None, None, at, costs.delete)]
+            rows += [("K", initial, None, to, 0) for (s, initial), to in kept.items() if s == at]
+            rows.append(("R", None, coming[at][0], coming[at][1], costs.rerole))
+            for edit, initial, role, to, more in rows:
+                value = [state, f"'{edits}{edit}'", cost + more, f"'{edit}'", to, f"'{text}'"]
+                value += ["NULL" if x is None else f"'{x}'" for x in (initial, role)]
+                steps.append(f"({', '.join(map(str, value))})")
+            if at in (0, 3):
+                ends.append(f"({state}, '{edits}', {cost}, '{text}')")
+            role, at = coming[at]
+            edits, cost, text = edits + "I", cost + costs.insert, f"{text}|{role}:"
+    return f"""
+WITH RECURSIVE
+step(state, edits, cost, edit, next, added, initial, role) AS (VALUES {", ".join(steps)}),
+ending(state, edits, cost, added) AS (VALUES {", ".join(ends)}),
+bits AS (
+  SELECT list(x ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8)::UBIGINT[], lambda c, j:
+      CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END, i::UBIGINT) AS x
+    FROM range(256) r(i))),
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+        lambda x: ascii(x)::UBIGINT),
+      lambda a, x: xor(t[((xor(a, x) % 256) + 1)::BIGINT], a >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS f
+  FROM conversations, bits),
+damaged AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE f <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last
+  FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
+  FROM numbered),
+survivor(conv_id, n, state, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0, 'edits': '', 'text': ''}} FROM conversations
+  UNION ALL
+  SELECT v.conv_id, v.n + 1, p.next, min({{'cost': v.best.cost + p.cost
+      + CASE WHEN j.fault = 'truncated' AND p.edit <> 'D' THEN {costs.truncated} ELSE 0 END,
+    'edits': v.best.edits || p.edits,
+    'text': v.best.text || p.added || CASE p.edit WHEN 'D' THEN '' ELSE '|' || coalesce(p.role, j.role) || ':'
+      || replace(j.text, '|', chr(1)) END}})
+  FROM survivor v JOIN judged j ON j.conv_id = v.conv_id AND j.n = v.n + 1 JOIN step p ON p.state = v.state
+  WHERE (p.initial IS NULL OR p.initial = j.role[1])
+    AND (p.edit = 'D' OR j.fault IS NULL OR j.fault = 'truncated')
+  GROUP BY v.conv_id, v.n, p.next),
+finished AS (
+  SELECT v.conv_id, min({{'cost': v.best.cost + e.cost, 'edits': v.best.edits || e.edits, 'text': v.best.text || e.added}}) AS best
+  FROM survivor v JOIN ending e USING (state)
+  WHERE v.n = (SELECT count(*) FROM judged j WHERE j.conv_id = v.conv_id)
+  GROUP BY v.conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT f.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, f.best.cost::BIGINT AS cost, f.best.edits AS audit,
+  sha256(replace(replace(f.best.text[2:], '|', chr(10)), chr(1), '|')) AS repaired_sha256
+FROM finished f LEFT JOIN counts USING (conv_id)"""
+
+
+def hard_negatives(mining: Mining) -> str:
+    """All products of the anchors, ranked."""
+    return f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({mining.scale} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {mining.positives})
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 100 * score BETWEEN {mining.low_percent} * positive_score AND {mining.high_percent} * positive_score
+QUALIFY rank <= {mining.negatives}"""
+
+
 CHECKS["op1_minhash_dedup"] = near_groups(3, 85)
 CHECKS["op3_secret_scan"] = secret_spans(Ownership())
 CHECKS["op5_line_dedup"] = line_removal(Alike())
 CHECKS["op9_quality_rules"] = document_quality(Rules())
+CHECKS["op11_decontaminate"] = leaks(10)
+CHECKS["op12_repair_conversations"] = conversation_repair(Costs())
+CHECKS["op13_hard_negatives"] = hard_negatives(Mining())

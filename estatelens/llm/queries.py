@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from estatelens.llm import checks
 from estatelens.llm.ann_forest import nearest
+from estatelens.llm.conversations import audit_conversations, damage
+from estatelens.llm.decontaminate import find_contamination
+from estatelens.llm.hard_negatives import mine_hard_negatives
 from estatelens.llm.html_extract import extract
 from estatelens.llm.line_dedup import line_report
 from estatelens.llm.minhash import Near, near_duplicates
@@ -111,3 +115,31 @@ def op10_token_files(spark, sf_dir):
         table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"), end_id=0
     )
     return read_token_files(spark, folder)
+
+
+@register
+def op11_decontaminate(spark, sf_dir):
+    """Words of each document that lie in ten words of a benchmark item, and the items met."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@register
+def op12_repair_conversations(spark, sf_dir):
+    """Faults of the damaged conversations, and their cheapest repair."""
+    return audit_conversations(damage(table(spark, sf_dir, "conversations")), there_col="there")
+
+
+@register
+def op13_hard_negatives(spark, sf_dir):
+    """Ten hard negatives for each of the five positives of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
