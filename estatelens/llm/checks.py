@@ -101,7 +101,7 @@ WITH l AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
 tok AS (
   SELECT doc_id * 1000000 + line AS ord, unnest(w) AS t, len(w) AS n
-  FROM (SELECT doc_id, line, list_distinct({words("x")}) AS w FROM l) WHERE len(w) >= {like.min_words}),
+  FROM (SELECT doc_id, line, list_distinct({words("x")}) AS w FROM l) WHERE len(w) > 0),
 df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
 ranked AS (
   SELECT ord, t, n, row_number() OVER (PARTITION BY ord ORDER BY c, t) AS i FROM tok JOIN df USING (t)),

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estatelens.llm.workers import slices, utf8
+from estatelens.llm.workers import free, slices, utf8
 from estatelens.operators.skew import spread_join
 from estatelens.session import durable
 
@@ -264,14 +264,6 @@ def automata(
     return durable(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"))
 
 
-def free(name: str, df: DataFrame) -> str:
-    """A column name like ``name`` that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _matches(
     docs: DataFrame, text_col: str, made: DataFrame, window: int, out: str
 ) -> DataFrame:

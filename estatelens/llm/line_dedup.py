@@ -1,18 +1,18 @@
 """Line deduplication by an exact set-similarity join: DataFrame functions only.
 
-A line is the set of its words. It goes if an earlier line, by document id and line
-number, has a set with a Jaccard similarity of ``percent`` or more.
-
-* Tokens are 63-bit codes whose order is their rarity. Words are counted over the whole corpus and
-  dealt into 8,192 buckets by their hash; the most frequent word of each bucket is ranked by its count,
-  and all others come before those, long words first, which are the rarer ones, then by their hash. The
-  two arrays this takes have a fixed size, so codes need no join, and as a code depends on the word
-  alone, the order is the same in every line.
+A line is the set of its words; lines without words always stay. It goes if an earlier line, by document
+id and line number, has a set with a Jaccard similarity of ``percent`` or more.
+
+* Tokens are 63-bit codes whose order is their rarity. Words are counted over the whole corpus by 65,536
+  buckets of their hash, and a bucket's rank by its count leads the code. The array of ranks has a fixed
+  size, so codes need no join, and as a code depends on the word alone, the order is the same in every line.
 * Lines with equal sets are one; all but the first go at once, and only the first goes on.
 * Two sets of n and m tokens can only be similar if they share one of their rarest
   ``n - ceil(t * n) + 1`` tokens (prefix filter), if neither is smaller than t times the other (length
-  filter), and if enough tokens stand behind the shared one in both (positional filter).
-* Semi joins find the lines for which such a partner exists at all; only those go on.
+  filter), and if enough tokens stand behind the shared one in both (positional filter). Sets too small to
+  be similar to any other set than their equals are not looked for.
+* A semi join over one shuffle of slim postings finds the lines for which such a partner exists at all; a
+  sketch of the set lets few others through. Only those lines are read and cut again, with all their codes.
 * Of the lines that share a rare token, each is first compared with the earliest of them alone. Only
   lines that this does not settle are compared with the other earlier ones, so a family of variants
   costs one comparison a line. Every pair that passes the filters is settled or verified on full sets.
@@ -25,23 +25,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.llm.workers import free
 from estatelens.operators.skew import hot_keys, spread_join
 from estatelens.session import durable
 
-BUCKET_BITS = 13
-BUCKETS = 1 << BUCKET_BITS
+BUCKET_BITS = 16
 LOW_BITS = 63 - BUCKET_BITS
-OWNER_BITS = 40
+#: Bits of a code that bring postings together.
+KEY_BITS = 40
+#: Tokens up to which a line's sketch has 64 bits instead of 128.
+SHORT_SKETCH = 64
 #: White space other than spaces and line feeds.
 BLANK = "\t\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class Alike:
-    """Similarity in percent from which a later line goes; lines of fewer words are left alone."""
+    """Similarity in percent from which a later line goes."""
 
     percent: int = 80
-    min_words: int = 5
 
 
 def _words(text: Column) -> Column:
@@ -51,78 +53,44 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(spaced, text), " "), "")
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(_words(line), _hash))
-
-
-def _hash(word: Column) -> Column:
-    """58 bits of hash, and in the last six how short the word is."""
-    short = F.lit(63) - F.least(F.length(word), F.lit(63))
-    return F.xxhash64(word).bitwiseAND(F.lit(-64)).bitwiseOR(short.cast("long"))
-
-
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
-
-
-def lines_of(docs: DataFrame, like: Alike) -> DataFrame:
-    """(doc_id, line, hashes) of the lines that are compared; lines count from 0."""
-    return (
-        docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-        .select("doc_id", "line", _hashes(F.col("words")).alias("hashes"))
-        .where(F.size("hashes") >= like.min_words)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, text) of all lines with words; lines count from 0."""
+    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")
     )
+    return lines.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
 
 
-@dataclass(frozen=True)
-class Ranks:
-    """By bucket: low bits of its most frequent word's hash, and that word's rank by count."""
-
-    words: Column
-    ranks: Column
-
+def rarity(docs: DataFrame) -> Column:
+    """The rank of each bucket of words by its count over all texts.
 
-def rarity(docs: DataFrame) -> Ranks:
-    """The ranks over all texts.
-
-    The driver sees one row per bucket. The arrays are literals because lambdas take no subqueries.
+    Words are counted by bucket before any shuffle; the driver sees one number per bucket. The ranks are a
+    literal because lambdas take no subqueries.
     """
     words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.groupBy(_hash(F.col("w")).alias("h")).count()
-    top = 62 - OWNER_BITS
-    packed = F.shiftleft(F.least(F.col("count"), F.lit((1 << top) - 1)), OWNER_BITS).bitwiseOR(
-        _low(F.col("h"), OWNER_BITS)
-    )
-    most = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.max(packed).alias("most")).collect()
-    order = sorted(most, key=lambda r: (r["most"] >> OWNER_BITS, r["b"]))
-    words_at, ranks_at = [-1] * BUCKETS, [0] * BUCKETS
-    for rank, row in enumerate(order):
-        words_at[row["b"]] = row["most"] & ((1 << OWNER_BITS) - 1)
-        ranks_at[row["b"]] = rank
-    return Ranks(_literal(words_at), _literal(ranks_at))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()
+    ranks = [0] * (1 << BUCKET_BITS)
+    for rank, row in enumerate(sorted(counts, key=lambda r: (r["count"], r["b"]))):
+        ranks[row["b"]] = rank
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _literal(numbers: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
 def _low(h: Column, bits: int) -> Column:
     return h.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _codes(hashes: Column, ranks: Ranks) -> Column:
-    """Tokens as codes, rarest first."""
+def _codes(line: Column, ranks: Column) -> Column:
+    """The distinct words of a line as codes, rarest first."""
 
     def code(h: Column) -> Column:
-        known = F.get(ranks.words, _bucket(h)) == _low(h, OWNER_BITS)
-        rank = F.when(known, F.get(ranks.ranks, _bucket(h))).otherwise(F.lit(0).cast("long"))
-        short = F.shiftleft(_low(h, 6), LOW_BITS - 6)
-        return F.shiftleft(rank, LOW_BITS).bitwiseOR(short).bitwiseOR(
-            F.shiftrightunsigned(_low(h, LOW_BITS), 6)
-        )
+        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("long"))
+        return F.shiftleft(rank, LOW_BITS).bitwiseOR(_low(h, LOW_BITS))
 
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, code))
 
 
@@ -149,8 +117,11 @@ def _may_match(percent: int) -> Column:
     """
     n, m = F.col("n_a"), F.col("n_b")
     behind = F.least(n - F.col("i_a"), m - F.col("i_b"))
-    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(
-        F.col("high_a").bitwiseXOR(F.col("high_b"))
+    low = F.col("low_a").bitwiseXOR(F.col("low_b"))
+    high = F.col("high_a").bitwiseXOR(F.col("high_b"))
+    # the 64-bit sketch of a set is that of 128 bits, folded
+    apart = F.when(F.least(n, m) > SHORT_SKETCH, F.bit_count(low) + F.bit_count(high)).otherwise(
+        F.bit_count(low.bitwiseXOR(high))
     )
     return (
         (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
@@ -159,12 +130,27 @@ def _may_match(percent: int) -> Column:
     )
 
 
-def _odd(half: int) -> Column:
-    """64 bits of the odd sketch of ``codes``: one per bucket, set if it holds an odd number of them."""
-    return F.expr(
-        f"aggregate(codes, 0L, (bits, code) -> if((code & 64) = {64 * half}, "
-        "bits ^ shiftleft(1L, cast(code & 63 as int)), bits))"
-    )
+def _sketch() -> dict[str, Column]:
+    """``low`` and ``high``: the odd sketch of ``codes``, a bit per bucket, set if it holds an odd number of them.
+
+    Sets of few tokens have one of 64 bits in ``low``.
+    """
+
+    def odd(which: str) -> Column:
+        return F.expr(f"aggregate({which}, 0L, (bits, code) -> bits ^ shiftleft(1L, cast(code & 63 as int)))")
+
+    few = F.size("codes") <= SHORT_SKETCH
+    halves = [odd(f"filter(codes, code -> (code & 64) = {64 * half})") for half in (0, 1)]
+    return {
+        "low": F.when(few, odd("codes")).otherwise(halves[0]),
+        "high": F.when(few, F.lit(0).cast("long")).otherwise(halves[1]),
+    }
+
+
+def _prefix(percent: int) -> Column:
+    n = F.size("codes")
+    rare = F.slice("codes", F.lit(1), n - _needed(n, percent) + 1)
+    return F.transform(rare, lambda c: _low(c, KEY_BITS))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,21 +171,13 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     """(doc_id, line) of the lines of ``docs(doc_id, text)`` that an earlier one makes superfluous."""
     t = like.percent
     ranks = rarity(docs)
-    coded = lines_of(docs, like).select("doc_id", "line", _codes(F.col("hashes"), ranks).alias("codes"))
-    n = F.size("codes")
-    rare = F.slice("codes", F.lit(1), n - _needed(n, t) + 1)
-    # a posting only has to bring lines together, so 32 bits of a code will do
+    coded = lines_of(docs).select("doc_id", "line", _codes(F.col("text"), ranks).alias("codes"))
     slim = durable(
         coded.select(
-            "doc_id",
-            "line",
-            n.alias("n"),
-            F.xxhash64("codes").alias("set"),
-            F.transform(rare, lambda c: F.hash(c)).alias("prefix"),
-            _odd(0).alias("low"),
-            _odd(1).alias("high"),
+            "doc_id", "line", F.size("codes").alias("n"), F.xxhash64("codes").alias("set"), _prefix(t).alias("prefix"),
+            *[c.alias(name) for name, c in _sketch().items()],
         )
-    )
+    )
 
     # equal sets: the first stays
     docs_of = slim.groupBy("set", "n").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("times"))
@@ -213,16 +191,18 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
         .where((F.col("doc_id") > F.col("doc_a")) | (F.col("line") > F.col("line_a")))
         .select("doc_id", "line")
     )
-    firsts = slim.drop("set").join(equal, ["doc_id", "line"], "left_anti")
-    each = firsts.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("i", "code"))
-    lines = durable(_plausible(each, t))
-    postings = durable(_with_heads(each.join(lines, ["doc_id", "line"], "left_semi")))
+    # a set of n tokens is only ever similar to another one if n / (n + 1) reaches the threshold
+    firsts = slim.drop("set").where(F.col("n") * 100 >= (F.col("n") + 1) * t)
+    firsts = firsts.join(equal, ["doc_id", "line"], "left_anti")
+    lines = durable(_plausible(_postings(firsts), t))
+    sets = durable(_again(docs, lines, ranks).withColumns({"n": F.size("codes"), "prefix": _prefix(t)} | _sketch()))
+    postings = durable(_with_heads(_postings(sets)))
 
     # each line and the earliest that shares a rare token with it
     others = postings.where("doc_a IS NOT NULL").withColumnsRenamed(_sided("b"))
     keys = ["doc_a", "line_a", "doc_b", "line_b"]
     first_pairs = durable(others.where(_may_match(t)).select(*keys).distinct())
-    settled = durable(_verified(first_pairs, _candidate_sets(docs, like, ranks, first_pairs), t))
+    settled = durable(_verified(first_pairs, sets, t))
 
     # lines that are still open, and all earlier ones
     open_ = others.drop(*_sided("a").values()).join(
@@ -232,22 +212,24 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     before = _earlier(F.col("doc_a"), F.col("line_a"), F.col("doc_b"), F.col("line_b"))
     rest = open_.join(earlier, "code").where(before & _may_match(t))
     more_pairs = durable(rest.select(*keys).distinct().join(first_pairs, keys, "left_anti"))
-    more = _verified(more_pairs, _candidate_sets(docs, like, ranks, more_pairs), t)
+    more = _verified(more_pairs, sets, t)
     return durable(equal.unionAll(settled).unionAll(more).distinct())
 
 
+def _postings(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("i", "code"))
+
+
 def _plausible(postings: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line) of the lines that share a code with another line and pass the filters with it.
 
-    Semi joins stop at the first such line and write no pairs. All sides are the same rows dealt by code,
-    so they share one shuffle, and all that follows works on these lines alone.
+    A semi join stops at the first such line and writes no pairs. Both sides are the same rows dealt by code,
+    so they share one shuffle.
     """
-    a = postings.select("code", *[F.col(c).alias(name) for c, name in _sided("a").items()])
-    b = postings.select("code", *[F.col(c).alias(name) for c, name in _sided("b").items()])
+    a, b = (postings.select("code", *CARRIED).withColumnsRenamed(_sided(side)) for side in "ab")
     other = (F.col("doc_a") != F.col("doc_b")) | (F.col("line_a") != F.col("line_b"))
-    same = a["code"] == b["code"]
     return (
-        b.join(a, same & other & _may_match(percent), "left_semi")
+        b.join(a, (a["code"] == b["code"]) & other & _may_match(percent), "left_semi")
         .select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line"))
         .distinct()
     )
@@ -298,29 +280,26 @@ def _with_heads(postings: DataFrame) -> DataFrame:
     return cold.unionByName(hot_rows)
 
 
-def _candidate_sets(docs: DataFrame, like: Alike, ranks: Ranks, pairs: DataFrame) -> DataFrame:
-    """(doc_id, line, codes) of the lines in ``pairs``, read from the texts again."""
-    sides = [
-        pairs.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"line_{s}").alias("line")) for s in "ab"
-    ]
-    wanted = durable(sides[0].unionAll(sides[1]).distinct())
-    lines = lines_of(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), like)
-    found = lines.join(wanted, ["doc_id", "line"], "left_semi")
-    coded = found.select("doc_id", "line", _codes(F.col("hashes"), ranks).alias("codes"))
-    return durable(coded.dropDuplicates(["doc_id", "line"]))
+def _again(docs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
+    """(doc_id, line, codes) of some lines, cut from the texts of their documents again.
+
+    Of rows that repeat an id, the lines of one number are one line here as before: the least codes stand for it.
+    """
+    texts = docs.join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = lines_of(texts).join(lines, ["doc_id", "line"], "left_semi")
+    return found.select("doc_id", "line", _codes(F.col("text"), ranks).alias("codes")).dropDuplicates(["doc_id", "line"])
 
 
-def _marked(docs: DataFrame, like: Alike, id_col: str, text_col: str) -> DataFrame:
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = repeated_lines(slim, like).groupBy(F.col("doc_id").alias("_l_id")).agg(
-        F.collect_list("line").alias("_l_gone")
-    )
-    marked = docs.withColumn("_d_id", F.col(id_col).cast("long"))
-    return marked.join(durable(gone), F.col("_d_id") == F.col("_l_id"), "left")
+def _marked(docs: DataFrame, like: Alike, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with the lines that go, and the columns of the document's id and of these lines."""
+    key, gone, of = (free(name, docs) for name in ("doc_key", "gone_lines", "gone_doc"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    lines = repeated_lines(slim, like).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("line").alias(gone))
+    marked = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    return marked.join(durable(lines), F.col(key) == F.col(of), "left"), F.col(key), F.col(gone)
 
 
-def _kept_text(text: Column) -> Column:
-    gone = F.col("_l_gone")
+def _kept_text(text: Column, gone: Column) -> Column:
     kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(gone, i))
     return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
@@ -330,15 +309,16 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` without the lines that an earlier line makes superfluous; all rows and columns stay.
 
-    Lines are what stands between line feeds. A null text stays null, an empty one empty, and a text that
+    Lines are what stands between line feeds; they may be of any length, and of lines that are similar to each
+    other the first one stays. A null text stays null, an empty one empty, and a text that
     loses all its lines becomes empty. Rows without an id are left as they are. Rows that repeat an id are
     one document: their lines of one number are no earlier and later ones, and what goes, goes from all.
     An empty table stays empty.
     """
-    marked = _marked(docs, like, id_col, text_col)
+    marked, _, gone = _marked(docs, like, id_col, text_col)
     text = F.col(f"`{text_col}`")
     return marked.select(
-        *[_kept_text(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+        *[_kept_text(text, gone).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     )
 
 
@@ -346,11 +326,11 @@ def line_report(
     docs: DataFrame, like: Alike = Alike(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed and the text that is left; nulls as in ``dedup_lines``."""
-    marked = _marked(docs, like, id_col, text_col)
+    marked, key, gone = _marked(docs, like, id_col, text_col)
     text = F.col(f"`{text_col}`")
     return marked.select(
-        F.col("_d_id").alias("doc_id"),
+        key.alias("doc_id"),
         F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_l_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        _kept_text(text).alias("text"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        _kept_text(text, gone).alias("text"),
     )

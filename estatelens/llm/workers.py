@@ -1,4 +1,4 @@
-"""Small helpers for code that runs in Python workers."""
+"""Small helpers of the operators, most for code that runs in Python workers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handed to a Python worker at once; Spark's own limit of bytes applies too.
 BATCH_ROWS = 2000
@@ -35,6 +35,14 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of a column, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -89,13 +89,13 @@ def masked(text, added, mask="<secret>"):
     return text
 
 
-def line_dedup(docs, percent=80, min_words=5):
+def line_dedup(docs, percent=80):
     """(doc_id, text) in any order -> {doc_id: text left}."""
     lines = []
     for doc, text in docs:
         for i, line in enumerate((text or "").split("\n")):
             words = set(WORD.findall(line))
-            if len(words) >= min_words:
+            if words:
                 lines.append((doc, i, words))
     lines.sort(key=lambda x: x[:2])
     gone = set()
