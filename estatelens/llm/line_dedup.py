@@ -109,16 +109,20 @@ def _earlier(doc_a, line_a, doc_b, line_b) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (line_a < line_b))
 
 
-def _may_match(percent: int) -> Column:
-    """Length, positional and odd-sketch filter on the columns ``CARRIED`` of a and b.
+def _may_match(percent: int, named: str = "{0}_{1}") -> Column:
+    """Length, positional and odd-sketch filter on the columns ``CARRIED`` of a and b, ``named`` by side.
 
     Sets of n and m tokens at the threshold t differ in (1 - t) / (1 + t) * (n + m) tokens at most, and
     their odd sketches in no more bits than that.
     """
-    n, m = F.col("n_a"), F.col("n_b")
-    behind = F.least(n - F.col("i_a"), m - F.col("i_b"))
-    low = F.col("low_a").bitwiseXOR(F.col("low_b"))
-    high = F.col("high_a").bitwiseXOR(F.col("high_b"))
+
+    def of(name: str, side: str) -> Column:
+        return F.col(named.format(name, side))
+
+    n, m = of("n", "a"), of("n", "b")
+    behind = F.least(n - of("i", "a"), m - of("i", "b"))
+    low = of("low", "a").bitwiseXOR(of("low", "b"))
+    high = of("high", "a").bitwiseXOR(of("high", "b"))
     # the 64-bit sketch of a set is that of 128 bits, folded
     apart = F.when(F.least(n, m) > SHORT_SKETCH, F.bit_count(low) + F.bit_count(high)).otherwise(
         F.bit_count(low.bitwiseXOR(high))
@@ -226,13 +230,12 @@ def _plausible(postings: DataFrame, percent: int) -> DataFrame:
     A semi join stops at the first such line and writes no pairs. Both sides are the same rows dealt by code,
     so they share one shuffle.
     """
-    a, b = (postings.select("code", *CARRIED).withColumnsRenamed(_sided(side)) for side in "ab")
-    other = (F.col("doc_a") != F.col("doc_b")) | (F.col("line_a") != F.col("line_b"))
-    return (
-        b.join(a, (a["code"] == b["code"]) & other & _may_match(percent), "left_semi")
-        .select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line"))
-        .distinct()
-    )
+    # both sides are the same plan down to the order of columns, or the shuffle would be made twice
+    a, b = postings.alias("a"), postings.alias("b")
+    other = (F.col("a.doc_id") != F.col("b.doc_id")) | (F.col("a.line") != F.col("b.line"))
+    same = F.col("a.code") == F.col("b.code")
+    partner = same & other & _may_match(percent, "{1}.{0}")
+    return b.join(a, partner, "left_semi").select("doc_id", "line").distinct()
 
 
 #: What a posting says of its line.
