@@ -183,21 +183,21 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
         )
     )
 
-    # equal sets: the first stays
-    docs_of = slim.groupBy("set", "n").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("times"))
-    several = docs_of.where("times > 1").drop("times")
-    copies = durable(
-        spread_join(slim.select("doc_id", "line", "set", "n"), several, ["set", "n"])
-    )
-    lines_at = copies.where("doc_id = doc_a").groupBy("set", "n").agg(F.min("line").alias("line_a"))
-    equal = durable(
-        spread_join(copies, lines_at, ["set", "n"])
-        .where((F.col("doc_id") > F.col("doc_a")) | (F.col("line") > F.col("line_a")))
-        .select("doc_id", "line")
-    )
+    # equal sets: the first line stays, and what a posting says follows from the set alone
+    place = F.struct("doc_id", "line")
+    heads = durable(
+        slim.groupBy("set", "n").agg(
+            F.min(place).alias("head"), F.count("*").alias("times"),
+            *[F.any_value(c).alias(c) for c in ("prefix", "low", "high")],
+        )
+    )
+    several = heads.where("times > 1").select("set", "n", "head")
+    copies = spread_join(slim.select("doc_id", "line", "set", "n"), several, ["set", "n"])
+    equal = durable(copies.where(place > F.col("head")).select("doc_id", "line"))
     # a set of n tokens is only ever similar to another one if n / (n + 1) reaches the threshold
-    firsts = slim.drop("set").where(F.col("n") * 100 >= (F.col("n") + 1) * t)
-    firsts = firsts.join(equal, ["doc_id", "line"], "left_anti")
+    firsts = heads.where(F.col("n") * 100 >= (F.col("n") + 1) * t).select(
+        "head.doc_id", "head.line", "n", "prefix", "low", "high"
+    )
     lines = durable(_plausible(_postings(firsts), t))
     sets = durable(_again(docs, lines, ranks).withColumns({"n": F.size("codes"), "prefix": _prefix(t)} | _sketch()))
     postings = durable(_with_heads(_postings(sets)))
