@@ -6,6 +6,8 @@ so a text of many megabytes neither backtracks nor deepens the stack.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,23 +55,15 @@ def batches(c: Column) -> Column:
     return F.split(c, V.BATCH_LINE)
 
 
-def _block_comment(depth: int) -> str:
-    """A closed block comment that may hold further ones, ``depth`` levels down."""
-    inner = r"[^*/]++|\*(?!/)|/(?!\*)"
-    pattern = rf"/\*(?:{inner})*+\*/"
-    for _ in range(depth):
-        pattern = rf"/\*(?:{inner}|{pattern})*+\*/"
-    return pattern
-
-
-# what may stand between two separating semicolons; a comment left open runs to the end
+# what may stand between two separating semicolons where no comment holds another one; a comment left
+# open runs to the end
+_FLAT_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/)*+(?:\*/)?"
 _BETWEEN = "|".join(
     [
         r"'(?:[^']++|'')*+'",
         r'"(?:[^"]++|"")*+"',
         r"--[^\n]*+",
-        _block_comment(depth=8),
-        r"/\*[\s\S]*+",
+        _FLAT_COMMENT,
         r"""[^;'"/\-]++""",
         r"/(?!\*)",
         r"-(?!-)",
@@ -77,20 +71,99 @@ _BETWEEN = "|".join(
 )
 # a quote that opens nothing matches alone and so marks an unbalanced text
 _PIECE = rf"""(?:{_BETWEEN})++|['"]"""
+# an opening mark between another one and the next closing mark: comments may be nested
+_NESTED = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+/\*"
+# all that can change what a semicolon means; signs of comment marks that touch are taken together
+_MARK = r"""(?:\*/)++\*?|(?:/\*)++/?|--|[;'"\n]"""
+# what stands around a mark: nothing, a quote, a double quote, a line comment; above 0 the comment depth
+_PLAIN, _QUOTE, _DOUBLE, _LINE = 0, -1, -2, -3
+_MARKS_AT_ONCE = 1000
 
 
 def split_semicolons(batch: Column) -> Column:
-    """Pieces between semicolons that are in no quote and no comment.
+    """Pieces between semicolons that are in no quote and no comment; comments may be nested at any depth.
 
     If a quote is left open every semicolon separates.
     """
     pieces = F.regexp_extract_all(batch, F.lit(_PIECE), F.lit(0))
     open_quote = F.exists(pieces, lambda p: p.isin("'", '"'))
+    flat = F.when(open_quote, F.split(batch, ";")).otherwise(pieces)
     return F.filter(
-        F.when(open_quote, F.split(batch, ";")).otherwise(pieces), lambda p: ~is_blank(p)
+        F.when(F.rlike(batch, F.lit(_NESTED)), _split_nested(batch)).otherwise(flat), lambda p: ~is_blank(p)
+    )
+
+
+def _after(state: Column, mark: Column) -> Column:
+    """The state behind a mark.
+
+    Marks that touch, ``*/*/…``, close comments pair by pair; with none left open, the next star is a
+    plain sign, and the pairs that follow it open comments again.
+    """
+    pairs = F.floor(F.length(mark) / 2).cast("int")
+    left = F.length(mark) - 2 * state
+    closed = F.when(pairs <= state, state - pairs).when(left > 0, F.floor((left - 1) / 2).cast("int")).otherwise(0)
+    return (
+        F.when(mark == ";", state)
+        .when(mark == "\n", F.when(state == _LINE, _PLAIN).otherwise(state))
+        .when(mark == "'", F.when(state == _PLAIN, _QUOTE).when(state == _QUOTE, _PLAIN).otherwise(state))
+        .when(mark == '"', F.when(state == _PLAIN, _DOUBLE).when(state == _DOUBLE, _PLAIN).otherwise(state))
+        .when(mark == "--", F.when(state == _PLAIN, _LINE).otherwise(state))
+        .when(state < 0, state)
+        .when(mark.startswith("/"), state + pairs)
+        .otherwise(closed)
     )
 
 
+def _split_nested(batch: Column) -> Column:
+    """``split_semicolons`` by a depth counter that runs over the marks of a batch.
+
+    The fold writes a 1 for each semicolon that separates and a 0 for any other. It goes by stretches of
+    marks, so that what it has written so far is copied once a stretch instead of once a mark.
+    """
+    start = F.struct(F.lit(_PLAIN).alias("state"), F.lit("").alias("cuts"))
+
+    def one(done: Column, mark: Column) -> Column:
+        cut = F.when(mark != ";", "").when(done["state"] == _PLAIN, "1").otherwise("0")
+        return F.struct(_after(done["state"], mark).alias("state"), F.concat(done["cuts"], cut).alias("cuts"))
+
+    def stretch(marks: Column, done: Column, first: Column) -> Column:
+        fresh = F.struct(done["state"].alias("state"), F.lit("").alias("cuts"))
+        return F.aggregate(
+            F.slice(marks, first, F.lit(_MARKS_AT_ONCE)),
+            fresh,
+            one,
+            lambda made: F.struct(made["state"].alias("state"), F.concat(done["cuts"], made["cuts"]).alias("cuts")),
+        )
+
+    def fold(marks: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(marks), F.lit(1)), F.lit(_MARKS_AT_ONCE))
+        return F.aggregate(firsts, start, lambda done, first: stretch(marks, done, first))
+
+    # NUL a stands for a NUL of the text and NUL b for a cut, so that no text can hold a cut by itself
+    kept = F.split(F.replace(batch, F.lit("\x00"), F.lit("\x00a")), ";")
+
+    def cut(cuts: Column) -> Column:
+        joined = F.transform(
+            kept, lambda piece, i: F.when(i == 0, piece).otherwise(
+                F.concat(F.when(F.get(cuts, i - 1) == "1", "\x00b").otherwise(";"), piece)
+            )
+        )
+        return F.transform(
+            F.split(F.array_join(joined, ""), "\x00b"), lambda p: F.replace(p, F.lit("\x00a"), F.lit("\x00"))
+        )
+
+    def pieces(end: Column) -> Column:
+        found = _bound(F.split(end["cuts"], ""), cut)
+        return F.when(end["state"].isin(_QUOTE, _DOUBLE), F.split(batch, ";")).otherwise(found)
+
+    return _bound(_bound(F.regexp_extract_all(batch, F.lit(_MARK), F.lit(0)), fold), pieces)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often ``then`` and lambdas in it refer to it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def is_routine(batch: Column) -> Column:
     """Does the batch create a procedure, function or trigger?"""
     return F.rlike(strip_comments(batch), F.lit(V.ROUTINE))

@@ -173,6 +173,24 @@ def test_very_long_texts(frame):
     assert run(frame, [comments], X.classify) == ["SELECT"]
 
 
+@pytest.mark.parametrize("depth", [2, 9, 10, 60, 1000])
+def test_comments_nested_at_any_depth(frame, depth):
+    nested = "/*'" * depth + " ; \x00b " + "*/" * depth
+    text = f"SELECT 1 {nested}; SELECT '/*'; {nested} SELECT 2*/*;*/3 -- /* ;\n; SELECT 4 /* /* ; */ ;"
+    assert run(frame, [text], X.split_semicolons) == [scan(text)]
+    assert len(scan(text)) == 4
+
+
+def test_many_nested_comments(frame):
+    """A semicolon and a nested comment two hundred thousand times, marks that touch, and an open end."""
+    one = "SELECT 1 /* a /* ; */ b */ ;"
+    texts = [one * 100_000, "/*" * 300_000 + ";", "/*/*" + "*/" * 300_000 + "a;b", "/*/**/ ' " * 50_000 + ";", "/* /* */ '"]
+    texts += ["a /*/**/*/ ; 'x /*;' ; b", "a; /* /* */ */ ' ; b", ""]
+    got = run(frame, texts, X.split_semicolons)
+    assert len(got[0]) == 100_000 and set(got[0]) == {one[:-1]}
+    assert got[1:] == [scan(t) for t in texts[1:]]
+
+
 def test_objects_and_ids(frame):
     scripts = frame(
         [
