@@ -9,10 +9,11 @@ from estatelens.cases import (
     etl_cases,
     flow_cases,
     scalar_cases,
+    sink_cases,
 )
 from estatelens.cases.base import Cases
 
-AREAS = [assessment, scalar_cases, corpus_cases, estate_cases, etl_cases, flow_cases]
+AREAS = [assessment, scalar_cases, corpus_cases, estate_cases, etl_cases, flow_cases, sink_cases]
 
 
 def all_cases() -> Cases:

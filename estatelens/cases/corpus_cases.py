@@ -224,6 +224,25 @@ def corp_split(t):
     return corpus.statements(_scripts(t))
 
 
+#: Comments nested 2 to 20 deep, some 1,000, with quotes and semicolons inside.
+_DEPTH = "CASE WHEN o_orderkey % 997 = 0 THEN 1000 ELSE CAST(2 + o_orderkey % 19 AS INT) END"
+_NESTED = f"concat(repeat('/* a \" b; ', {_DEPTH}), ' ; ', repeat('*/', {_DEPTH}))"
+
+
+@cases.add(
+    "corp_split_nested",
+    f"""
+SELECT o_orderkey, unnest([0, 1, 2]) AS pos, unnest([concat('SELECT a ', {_NESTED}, ' b'), ' SELECT 2*/*;*/3 ',
+  concat(' ', {_NESTED}, ' SELECT 4')]) AS statement FROM {{orders}}""",
+)
+def corp_split_nested(t):
+    """Statements between comments that hold comments."""
+    nested = F.expr(_NESTED)
+    text = F.concat(F.lit("SELECT a "), nested, F.lit(" b; SELECT 2*/*;*/3 ; "), nested, F.lit(" SELECT 4"))
+    scripts = spread(t["orders"].select("o_orderkey"), "o_orderkey").select("o_orderkey", text.alias("text"))
+    return scripts.select("o_orderkey", F.posexplode(X.split_statements(F.col("text"))).alias("pos", "statement"))
+
+
 @cases.add(
     "corp_classify",
     f"WITH {RAW_OBJECTS} SELECT path, pos, object_type FROM classed",

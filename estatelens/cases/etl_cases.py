@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estatelens.cases.base import Cases
+from estatelens.cases.sink_cases import inserted, loaded
 from estatelens.cases.views import AS_OF
 from estatelens.functions import scalars as S
 from estatelens.operators import merge as M
@@ -61,7 +62,8 @@ def etl_customer_dim(t):
     f"""SELECT customer_id, customer_code AS customer_name, email, 'Active' AS status, {NOW_TEXT} AS process_date FROM {{etl_customer}} WHERE is_active""",
 )
 def etl_insert_select(t):
-    return W.active_customers(t["etl_customer"], AS_OF)
+    """The customer stage after INSERT … SELECT of the active customers."""
+    return inserted(t, W.active_customers(t["etl_customer"], AS_OF))
 
 
 @cases.add(
@@ -70,7 +72,7 @@ def etl_insert_select(t):
 )
 def etl_truncate_load(t):
     """The stage after truncate and load: nothing of its old rows, all of the new ones."""
-    return M.replace_where(t["etl_fact_finance"], t["etl_stage_finance"], F.lit(True))
+    return loaded(t, t["etl_fact_finance"], t["etl_stage_finance"])
 
 
 @cases.add(
@@ -205,7 +207,8 @@ def etl_inventory_update(t):
     f"SELECT product_id, warehouse_id, -quantity AS quantity_change, {NOW_TEXT} AS log_date FROM {{etl_movements}}",
 )
 def etl_log_insert(t):
-    return W.inventory_log(t["etl_movements"], AS_OF)
+    """The log table after the movements were inserted."""
+    return inserted(t, W.inventory_log(t["etl_movements"], AS_OF))
 
 
 # -- facts

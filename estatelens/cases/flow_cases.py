@@ -7,8 +7,10 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from estatelens.cases.base import Cases
+from estatelens.cases.sink_cases import Scratch
 from estatelens.operators import dataflow as D
-from estatelens.sinks.tables import identifier
+from estatelens.session import durable
+from estatelens.sinks.tables import identifier, load
 
 cases = Cases()
 
@@ -40,7 +42,9 @@ def flow_source_query(t):
     """SELECT '`dw`.`' || lower(o_orderpriority) || '`' AS destination, count(*) AS rows FROM {orders} GROUP BY o_orderpriority""",
 )
 def flow_destination(t):
-    """Rows per destination a bracketed name stands for."""
+    """Rows per destination a bracketed name stands for, after all were appended to a table named like that."""
+    stored = Scratch(t, t["orders"].select("o_orderpriority").limit(0))
+    load(t["orders"].select("o_orderpriority"), f"[{stored.name}]")
     priorities = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     names = F.create_map(
         *[F.lit(x) for p in priorities for x in (p, identifier(f"[dw].[{p.lower()}]"))]
@@ -49,7 +53,7 @@ def flow_destination(t):
         names[F.col("o_orderpriority")],
         F.concat(F.lit("`dw`.`"), F.lower("o_orderpriority"), F.lit("`")),
     )
-    return t["orders"].groupBy(destination.alias("destination")).agg(F.count("*").alias("rows"))
+    return stored.result().groupBy(destination.alias("destination")).agg(F.count("*").alias("rows"))
 
 
 @cases.add(
@@ -118,12 +122,13 @@ def flow_aggregate(t):
 
 @cases.add(
     "flow_row_count",
-    "SELECT event_type, count(*) AS rows FROM {events} GROUP BY event_type",
+    "SELECT event_type, count(*) AS rows, CAST((SELECT count(*) FROM {events}) AS BIGINT) AS all_rows FROM {events} GROUP BY event_type",
 )
 def flow_row_count(t):
-    """Rows per output, with an observation on the way that leaves the rows as they are."""
-    counted, _ = D.row_count(t["events"].select("event_type"))
-    return D.aggregate(counted, ["event_type"], rows="count(*)")
+    """Rows per output and in all: the total from an observation on the way, read once the rows were written."""
+    counted, seen = D.row_count(t["events"].select("event_type"))
+    by_type = durable(D.aggregate(counted, ["event_type"], rows="count(*)"))
+    return by_type.withColumn("all_rows", F.lit(seen.get["rows"]).cast("long"))
 
 
 @cases.add(

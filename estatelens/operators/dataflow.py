@@ -107,10 +107,20 @@ def lookup(
 
 
 def merge_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join of two inputs on equal keys: inner, left or full."""
+    """Join of two inputs on equal keys: inner, left or full. A null key matches nothing.
+
+    A full outer join cannot deal a hot key out: each side's rows of it are one task. Here the left rows meet
+    the right ones in a left join that spreads hot left keys over salts, and the right rows without a partner
+    follow from an anti join with the left side's different keys, in which hot right keys are spread.
+    """
     if how not in ("inner", "left", "full"):
         raise ValueError(f"a merge join is inner, left or full, not {how!r}")
-    return left.join(right, list(keys), how)
+    keys = list(keys)
+    joined = spread_join(left, right, keys, "left" if how == "full" else how)
+    if how != "full":
+        return joined
+    rest = spread_join(right, left.select(*keys).distinct(), keys, "left_anti")
+    return joined.unionByName(rest, allowMissingColumns=True)
 
 
 def union_all(*inputs: DataFrame) -> DataFrame:

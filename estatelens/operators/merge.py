@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.operators.skew import spread_join
+from estatelens.session import durable
 
 
 def has_null(keys: Sequence[str]) -> Column:
@@ -49,36 +50,37 @@ def merge(
     By default all columns are updated and inserted; a column left out of ``insert`` is null in new
     rows. A key that occurs twice in the source raises. A null key matches nothing.
 
-    Two joins instead of one full outer join: the target rows meet the source in a join that spreads
-    hot target keys, which a full outer join cannot, and the source is checked against the target's
-    different keys only. Both sides are read more than once, so store one that is costly to make
-    (``session.durable``).
+    The source is checked and stored once, and so is what the target's join with it gives: a left join that
+    spreads hot target keys, which a full outer join cannot. Rows to insert are the source keys that this join
+    did not meet, so neither side is read again for them.
     """
     columns = target.columns
     update = [c for c in columns if c not in keys] if update is None else list(update)
     insert = columns if insert is None else list(insert)
     types = {f.name: f.dataType for f in target.schema.fields}
-    right = one_per_key(source.filter(~has_null(keys)), keys, "_new")
+    keyed = durable(one_per_key(source.filter(~has_null(keys)), keys, "_new"))
     new = F.col("_new")
 
-    kept = spread_join(target, right, keys, "left").select(
-        *[
-            F.when(new.isNotNull(), new[c].cast(types[c])).otherwise(F.col(c)).alias(c)
-            if c in update
-            else F.col(c)
-            for c in columns
-        ]
-    )
-
     def added(rows: DataFrame, value) -> DataFrame:
         return rows.select(
             *[(value(c) if c in insert else F.lit(None)).cast(types[c]).alias(c) for c in columns]
         )
 
-    known = target.select(*keys).distinct()
-    inserted = added(right.join(known, list(keys), "left_anti"), lambda c: new[c])
+    joined = durable(
+        spread_join(target, keyed, keys, "left").select(
+            *[
+                F.when(new.isNotNull(), new[c].cast(types[c])).otherwise(F.col(c)).alias(c)
+                if c in update
+                else F.col(c)
+                for c in columns
+            ],
+            new.isNotNull().alias("_met"),
+        )
+    )
+    met = joined.where("_met").select(*keys).distinct()
+    inserted = added(keyed.join(met, list(keys), "left_anti"), lambda c: new[c])
     keyless = added(source.filter(has_null(keys)), F.col)
-    return kept.unionByName(inserted).unionByName(keyless)
+    return joined.drop("_met").unionByName(inserted).unionByName(keyless)
 
 
 def update_from(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import scalars as S
 from estatelens.operators.merge import merge, replace_where, update_from
+from estatelens.sinks.tables import load
 from estatelens.operators.numbering import newest_numbered
 from estatelens.operators.skew import spread_join
 
@@ -218,3 +219,11 @@ def audit_row(
     return rows.agg(F.count("*").alias("rows_processed")).select(
         F.lit(process_name).alias("process_name"), "rows_processed", now.alias("process_date")
     )
+
+
+def audited_load(rows: DataFrame, table: str, process_name: str) -> DataFrame:
+    """Append ``rows`` to a stored table; the audit row has their number, counted while they were written."""
+    loaded = load(rows, table)
+    return rows.sparkSession.range(1).select(
+        F.lit(process_name).alias("process_name"), F.lit(loaded).cast("long").alias("rows_processed")
+    )

@@ -94,6 +94,21 @@ def test_reach_has_no_limit(frame):
     assert packages.precedence_reach(edges.limit(0)).count() == 0
 
 
+def test_long_chains_take_few_rounds(frame, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(packages, "durable", lambda df, keep=packages.durable: rounds.append(1) or keep(df))
+    n = 1000
+    chain = [("p", 0, f"t{i}", f"t{i + 1}") for i in range(n)]
+    ring = [("r", 0, f"t{i}", f"t{(i + 1) % 7}") for i in range(7)] + [("r", 0, "t0", "t3")]
+    reach = packages.precedence_reach(frame(chain + ring, "path string, pos int, src string, dst string"))
+    p = reach.where("path = 'p'").selectExpr("int(substr(src, 2)) a", "int(substr(dst, 2)) b", "hops")
+    assert p.count() == n * (n + 1) // 2 and p.where("hops <> b - a").count() == 0
+    # the edges, ten rounds that double 1 to 1,024, and one that finds nothing
+    assert len(rounds) <= 12
+    hops = {(r.src, r.dst): r.hops for r in reach.where("path = 'r'").collect()}
+    assert len(hops) == 49 and hops[("t0", "t3")] == 1 and hops[("t6", "t4")] == 3 and hops[("t4", "t4")] == 5
+
+
 def test_package_outcomes(frame):
     clean = '<c componentClassID="Microsoft.OLEDBSource"/>'
     mail = '<c ExecutableType="Microsoft.SendMailTask"/>'

@@ -302,6 +302,27 @@ def test_merge_join_kinds(frame):
         D.merge_join(a, b, ["k"], "cross")
 
 
+def test_full_merge_join_deals_hot_keys_out(spark, monkeypatch):
+    monkeypatch.setattr(skew, "will_broadcast", lambda df: False)
+    left = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id % 500) AS k", "id AS a").unionByName(
+        spark.createDataFrame([(None, -1)], "k long, a long")
+    )
+    right = spark.range(900).selectExpr("if(id % 3 = 0, 499, id + 300) AS k", "id AS b").where("k <> 7").unionByName(
+        spark.createDataFrame([(7, -7), (None, -2)], "k long, b long")
+    )
+    got = D.merge_join(left, right, ["k"], "full")
+    assert rows(got) == rows(left.join(right, "k", "full").select("k", "a", "b"))
+    # the hot key's 3,000 rows are dealt out over many tasks
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        dealt = D.merge_join(left, right, ["k"], "full").where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(dealt) > 8 and max(r["count"] for r in dealt) < 1000
+
+
 def test_brute_force_helper_counts():
     """Guard for the checks above: the helper itself tells matched from inserted."""
     out = brute_merge([(1, "x", "a", 1)], [(1, "x", "s", 2), (2, "x", "n", 3)], ["a"], ["k", "j"])

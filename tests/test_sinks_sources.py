@@ -142,6 +142,51 @@ def test_truncate_load_and_count(spark, table):
     assert tables.read(spark, name).count() == 7
 
 
+def test_a_stage_can_be_loaded_from_itself(spark, table):
+    name = table("stage_self")
+    tables.overwrite(spark.range(5), name)
+    assert tables.truncate_load(tables.read(spark, name).where("id > 2"), name) == 2
+    assert rows(tables.read(spark, name)) == [(3,), (4,)]
+    broken = spark.range(3).select(F.raise_error(F.lit("no rows")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no rows"):
+        tables.truncate_load(broken, name)
+    assert rows(tables.read(spark, name)) == [(3,), (4,)]
+
+
+def state_of(folder):
+    return {(p.parent.name, p.name): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_merge_into_a_stored_table(spark, table, frame, tmp_path):
+    name = table("merged")
+    old = frame([(i, f"a{i}", i % 5) for i in range(50)] + [(3, "twice", 3), (None, "none", 1), (90, "no day", None)], "k int, v string, day int")
+    old.write.option("path", str(tmp_path)).partitionBy("day").saveAsTable(name)
+    before = state_of(tmp_path)
+    new = frame([(3, "b3", 3), (13, "b13", 3), (100, "new", 7), (None, "n2", 3), (48, "moved", 4)], "k int, v string, day int")
+    assert tables.merge_into(new, name, ["k"], "day") == [3, 4, 7]
+    after = state_of(tmp_path)
+    untouched = {key for key in before if key[0] not in ("day=3", "day=4")}
+    assert untouched and all(after[key] == before[key] for key in untouched)
+    assert not {key for key in before if key not in untouched} & set(after)
+    want = [(i, f"a{i}", i % 5) for i in range(50) if i not in (3, 13, 48)]
+    want += [(3, "b3", 3), (3, "b3", 3), (13, "b13", 3), (48, "moved", 4), (100, "new", 7), (None, "n2", 3), (None, "none", 1), (90, "no day", None)]
+    assert rows(tables.read(spark, name)) == sorted(want, key=repr)
+    # once more changes nothing but adds the row without a key again
+    tables.merge_into(new.where("k IS NOT NULL"), name, ["k"], "day")
+    assert rows(tables.read(spark, name)) == sorted(want, key=repr)
+    # a row that moves leaves its partition, here as the last one of it
+    assert tables.merge_into(frame([(100, "moved", 0)], "k int, v string, day int"), name, ["k"], "day") == [0, 7]
+    got = {r.k: (r.v, r.day) for r in tables.read(spark, name).where("k IN (90, 100)").collect()}
+    assert got == {90: ("no day", None), 100: ("moved", 0)} and tables.read(spark, name).count() == len(want)
+    for row in ((90, "day", 2), (1, "no day", None)):
+        with pytest.raises(ValueError, match="without a day"):
+            tables.merge_into(frame([row], "k int, v string, day int"), name, ["k"], "day")
+    with pytest.raises(Exception, match="several rows"):
+        tables.merge_into(frame([(1, "x", 1), (1, "y", 1)], "k int, v string, day int"), name, ["k"], "day")
+    assert tables.merge_into(new.limit(0), name, ["k"], "day") == []
+    assert tables.read(spark, name).count() == len(want)
+
+
 def test_schema_and_views(spark):
     tables.ensure_schema(spark, "extra_schema")
     tables.ensure_schema(spark, "extra_schema")
