@@ -314,7 +314,7 @@ def corp_to_inventory(t):
 
 @cases.add(
     "corp_regroup_files",
-    f"""WITH {CLEAN_OBJECTS}, files AS (SELECT path, regexp_extract(path, '^.*/') || 'converted_' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) AS name,
+    f"""WITH {CLEAN_OBJECTS}, files AS (SELECT path, regexp_extract(path, '^.*/') || 'converted_' || replace(regexp_extract(path, '([^/]*)\\.[^./]*$', 1), '#', '##') AS name,
   string_agg(source, chr(10) || chr(10) || ';' || chr(10) || chr(10) ORDER BY pos) AS text FROM sized GROUP BY path),
 nth AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS n FROM files)
 SELECT path, name || CASE WHEN n > 1 THEN '#' || n ELSE '' END || '.sql' AS output_file, text FROM nth""",

@@ -185,15 +185,22 @@ def split_statements(c: Column) -> Column:
 # -- one statement
 
 
-def head_of(statement: Column) -> Column:
-    """The statement's first characters after leading comments, upper case."""
+def head_of(statement: Column, strict: bool = False) -> Column:
+    """The statement's first characters after leading comments, upper case.
+
+    ``strict`` gives its first five words instead, however long they are and whatever stands between them.
+    """
     space = r"[\s\x1c-\x1f]"
     leading = rf"(?sU)^{space}*+(?:--[^\n]*\n|/\*.*?\*/{space}*)++"
     rest = F.ltrim(F.regexp_replace(statement, leading, ""), F.lit(V.WHITE_SPACE))
+    if strict:
+        between = rf"(?:{space}|--[^\n]*+\n|/\*[\s\S]*?\*/)++"
+        words = F.regexp_extract(rest, rf"(?U)^(?:[^\s\x1c-\x1f]++{between}){{0,4}}+[^\s\x1c-\x1f]*+", 0)
+        return F.upper(strip(F.regexp_replace(words, rf"(?U){between}", " ")))
     return F.upper(F.substring(rest, 1, V.CLASSIFY_WIDTH))
 
 
-def statement_records(c: Column) -> Column:
+def statement_records(c: Column, strict: bool = False) -> Column:
     """The statements of a script, each with its text, its text without comments and its head.
 
     Making the three together, before the array is exploded, lets later steps use them as plain
@@ -202,7 +209,7 @@ def statement_records(c: Column) -> Column:
     return F.transform(
         split_statements(c),
         lambda s: F.struct(
-            s.alias("statement"), strip_comments(s).alias("bare"), head_of(s).alias("head")
+            s.alias("statement"), strip_comments(s).alias("bare"), head_of(s, strict).alias("head")
         ),
     )
 
@@ -229,7 +236,7 @@ def kind_of(head: Column, strict: bool = False) -> Column:
 
 def classify(statement: Column, strict: bool = False) -> Column:
     """The kind of a statement by its text."""
-    return kind_of(head_of(statement), strict)
+    return kind_of(head_of(statement, strict), strict)
 
 
 def name_in(bare: Column) -> Column:

@@ -142,7 +142,7 @@ def objects(
     statement, bare = F.col("statement"), F.col("bare")
     name = F.coalesce(X.name_in(bare), S.stem("path"))
     return (
-        scripts.select("path", F.posexplode(X.statement_records(F.col("text"))).alias("pos", "r"))
+        scripts.select("path", F.posexplode(X.statement_records(F.col("text"), strict)).alias("pos", "r"))
         .select("path", "pos", "r.*")
         .filter(~X.is_blank(bare))
         .withColumn("object_type", X.kind_of(F.col("head"), strict))
@@ -208,21 +208,19 @@ def regroup_files(code: DataFrame) -> DataFrame:
 
     A group is one file: it holds no more than the file it was split from. Files are told apart by
     their whole path and written beside each other as in their folders; where two files of a folder
-    differ in their suffix only, the later path gets a number. Empty blocks are left out.
+    differ in their suffix only, the later path gets a number behind a ``#``, and each ``#`` of a file's own
+    name is doubled, so that no name is made twice. Names are numbered without their texts. Empty blocks are
+    left out.
     """
     blocks = F.array_sort(F.collect_list(F.struct("pos", "code")))
     folder = F.regexp_extract("path", r"(?s)^.*/", 0)
-    files = (
-        code.filter(F.coalesce(F.col("code"), F.lit("")) != "")
-        .groupBy("path")
-        .agg(blocks.alias("blocks"))
-        .select(
-            "path",
-            F.concat(folder, F.lit("converted_"), S.stem("path"), F.lit(".sql")).alias("output_file"),
-            F.array_join("blocks.code", V.BLOCK_SEPARATOR).alias("text"),
-        )
+    own = F.replace(S.stem("path"), F.lit("#"), F.lit("##"))
+    full = code.filter(F.coalesce(F.col("code"), F.lit("")) != "")
+    names = full.select("path").distinct().select(
+        "path", F.concat(folder, F.lit("converted_"), own, F.lit(".sql")).alias("output_file")
     )
-    return _numbered_names(files, "output_file", "path")
+    texts = full.groupBy("path").agg(F.array_join(blocks["code"], V.BLOCK_SEPARATOR).alias("text"))
+    return texts.join(_numbered_names(names, "output_file", "path"), "path").select("path", "output_file", "text")
 
 
 def _numbered_names(files: DataFrame, name: str, order: str) -> DataFrame:

@@ -73,6 +73,16 @@ def record_outcomes(
     return tables.read(spark, name)
 
 
+def write_converted(code: DataFrame, folder: str) -> DataFrame:
+    """Write converted blocks ``(path, pos, code)`` to ``folder``, one text per source file.
+
+    Returns ``(path, output_file)``, where each file's text went.
+    """
+    converted = durable(corpus.regroup_files(code))
+    files.write_texts(converted, folder)
+    return converted.select("path", "output_file")
+
+
 def stage_failing(spark: SparkSession, database: str, folder: str) -> DataFrame:
     """Write every procedure that did not convert to ``folder``, one text each."""
     objects = tables.read(spark, f"{database}.objects").select(

@@ -78,6 +78,15 @@ def test_assessment_from_folder_to_figures(spark, folder):
         assert dashboard.objects_by(summary, "Platform").count() == 2
 
 
+def test_converted_texts_are_written_and_read_back(spark, tmp_path):
+    rows = [("d/a.sql", 1, "B"), ("d/a.sql", 0, "A\n\nA"), ("d/a.dsql", 0, "é"), ("d/a#2.sql", 0, "own"), ("x.sql", 0, "")]
+    written = run.write_converted(spark.createDataFrame(rows, "path string, pos int, code string"), str(tmp_path / "out"))
+    names = {r.path: r.output_file for r in written.collect()}
+    back = spark.read.text(str(tmp_path / "out"), wholetext=True)
+    got = {r.output_file: r.value.removesuffix("\n") for r in back.collect()}
+    assert got == {names["d/a.sql"]: "A\n\nA\n\n;\n\nB", names["d/a.dsql"]: "é", names["d/a#2.sql"]: "own"}
+
+
 def test_assessment_of_scripts_only(spark, tmp_path):
     (tmp_path / "x.sql").write_text("SELECT 1;")
     stored = run.assess(spark, str(tmp_path), "assess_small")

@@ -126,9 +126,12 @@ def test_kinds(frame):
 
 
 def test_strict_kind_looks_at_the_next_word_only(frame):
-    text = ["CREATE VIEW v AS SELECT * FROM BigTable", "CREATE OR ALTER PROC p AS SELECT 1"]
+    text = [
+        "CREATE VIEW v AS SELECT * FROM BigTable", "CREATE OR ALTER PROC p AS SELECT 1", "create" + " " * 5000 + "view v_TableX as select 1",
+        "CREATE /* a */ OR\n-- b\nALTER\n\n" + "\t" * 90 + "FUNCTION f()", "-- x\n/* y */ " + "LONG" * 40 + " 1", "INSERT\nINTO t", "",
+    ]
     got = run(frame, text, lambda c: X.classify(c, strict=True))
-    assert got == ["CREATE VIEW", "CREATE PROCEDURE"]
+    assert got == ["CREATE VIEW", "CREATE PROCEDURE", "CREATE VIEW", "CREATE FUNCTION", "LONG" * 40, "INSERT", "OTHER"]
 
 
 def test_names(frame):
@@ -273,6 +276,15 @@ def test_regrouped_files_keep_order(frame):
     }
 
 
+def test_no_converted_name_is_made_twice(frame):
+    stems = ["a", "a#2", "a##2", "a#", "a#3", "a##", "b"]
+    paths = [f"d/{stem}.{suffix}" for stem in stems for suffix in ("sql", "dsql", "SQL")] + ["a.sql", "e/a.sql"]
+    rows = [(p, 0, p) for p in paths]
+    got = corpus.regroup_files(frame(rows, "path string, pos int, code string")).collect()
+    names = [r.output_file for r in got]
+    assert len(set(names)) == len(names) == len(paths) and all(r.path == r.text for r in got)
+
+
 def test_function_calls(frame):
     text = "SELECT ISNULL(SUM(x), 0), 'f(x)', dbo.g (1) -- h(2)"
     assert run(frame, [text], X.function_calls) == [["ISNULL", "SUM", "G"]]
