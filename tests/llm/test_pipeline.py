@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not there"
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and sum(n.startswith("op") for n in llm.QUERIES) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in llm.QUERIES) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "secret_scan", "packing"]
 
 
