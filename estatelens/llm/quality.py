@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from estatelens.llm.words import words_of
-from estatelens.llm.workers import slices, utf8
+from estatelens.llm.workers import free, slices, utf8
 from estatelens.operators.skew import spread_join
 from estatelens.session import durable
 
@@ -219,35 +219,37 @@ def good_documents(
 ) -> DataFrame:
     """``docs`` without rejected documents and, in the others, without the removed lines.
 
-    Same columns as before. A verdict finds its row by id, host and a hash of the text, so rows that are
+    Same columns as before, whatever their names; whole texts of any length are looked at. Null and empty texts
+    have no words and are rejected; an empty table stays empty. A verdict finds its row by id, host and a hash of the text, so rows that are
     the same in these have the same verdict, and ids may be null or repeat.
     """
-    keys = ["_q_id", "_q_host", "_q_hash"]
+    names = ("verdict_id", "verdict_host", "verdict_hash", "gone_lines", "doc_key", "doc_host", "doc_hash")
+    q_id, q_host, q_hash, gone, d_id, d_host, d_hash = (free(name, docs) for name in names)
     verdicts = (
         judged(docs, rules, id_col, text_col, host_col)
         .where("kept")
         .select(
-            F.col("doc_id").alias("_q_id"),
-            F.col("host").alias("_q_host"),
-            F.col("text_hash").alias("_q_hash"),
-            F.col("gone").alias("_q_gone"),
+            F.col("doc_id").alias(q_id),
+            F.col("host").alias(q_host),
+            F.col("text_hash").alias(q_hash),
+            F.col("gone").alias(gone),
         )
-        .dropDuplicates(keys)
+        .dropDuplicates([q_id, q_host, q_hash])
     )
     text = F.col(f"`{text_col}`")
     marked = docs.select(
         "*",
-        F.col(id_col).cast("long").alias("_d_id"),
-        _host(host_col).alias("_d_host"),
-        F.xxhash64(text_col).alias("_d_hash"),
+        F.col(id_col).cast("long").alias(d_id),
+        _host(host_col).alias(d_host),
+        F.xxhash64(text_col).alias(d_hash),
     )
     same = (
-        F.col("_d_id").eqNullSafe(F.col("_q_id"))
-        & (F.col("_d_host") == F.col("_q_host"))
-        & (F.col("_d_hash") == F.col("_q_hash"))
+        F.col(d_id).eqNullSafe(F.col(q_id))
+        & (F.col(d_host) == F.col(q_host))
+        & (F.col(d_hash) == F.col(q_hash))
     )
     kept = marked.join(verdicts, same)
-    cleaned = F.when(F.col("_q_gone").isNull(), text).otherwise(_without(text, F.col("_q_gone")))
+    cleaned = F.when(F.col(gone).isNull(), text).otherwise(_without(text, F.col(gone)))
     return kept.select(
         *[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     )

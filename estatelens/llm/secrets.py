@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.llm.workers import free
 from estatelens.operators.skew import spread_join
 from estatelens.session import durable
 
@@ -215,7 +216,8 @@ def redact(
 ) -> DataFrame:
     """``docs`` with ``mask`` in place of every live value; copied examples stay.
 
-    Same rows and columns as before. A row finds its spans by id and a hash of its text, so ids may be
+    Same rows and columns as before, whatever their names; null texts stay null, empty ones and empty tables
+    empty, and texts of any length are masked whole. A row finds its spans by id and a hash of its text, so ids may be
     null or repeat. Spans that overlap are masked as one.
     """
     rows, spans = matches(_inputs(docs, id_col, text_col, owner_col, repo_col))
@@ -230,15 +232,17 @@ def redact(
         .groupBy("row", "run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s_runs"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
     )
+    names = ("secret_runs", "secret_id", "secret_hash", "doc_key", "doc_hash")
+    runs_name, s_id, s_hash, d_id, d_hash = (free(name, docs) for name in names)
     by_text = durable(
         rows.join(runs, "row")
-        .select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), "_s_runs")
-        .dropDuplicates(["_s_id", "_s_hash"])
+        .select(F.col("doc_id").alias(s_id), F.col("text_hash").alias(s_hash), F.col("runs").alias(runs_name))
+        .dropDuplicates([s_id, s_hash])
     )
     text = F.col(f"`{text_col}`")
-    runs_of = F.col("_s_runs")
+    runs_of = F.col(runs_name)
     starts = F.concat(F.array(F.lit(0).cast("long")), runs_of["end"])
     ends = F.concat(runs_of["start"], F.array(F.length(text).cast("long")))
     kept = F.transform(
@@ -246,10 +250,8 @@ def redact(
         lambda e: F.substring(text, (e["a"] + 1).cast("int"), (e["b"] - e["a"]).cast("int")),
     )
     masked = F.when(runs_of.isNull(), text).otherwise(F.array_join(kept, mask))
-    marked = docs.select(
-        "*", F.col(id_col).cast("long").alias("_d_id"), F.xxhash64(text_col).alias("_d_hash")
-    )
-    same = F.col("_d_id").eqNullSafe(F.col("_s_id")) & (F.col("_d_hash") == F.col("_s_hash"))
+    marked = docs.select("*", F.col(id_col).cast("long").alias(d_id), F.xxhash64(text_col).alias(d_hash))
+    same = F.col(d_id).eqNullSafe(F.col(s_id)) & (F.col(d_hash) == F.col(s_hash))
     return marked.join(by_text, same, "left").select(
         *[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     )

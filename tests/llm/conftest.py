@@ -1,6 +1,6 @@
 import pytest
 
-CLASHES = ["row", "key", "code", "line", "component", "n_words", "start", "length", "sequence_id", "lost", "_d", "doc_key", "gone_lines", "_d_id", "_l_id"]
+CLASHES = ["row", "key", "code", "line", "component", "n_words", "start", "length", "sequence_id", "lost", "_d", "doc_key", "gone_lines", "_d_id", "_d_hash", "_l_id", "_q_gone", "_s_id", "doc_hash"]
 
 
 @pytest.fixture(scope="session")
