@@ -69,20 +69,24 @@ WHERE m IS NOT NULL AND length({value}) >= {least}"""
     out = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in [*KINDS, *ADDED])
     return f"""
 WITH base AS ({kinds}),
+placed AS (
+  SELECT v, min({{'owner': coalesce(owner, ''), 'repo': coalesce(repo, '')}}) AS place
+  FROM base JOIN documents USING (doc_id) GROUP BY v, text),
 used AS (
-  SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS owners FROM base GROUP BY v),
+  SELECT v, count(DISTINCT place.owner) AS owners, count(DISTINCT place) AS repos FROM placed GROUP BY v),
 verdict AS (
   SELECT v, CASE
-    WHEN owners <= {rule.live_owners} AND len(list_distinct(string_split(v, ''))) >= {rule.distinct_signs}
+    WHEN owners >= {rule.copied_owners} OR owners > 1 AND repos >= {rule.copied_repos} THEN '{ADDED[1]}'
+    WHEN len(list_distinct(string_split(v, ''))) >= {rule.distinct_signs}
       AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '(?i){MADE_UP}') THEN '{ADDED[0]}'
-    WHEN owners >= {rule.copied_owners} THEN '{ADDED[1]}' END AS kind
+    ELSE '{ADDED[2]}' END AS kind
   FROM used),
 spans AS (
   SELECT doc_id, kind, place, s, e FROM base
   UNION ALL
-  SELECT DISTINCT b.doc_id, w.kind, CASE w.kind WHEN '{ADDED[0]}' THEN {len(KINDS)} ELSE {len(KINDS) + 1} END,
+  SELECT DISTINCT b.doc_id, w.kind, {len(KINDS) - 1} + list_position({list(ADDED)}, w.kind),
     e - length(b.v), e
-  FROM base b JOIN verdict w USING (v) WHERE w.kind IS NOT NULL),
+  FROM base b JOIN verdict w USING (v)),
 listed AS (
   SELECT doc_id, {counts},
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) AS spans,

@@ -4,8 +4,9 @@ One pass over the texts makes a narrow table with the counts of each document an
 distinct lines, a hash of the normalised line (words in A-Z lower case, one space between them) and the
 words it holds there. A line's documents are counted per host; texts that are copies of each other in a
 host count as one document, so that copies do not turn a text of its own into boilerplate. Lines found
-in more than ``share`` of a host's documents, and in ``least`` at least, are removed. A document that
-loses more than half of its words that way is depleted and rejected.
+in more than ``share_percent`` of a host's documents are removed, if more than two documents carry them:
+what one or two have is no habit of a host, however few documents it has. The share is the same for hosts
+of every size. A document that loses more than half of its words that way is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits: words a document needs, percent in repeated windows and percent lost it may have."""
+    """Limits: words a document needs, percent of them in repeated windows, percent of a host's texts
+    that may carry a line, texts that make a habit, and percent of words a document may lose."""
 
     min_words: int = 50
     repeat_percent: int = 50
     window: int = 3
     share_percent: int = 10
-    least: int = 20
+    least: int = 3
     lost_percent: int = 50
 
 
@@ -183,7 +185,8 @@ def quality(
 
     A null text has no words and fails the base rules, as an empty one does. Rows without a host are a
     host of their own; rows that repeat a text in a host are one document there, but each gives a row. An
-    empty table gives none. Columns other than the three named are not read.
+    empty table gives none. Whole texts of any length are counted; a share that is just the limit is
+    within it. Columns other than the three named are not read.
     """
     return judged(docs, rules, id_col, text_col, host_col).select(
         "doc_id",

@@ -2,9 +2,11 @@
 
 Candidates are found per kind: a pattern cuts a text into what stands between matches, so the lengths of
 the parts give every match its place in code points. Their values are then counted over the corpus: in
-how many repositories and at how many owners each occurs. A value at one owner alone that looks like a
-real credential is *live*; one that many owners carry is a *copied* example. Both add a span over the
-value itself; spans of the base kinds stay as they are.
+how many repositories and at how many owners each occurs, copies of a text counting once. Every value has
+a verdict. It is a *copied* example if many owners carry it, or if more owners than one do in many
+repositories. Else it belongs to its owners, however many repositories of one owner hold it: it is *live*
+if it looks like a real credential and *unlikely* if not. The verdict adds a span over the value itself;
+spans of the base kinds stay as they are.
 
 Texts are read once. What goes on is one row per match; counts first combine rows of one value and one
 repository, then those of one owner, so a value in a third of all texts is a few rows by then, and the
@@ -31,20 +33,19 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 #: Kinds that the ownership counts add.
-ADDED = ("live", "copied")
+ADDED = ("live", "copied", "unlikely")
 #: Values that hold one of these are made up (any case).
 MADE_UP = "example|sample|dummy|changeme|placeholder|your_|xxxx|1234567890|0000000|abcdefgh"
 
 
 @dataclass(frozen=True)
 class Ownership:
-    """At most so many owners of a live value, at least so many of a copied one; signs a value has; whether
-    copies of a text count once, at the smallest of their owners."""
+    """Owners that make a value a copied one, repositories that do so at two owners or more, and different
+    signs a real value has."""
 
-    live_owners: int = 1
     copied_owners: int = 3
+    copied_repos: int = 5
     distinct_signs: int = 6
-    by_text: bool = False
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -107,15 +108,13 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ownership(spans: DataFrame, rule: Ownership) -> DataFrame:
-    """(value_hash, verdict) of the values that are live or copied."""
-    valued = spans.select(F.xxhash64("value").alias("value_hash"), "text_hash", "owner", "repo", "value")
-    if rule.by_text:
-        place = F.min(F.struct("owner", "repo")).alias("place")
-        valued = (
-            valued.groupBy("value_hash", "text_hash")
-            .agg(place, F.first("value").alias("value"))
-            .select("value_hash", "place.owner", "place.repo", "value")
-        )
+    """(value_hash, owners, repos, verdict) of every value; a text's copies count at their smallest place."""
+    place = F.min(F.struct("owner", "repo")).alias("place")
+    valued = (
+        spans.groupBy(F.xxhash64("value").alias("value_hash"), "text_hash")
+        .agg(place, F.first("value").alias("value"))
+        .select("value_hash", "place.owner", "place.repo", "value")
+    )
     places = valued.groupBy("value_hash", "owner", "repo").agg(F.first("value").alias("value"))
     owners = places.groupBy("value_hash", "owner").agg(
         F.count("*").alias("repos"), F.first("value").alias("value")
@@ -129,23 +128,23 @@ def ownership(spans: DataFrame, rule: Ownership) -> DataFrame:
         & F.rlike(value, F.lit("[0-9]"))
         & ~F.rlike(value, F.lit(f"(?i){MADE_UP}"))
     )
-    verdict = F.when((F.col("owners") <= rule.live_owners) & real, F.lit("live")).when(
-        F.col("owners") >= rule.copied_owners, F.lit("copied")
-    )
-    return counts.select("value_hash", "owners", "repos", verdict.alias("verdict")).where(
-        "verdict IS NOT NULL"
+    copied = (F.col("owners") >= rule.copied_owners) | (
+        (F.col("owners") > 1) & (F.col("repos") >= rule.copied_repos)
     )
+    live, widely, unlikely = (F.lit(kind) for kind in ADDED)
+    verdict = F.when(copied, widely).when(real, live).otherwise(unlikely)
+    return counts.select("value_hash", "owners", "repos", verdict.alias("verdict"))
 
 
 def added_spans(spans: DataFrame, rule: Ownership) -> DataFrame:
-    """(row, kind, at, start, end) of the live and copied values."""
+    """(row, kind, at, start, end) of the values by their verdicts."""
     valued = spans.select("row", "from", "end", F.xxhash64("value").alias("value_hash"))
     return (
         spread_join(valued, ownership(spans, rule), ["value_hash"])
         .select(
             "row",
             F.col("verdict").alias("kind"),
-            F.when(F.col("verdict") == ADDED[0], len(KINDS)).otherwise(len(KINDS) + 1).alias("at"),
+            (F.array_position(F.array(*map(F.lit, ADDED)), F.col("verdict")) - 1 + len(KINDS)).alias("at"),
             F.col("from").alias("start"),
             "end",
         )
@@ -170,12 +169,13 @@ def find_secrets(
     owner_col: str = "source",
     repo_col: str = "lang",
 ) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_unlikely.
 
     A repository is a value of ``repo_col`` at one owner. Null owners and repositories are one of their
-    own. A null text is an empty one: no spans. Every row gives one row, also if it repeats another, and
-    then counts once more for the same owner; an empty table gives none. Spans that start together stand
-    in the order of their kinds. Columns other than the four named are not read.
+    own, and stand before all others. A null text is an empty one: no spans; texts of any length are
+    searched whole. Every row gives one row, also if it repeats another; equal texts count once for the
+    owners and repositories of a value. An empty table gives none. Spans that start together stand in the
+    order of their kinds. Columns other than the four named are not read.
     """
     rows, spans = matches(_inputs(docs, id_col, text_col, owner_col, repo_col))
     spans = durable(spans)
@@ -214,7 +214,7 @@ def redact(
     owner_col: str = "source",
     repo_col: str = "lang",
 ) -> DataFrame:
-    """``docs`` with ``mask`` in place of every live value; copied examples stay.
+    """``docs`` with ``mask`` in place of every live value; others stay.
 
     Same rows and columns as before, whatever their names; null texts stay null, empty ones and empty tables
     empty, and texts of any length are masked whole. A row finds its spans by id and a hash of its text, so ids may be

@@ -47,27 +47,33 @@ KINDS = [
 MADE_UP = re.compile("(?i)example|sample|dummy|changeme|placeholder|your_|xxxx|1234567890|0000000|abcdefgh")
 
 
-def secrets(docs):
-    """Rows of (doc_id, owner, text) -> list of (doc_id, base spans, added spans)."""
-    found, owners = [], defaultdict(set)
-    for doc, owner, text in docs:
+ADDED = ["live", "copied", "unlikely"]
+
+
+def secrets(docs, many_owners=3, many_repos=5):
+    """Rows of (doc_id, owner, repo, text) -> list of (doc_id, base spans, added spans)."""
+    found, places = [], defaultdict(dict)
+    for doc, owner, repo, text in docs:
+        place = (owner is not None, owner or "", repo is not None, repo or "")
         spans = []
         for at, (kind, pattern, group, least) in enumerate(KINDS):
             for m in pattern.finditer(text or ""):
                 if len(m[group]) >= least:
                     spans.append((m.start(), at, kind, m.end(), m[group]))
-                    owners[m[group]].add(owner)
+                    places[m[group]][text] = min(place, places[m[group]].get(text, place))
         found.append((doc, sorted(spans)))
 
     def verdict(value):
         real = len(set(value)) >= 6 and re.search("[0-9]", value) and not MADE_UP.search(value)
-        if len(owners[value]) <= 1 and real:
-            return "live"
-        return "copied" if len(owners[value]) >= 3 else None
+        repos = set(places[value].values())
+        owners = {p[:2] for p in repos}
+        if len(owners) >= many_owners or len(owners) > 1 and len(repos) >= many_repos:
+            return "copied"
+        return "live" if real else "unlikely"
 
     out = []
     for doc, spans in found:
-        added = {(e - len(v), 3 if verdict(v) == "live" else 4, verdict(v), e) for _, _, _, e, v in spans if verdict(v)}
+        added = {(e - len(v), 3 + ADDED.index(verdict(v)), verdict(v), e) for _, _, _, e, v in spans}
         out.append((doc, [s[:4] for s in spans], sorted(added)))
     return out
 
@@ -132,7 +138,7 @@ def normal(line):
     return " ".join(WORD.findall(lowered(line)))
 
 
-def quality(docs, least=20, share=10, lost_percent=50, min_words=50):
+def quality(docs, least=3, share=10, lost_percent=50, min_words=50):
     """Rows of (doc_id, host, text) -> list of (doc_id, counts, base_failed, kept, lost, cleaned text)."""
     texts = defaultdict(set)
     for _, host, text in docs:

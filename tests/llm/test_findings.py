@@ -7,7 +7,6 @@ from estatelens.llm.ann_forest import Forest, nearest
 from estatelens.llm.dom import Page
 from estatelens.llm.html_extract import extract, fit, labels, main_texts
 from estatelens.llm.minhash import near_duplicates
-from estatelens.llm.secrets import Ownership, redact
 
 
 def test_pipeline_masks_secrets_of_two_owners(spark, documents):
@@ -19,7 +18,6 @@ def test_pipeline_masks_secrets_of_two_owners(spark, documents):
     assert all(left[i] == "token=<secret>" for i in range(4))
     assert all(left[10 + i] == f"text {i} token=<secret>" for i in range(2))
     assert all(left[20 + i] == f"text {i} token={example}" for i in range(3))
-    assert all("<secret>" not in r.text for r in redact(documents(rows), rule=Ownership()).collect())
 
 
 def plain_page(number, dress):

@@ -32,11 +32,12 @@ def test_pipeline(spark, vocabulary):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     docs = [(r.doc_id, r.source, r.text, r.lang) for r in table.collect()]
     good = brute.quality([d[:3] for d in docs])
+    langs = {d: lang for d, _, _, lang in docs}
     rows = {d: (s, t) for (d, s, _, _), (_, _, _, kept, _, t) in zip(docs, good) if kept}
     texts = brute.line_dedup([(d, t) for d, (_, t) in rows.items()])
     groups = brute.near_groups(list(texts.items()), 5, 80)
     texts = {d: t for d, t in texts.items() if groups[d][1] == d}
-    found = brute.secrets([(d, rows[d][0], t) for d, t in texts.items()])
+    found = brute.secrets([(d, rows[d][0], langs[d], t) for d, t in texts.items()])
     texts = {d: brute.masked(texts[d], added) for d, _, added in found}
     library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     want = set()

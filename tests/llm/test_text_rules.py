@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from estatelens.llm.line_dedup import Alike, dedup_lines, line_report
 from estatelens.llm.quality import Rules, good_documents, quality
 from estatelens.llm.secrets import find_secrets, redact
@@ -29,18 +31,18 @@ def secret_rows():
 def test_secrets(documents):
     rows = secret_rows()
     want = []
-    for doc, base, added in brute.secrets([(d, s, t) for d, t, s, _ in rows]):
+    for doc, base, added in brute.secrets([(d, s, l, t) for d, t, s, l in rows]):
         n = [sum(s[2] == k for s in base) for k in ("assign", "access", "hex")]
         want.append((str(doc), *n, brute.sha(brute.said(base)), brute.said(sorted(base + added))))
     got = find_secrets(documents(rows)).collect()
     assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got) == sorted(want)
-    assert any("live" in w[-1] for w in want) and any("copied" in w[-1] for w in want)
+    assert all(any(kind in w[-1] for w in want) for kind in brute.ADDED)
     assert find_secrets(documents(rows).where("doc_id > 9999")).count() == 0
 
 
 def test_redaction(documents):
     rows = secret_rows()
-    found = brute.secrets([(d, s, t) for d, t, s, _ in rows])
+    found = brute.secrets([(d, s, l, t) for d, t, s, l in rows])
     want = sorted(
         (str(d), None if t is None else brute.masked(t, added)) for (d, t, _, _), (_, _, added) in zip(rows, found)
     )
@@ -50,6 +52,28 @@ def test_redaction(documents):
     assert sorted(((str(r.doc_id), r.text) for r in left.collect()), key=str) == sorted(want, key=str)
 
 
+def test_owners_and_repositories(documents):
+    def spread(value, places):
+        return [(f"text {i} token={value}", *place) for i, place in enumerate(places)]
+
+    def key(n):
+        return f"{n}Zx9k2Qw7Lm4Vb{n}Rt"
+
+    def kind(places, copies=1, value=key(1)):
+        rows = [(i, *r) for i, r in enumerate(spread(value, places) * copies)]
+        return {r.spans.split(",")[1].split(":")[0] for r in find_secrets(documents(rows)).collect()}
+
+    one_owner = [("a", f"r{i}") for i in range(9)]
+    assert kind(one_owner) == {"live"}  # one owner's, in nine of their repositories
+    assert kind([("a", "r"), ("b", "r")]) == {"live"}
+    assert kind([("a", f"r{i}") for i in range(3)] + [("b", "r")]) == {"live"}
+    assert kind([("a", f"r{i}") for i in range(4)] + [("b", "r")]) == {"copied"}
+    assert kind([("a", "r"), ("b", "r"), (None, None)]) == {"copied"}
+    assert kind([("a", "r")], value="changeme99") == {"unlikely"}
+    copies = [(i, f"one text token={key(2)}", f"s{i}", "r") for i in range(5)]  # a text and its copies
+    assert {r.n_live for r in find_secrets(documents(copies)).collect()} == {1}
+
+
 def line_rows():
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -123,6 +147,17 @@ def test_quality(documents):
     assert quality(documents(rows).where("doc_id > 9999"), Rules()).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 19, 20, 1000])
+def test_lines_of_hosts_of_every_size(documents, n):
+    own = [" ".join(f"own{d}x{j}" for j in range(60)) for d in range(n)]
+    rows = [(d, f"{own[d]}\nall of us SAY this", "h", "en") for d in range(n)]
+    left = {r.text for r in good_documents(documents(rows)).collect()}
+    assert left == (set(own) if n > 2 else {r[1] for r in rows})
+    just = n // 10  # a tenth of the texts is within the limit
+    rows = [(d, own[d] + "\nsaid here" * (d < just), "h", "en") for d in range(n)]
+    assert {r.text for r in good_documents(documents(rows)).collect()} == {r[1] for r in rows}
+
+
 def test_good_documents(documents):
     rows = quality_rows()
     want = brute.quality([(d, h, t) for d, t, h in rows])
