@@ -7,7 +7,8 @@ be encoded in overlapping chunks: at an ASCII white-space character inside the o
 a boundary, the left chunk is complete up to it and the right one from it on. Chunks are spliced at the
 first such character, after the tokens and offsets of both sides have been found equal up to the last
 one in the overlap. Where there are not two, or the sides differ, the overlap is widened; a chunk
-without any is extended, at worst to the whole text, so counts are always exact.
+without any is extended to the next two at once, at worst to the end of the text, so counts are always
+exact. Where blanks stand is known before anything is encoded, so a text without any is encoded once.
 """
 
 from __future__ import annotations
@@ -91,31 +92,44 @@ class Counter:
         same = zip(left.between(first, last), right.between(first, last))
         return first if all(np.array_equal(a, b) for a, b in same) else None
 
+    def reach(self, text: str, start: int, end: int, overlap: int) -> tuple[int, int]:
+        """(end, overlap) of a chunk from ``start``, so that two blanks after its first character are in
+        the overlap: it is widened for them, and the chunk made longer if it has not two."""
+        width = overlap
+        while end < len(text):
+            marks = BLANK.finditer(text, max(start + 1, end - width), end)
+            if next(marks, None) and next(marks, None):
+                return end, width
+            if end - width > start + 1:
+                width *= 2
+                continue
+            marks = [m.start() for _, m in zip(range(2), BLANK.finditer(text, start + 1))]
+            end = min(marks[1] + 1 + overlap, len(text)) if len(marks) == 2 else len(text)
+            width = end - start - 1
+        return end, width
+
     def of_huge(self, text: str, size: int, overlap: int) -> tuple[int, int, int]:
         """Tokens, chunks and widened overlaps of one text."""
         total, chunks, widened = 0, 1, 0
         done = 0  # everything before is counted
-        left = self.chunk(text, 0, min(size, len(text)))
+        end, width = self.reach(text, 0, min(size, len(text)), overlap)
+        widened += width > overlap
+        left = self.chunk(text, 0, end)
         while left.end < len(text):
-            width, at = overlap, None
-            while at is None:
-                start = left.end - width
-                if start <= max(left.start, done):  # nothing in the whole chunk: make it longer
-                    left = self.chunk(text, left.start, min(left.end + size, len(text)))
-                    widened += 1
-                    if left.end == len(text):
-                        break
-                    width = overlap
-                    continue
-                right = self.chunk(text, start, min(start + size, len(text)))
-                at = self.splice(text, left, right) if right.end > left.end else None
-                if at is None:
+            start, at, right = max(left.end - width, left.start + 1, done), None, None
+            stop, wide = self.reach(text, start, max(min(start + size, len(text)), left.end + 1), overlap)
+            right = self.chunk(text, start, stop)
+            at = self.splice(text, left, right)
+            if at is None or at < done:  # the sides differ: a wider overlap, or all of it in one chunk
+                widened += 1
+                if start > max(left.start + 1, done):
                     width *= 2
-                    widened += 1
-            if at is None:
-                break
+                else:
+                    left = self.chunk(text, left.start, min(2 * left.end - left.start, len(text)))
+                continue
             total += len(left.between(done, at)[0])
-            done, left = at, right
+            done, left, width = at, right, wide
+            widened += wide > overlap
             chunks += 1
         return total + len(left.between(done, len(text) + 1)[0]), chunks, widened
 
@@ -131,7 +145,7 @@ def count_tokens(
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit, and for huge texts n_chunks and n_widened.
 
-    Texts of more than ``chunk_chars`` characters go by chunks. A null text is an empty one: no bytes, no
+    Texts of more than ``chunk_chars`` characters go by chunks, of any length beyond. A null text is an empty one: no bytes, no
     tokens, not over the limit. Every row gives one row, also if it repeats another; an empty table gives
     none; a null id stays null; other columns are not read.
     """
