@@ -30,7 +30,7 @@ from estatelens.session import durable
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees, rows they are fitted on at most, rows a leaf should hold at most, least depth, share of
+    """Trees, different vectors they are fitted on (about so many, picked by hash), rows a leaf should hold at most, least depth, share of
     all rows a query visits and rows it visits at least (a row counts for every tree), and queries
     ranked together in a leaf."""
 
@@ -50,11 +50,15 @@ class Forest:
 class Trees:
     """Hyperplanes of all trees; node 0 is a root, node i has children 2i + 1 and 2i + 2."""
 
-    def __init__(self, vectors: np.ndarray, trees: int, depth: int):
-        self.depth, self.trees = depth, trees
+    def __init__(self, planes: np.ndarray, edges: np.ndarray):
+        self.planes, self.edges = planes, edges
+        self.trees, self.depth = len(planes), int(math.log2(planes.shape[1] + 1))
+
+    @classmethod
+    def fitted(cls, vectors: np.ndarray, trees: int, depth: int) -> Trees:
+        """Trees whose hyperplanes stand between two rows and halve the rows of a node."""
         nodes, dims = (1 << depth) - 1, vectors.shape[1]
-        self.planes = np.zeros((trees, nodes, dims))
-        self.edges = np.zeros((trees, nodes))
+        planes, edges = np.zeros((trees, nodes, dims)), np.zeros((trees, nodes))
         for tree in range(trees):
             random = np.random.default_rng(tree)
             parts = [np.arange(len(vectors))]
@@ -69,8 +73,9 @@ class Trees:
                 plane = plane / length
                 along = vectors[rows] @ plane
                 edge = float(np.median(along)) if len(rows) else 0.0
-                self.planes[tree, node], self.edges[tree, node] = plane, edge
+                planes[tree, node], edges[tree, node] = plane, edge
                 parts += [rows[along <= edge], rows[along > edge]]
+        return cls(planes, edges)
 
     def margins(self, vectors: np.ndarray) -> np.ndarray:
         """How far each vector lies above each hyperplane: (vectors, trees, nodes)."""
@@ -171,9 +176,6 @@ def nearest(
         return empty
     dims = most["dims"]
     rows = rows.where(F.size("v") == dims)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(forest.sample).collect()
-    fitted = np.array([r["v"] for r in sample], dtype=np.float64)
-    fitted = np.unique(fitted, axis=0)
     rows = rows.dropDuplicates(["id", "v"])
     by_vector = Window.partitionBy("v").orderBy("id")
     entries = (
@@ -185,14 +187,20 @@ def nearest(
     )
     entries = durable(entries)
     total = entries.count()
-    trees = Trees(fitted, forest.trees, forest.depth(total))
-    shared = spark.sparkContext.broadcast(trees)  # trees * 2^depth hyperplanes, whatever the table holds
+    # different vectors, chosen by their hashes alone: about ``sample`` of them come here, each once
+    bound = math.ceil(forest.sample / max(total, 1) * (1 << 31))
+    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 31)) < bound).select("v").collect() or entries.select("v").take(1)
+    fitted = np.unique(np.array([r["v"] for r in sample], dtype=np.float64), axis=0)
+    trees = Trees.fitted(fitted, forest.trees, forest.depth(total))
+    # trees * 2^depth hyperplanes, whatever the table holds; plain arrays, which workers can read without the package
+    shared = spark.sparkContext.broadcast((trees.planes, trees.edges))
 
     def put(batches):
+        trees = Trees(*shared.value)
         for batch in batches:
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind)
             matrix = flat.reshape(batch.num_rows, dims)
-            leaves = shared.value.leaves(matrix.astype(np.float64))
+            leaves = trees.leaves(matrix.astype(np.float64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("entry"),
@@ -220,13 +228,14 @@ def nearest(
     budget = max(forest.share * total, forest.least_rows)
 
     def search(batches):
+        trees = Trees(*shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                margins = shared.value.margins(_matrix(part.column("vector"), kind))
+                margins = trees.margins(_matrix(part.column("vector"), kind))
                 at, tree, leaf = [], [], []
                 for i, own in enumerate(margins):
-                    found = shared.value.visit(own, sizes, budget)
+                    found = trees.visit(own, sizes, budget)
                     at += [i] * len(found)
                     tree += [t for t, _ in found]
                     leaf += [x for _, x in found]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 
@@ -33,13 +34,17 @@ FOR = "article content main body post story entry text page blog news".split()
 AGAINST = (
     "nav menu header footer foot sidebar side aside ad ads advert promo sponsor banner cookie notice "
     "consent alert popup modal comment comments reply form login subscribe newsletter share social "
-    "related breadcrumb widget copyright toolbar search pagination".split()
+    "related breadcrumb widget copyright toolbar search pagination thread disqus replies responses "
+    "discussion reactions feedback talkback".split()
 )
 TAGS = (
     "p div span a b li ul article main section nav header footer aside form h1 h2 h3 table td "
     "blockquote pre figure button label".split()
 )
 
+#: Slots that tokens of class, id and role are hashed to; an element also has those of all around it.
+TOKEN_SLOTS = 32
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
@@ -110,7 +115,7 @@ class Page:
         """One row per element."""
         n = len(self.tag)
         own, links, signs, words = np.zeros((4, n))
-        below, paragraphs, children = np.zeros((3, n))
+        below, paragraphs, children, heads = np.zeros((4, n))
         for element, _, piece in self.pieces:
             size = len(piece.strip())
             own[element] += size
@@ -119,15 +124,17 @@ class Page:
                 words[element] += piece.count(" ") + 1
         is_link = [t == "a" for t in self.tag]
         good, bad, inside = np.zeros((3, n))
-        position = np.zeros(n)
+        position, slots = np.zeros(n), np.zeros((n, TOKEN_SLOTS))
         for i in range(1, n):
             p = self.parent[i]
             position[i] = children[p]
             children[p] += 1
+            slots[i] = slots[p]
             if self.attributes[i]:
                 tokens = _TOKEN.findall(" ".join(_ATTRIBUTE.findall(self.attributes[i])).lower())
                 good[i] = sum(t in _FOR for t in tokens)
                 bad[i] = sum(t in _AGAINST for t in tokens)
+                slots[i, [zlib.crc32(t.encode()) % TOKEN_SLOTS for t in tokens]] = 1
             against = bad[i] > 0 or self.tag[i] in _AGAINST
             inside[i] = max(inside[p], float(against)) if not against else 1.0
         total, linked = own.copy(), np.where(is_link, own, 0.0)
@@ -142,6 +149,7 @@ class Page:
             all_signs[p] += all_signs[i]
             all_words[p] += all_words[i]
             below[p] += below[i] + 1
+            heads[p] += heads[i] + (self.tag[i] in _HEADS)
             paragraphs[p] += self.tag[i] == "p"
             largest[p] = max(largest[p], total[i])
         parent = np.array(self.parent)
@@ -163,6 +171,9 @@ class Page:
             children[parent],
             paragraphs,
             paragraphs[parent],
+            heads,
+            heads[parent],
+            linked[parent] / np.maximum(total[parent], 1),
             total / np.maximum(total[parent], 1),
             total / np.maximum(largest[parent], 1),
             np.minimum(good, 3),
@@ -172,7 +183,7 @@ class Page:
             inside,
             np.arange(n) / n,
         ]
-        return np.column_stack([*stats, one_hot, one_hot[parent]])
+        return np.column_stack([*stats, one_hot, one_hot[parent], slots])
 
     def decide(self, margins: np.ndarray) -> np.ndarray:
         """Which elements' own text is main text, without contradictions along the tree.
@@ -221,5 +232,6 @@ class Page:
 
 #: What it costs to decide an element's children one by one.
 PENALTY = 1.0
+_HEADS = frozenset(["h1", "h2"])
 _FOR, _AGAINST = frozenset(FOR), frozenset(AGAINST)
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}

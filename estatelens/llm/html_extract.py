@@ -31,15 +31,35 @@ TRAIN_PAGES = 160
 MADE_PAGES = 40
 MAIN = frozenset(["article", "main"])
 ASIDE = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu"])
+#: Elements that are an article's own where they stand in one.
+OWN = frozenset(["header"])
 #: Words in class, id and role of containers that are no main text, also inside an article.
-NOT_MAIN = frozenset("ad ads comment comments share sharing social notice cookie consent".split())
+NOT_MAIN = frozenset(
+    "ad ads comment comments share sharing social notice cookie consent disqus thread replies responses "
+    "discussion reactions talkback".split()
+)
 #: Neutral dress for an article and for what is not.
 MAIN_DRESS = ["post-content", "entry", "story-body", "content", "main-text", "article-body", "col-8", "x1"]
 OTHER_DRESS = {
     "nav": ["menu", "navbar", "top-links", "breadcrumb"],
     "footer": ["footer", "site-foot", "copyright", "bottom"],
 }
+#: What articles hold besides paragraphs: tables, lists of links, headlines in a header.
+INSIDE = [
+    "<table><tr><th>{a}</th><th>{b}</th></tr><tr><td>{b}</td><td>{c}</td></tr><tr><td>{c}</td><td>{a}</td></tr></table>",
+    "<table><tbody><tr><td>{a}</td><td>{b}</td></tr></tbody></table>",
+    '<ul><li><a href="/">{a}</a></li><li><a href="/">{b}</a></li><li><a href="/">{c}</a></li></ul>',
+    '<p>{c}</p><ol><li><a href="/">{a}</a> {b}</li><li><a href="/">{c}</a></li></ol>',
+    "<header><h1>{a}</h1></header>",
+    "<header><h1>{a}</h1><p>{b}</p></header>",
+]
+#: Containers of comment threads.
+THREADS = ["disqus_thread", "responses", "discussion", "replies", "reactions", "talkback", "comment-thread"]
 EXTRA = [
+    *[
+        f'<div data-no id="{name}"><div class="post"><b>{{c}}</b><p>{{a}}</p></div><div class="post"><b>{{a}}</b><p>{{b}}</p></div></div>'
+        for name in THREADS
+    ],
     '<aside data-no class="sidebar"><h3>{a}</h3><ul><li><a href="/">{b}</a></li><li><a href="/">{c}</a></li></ul></aside>',
     '<div data-no class="cookie-notice">{a} {b} <button>{c}</button></div>',
     '<div data-no class="advert">{a} {b}</div>',
@@ -70,7 +90,7 @@ def made_page(number: int) -> str:
         each = [f'<a href="/">{words(1, 4)}</a>' for _ in range(pick.randint(3, 9))]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>" if tag == "ul" else " ".join(each)
 
-    parts = [f"<h1>{words(3, 10)}</h1>"]
+    parts = [pick.choice(["<h1>{0}</h1>", "<h1>{0}</h1>", "<header><h1>{0}</h1></header>"]).format(words(3, 10))]
     for _ in range(pick.randint(2, 9)):
         parts.append(f"<p>{sentences(1, 6)}</p>")
         more = pick.random()
@@ -80,6 +100,8 @@ def made_page(number: int) -> str:
             parts.append("<ul>" + "".join(f"<li>{sentences(1, 1)}</li>" for _ in range(3)) + "</ul>")
         elif more < 0.3:
             parts.append(f"<blockquote>{sentences(1, 2)}</blockquote>")
+        elif more < 0.45:
+            parts.append(pick.choice(INSIDE).format(a=words(1, 8), b=words(1, 8), c=words(1, 8)))
     top, foot = OTHER_DRESS["nav"], OTHER_DRESS["footer"]
     side = f"<div data-no{dressed(['sidebar', 'related'])}><h3>{words(1, 3)}</h3>{links('ul')}</div>"
     body = f"<div data-yes{dressed(MAIN_DRESS)}>{''.join(parts)}</div>"
@@ -97,8 +119,8 @@ def variant(source: str, words: list[str], number: int) -> str:
         return source
     pick = random.Random(f"{number}:{len(source)}")
 
-    def some() -> str:
-        return EXTRA[pick.randrange(len(EXTRA))].format(
+    def some(of: list[str] = EXTRA) -> str:
+        return of[pick.randrange(len(of))].format(
             **{k: " ".join(pick.choices(words, k=pick.randint(2, 25))) for k in "abc"}
         )
 
@@ -113,10 +135,16 @@ def variant(source: str, words: list[str], number: int) -> str:
             out = re.sub(rf"</{name}\s*>", "</div>", out, flags=re.I)
     start = re.search(r"<(?:article|div data-yes|section data-yes)[^>]*>", out)
     if start:
+        if pick.random() < 0.7:  # at its beginning, or instead of all its paragraphs but the last
+            close = re.compile(r"</(?:article|section)\s*>|</p>\s*</div>").search(out, start.end())
+            whole = pick.random() < 0.2 and close and out.find("<div", start.end(), close.start()) < 0
+            out = out[: start.end()] + some(INSIDE) + out[close.start() if whole else start.end() :]
         paragraphs = [m.end() for m in re.finditer(r"</p>", out) if m.start() > start.end()]
         if paragraphs:
             at = pick.choice(paragraphs)
             out = out[:at] + some() + out[at:]
+            at = pick.choice([p for p in paragraphs if p <= at])
+            out = out[:at] + some(INSIDE) + out[at:]
         out = out[: start.start()] + some() + out[start.start() :]
     end = max(out.rfind("</article>"), out.rfind("</section>"), out.rfind("</p></div>") + 4)
     if end > 4:
@@ -130,7 +158,8 @@ def labels(page: Page) -> np.ndarray:
     out = np.zeros(len(page.tag), dtype=bool)
     for i in range(1, len(page.tag)):
         tag, said = page.tag[i], page.attributes[i]
-        no = tag in ASIDE or "data-no" in said or re.search(r'class="(ad|ads|advert\w*)"', said)
+        own = tag in OWN and out[page.parent[i]]
+        no = (tag in ASIDE and not own) or "data-no" in said or re.search(r'class="(ad|ads|advert\w*)"', said)
         if not no and said and tag not in MAIN and "data-yes" not in said:
             no = not NOT_MAIN.isdisjoint(_TOKEN.findall(" ".join(_ATTRIBUTE.findall(said)).lower()))
         if no:
@@ -171,29 +200,29 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     train_pages: int = TRAIN_PAGES,
+    train_chars: int = 100_000,
 ) -> DataFrame:
     """Per row: page_id, url, text, n_chars.
 
     A null page is an empty one and has the empty text. Every row gives one row, also if it repeats
-    another; an empty table gives none; null ids and urls stay null; other columns are not read. Pages
-    for the fit are the labelled ones with the smallest hash of their text, so the same table gives the
-    same model.
+    another; an empty table gives none; null ids and urls stay null; other columns are not read. Pages of
+    any length are read whole. Pages for the fit are ``train_pages`` different labelled ones of up to
+    ``train_chars`` characters, those with the smallest hashes, so the same table gives the same model.
     """
     slim = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.col(html_col).alias("html"),
     )
-    h = F.xxhash64("html")
-    sample = (
-        slim.where("length(html) BETWEEN 1 AND 100000")
+    labelled = (
+        slim.where(F.length("html").between(1, train_chars))
         .where(F.rlike("html", F.lit(r"(?i)<(?:article|main)[\s/>]")))
-        .select("html", h.alias("h"))
-        .orderBy("h", "html")
-        .limit(train_pages)
-        .collect()
+        .select("html", F.xxhash64("html").alias("h"))
     )
-    model = fit([r["html"] for r in sample])
+    # hashes first, eight bytes a page; then each of the pages once
+    least = [r["h"] for r in labelled.select("h").distinct().orderBy("h").limit(train_pages).collect()]
+    sample = labelled.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html"))
+    model = fit([r["html"] for r in sample.orderBy("h").collect()] if least else [])
 
     def read(batches):
         for batch in slices(batches, 2, 4_000_000):
