@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from estatelens.cases.base import Cases
 from estatelens.cases.views import Inputs
 from estatelens.operators import warehouse as W
+from estatelens.operators.chain import run_chain
 from estatelens.session import ensure_checkpoint_dir
 from estatelens.sinks import tables
 
@@ -137,3 +138,35 @@ def sink_audited_load(t):
     return audit.unionByName(
         stored.result().agg(F.count("*").alias("rows_processed")).select(F.lit("orders read back").alias("process_name"), "rows_processed")
     )
+
+
+@cases.add(
+    "etl_chain_resume",
+    """SELECT o_custkey, count(*) AS orders, max(o_orderkey) AS newest FROM {orders}
+WHERE o_orderstatus = 'F' GROUP BY o_custkey""",
+)
+def etl_chain_resume(t):
+    """A stored chain whose second step fails once: the second run goes on from the stored stage."""
+    runs = {"stage": 0, "fact": 0}
+
+    def stage(state):
+        runs["stage"] += 1
+        return {"stage": state["orders"].where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")}
+
+    def fact(state):
+        runs["fact"] += 1
+        if runs["fact"] == 1:
+            raise OSError("the target is away")
+        counts = F.count("*").alias("orders"), F.max("o_orderkey").alias("newest")
+        return {"fact": state["stage"].groupBy("o_custkey").agg(*counts)}
+
+    steps = [("stage", stage), ("fact", fact)]
+    store = f"{ensure_checkpoint_dir(t.spark)}/chain-{uuid.uuid4().hex}"
+    try:
+        run_chain(steps, {"orders": t["orders"]}, store, t.spark)
+    except RuntimeError:
+        pass
+    done = run_chain(steps, {"orders": t["orders"]}, store, t.spark)
+    if runs != {"stage": 1, "fact": 2}:
+        raise AssertionError(f"steps ran {runs}")
+    return done["fact"]

@@ -3,7 +3,8 @@
 A measure is never averaged from a finer result; each query goes back to the rows. Distinct counts
 are taken in two steps: one row per (dimensions, key) with the largest flag, then a sum. That needs
 one shuffle with map-side combine whatever the number of filtered distinct counts, and no hot
-dimension value ever gathers its keys in one task.
+dimension value ever gathers its keys in one task. Where a query counts several keys, each row goes on
+once per key, with that key's flags alone; sums and averages ride on the first of them.
 """
 
 from __future__ import annotations
@@ -73,15 +74,14 @@ class MetricView:
                 m.key for m in (self.measures[n] for n in base) if isinstance(m, DistinctCount)
             )
         )
-        if len(keys) > 1:
-            raise ValueError("ask for distinct counts of one key at a time")
         rows = rows.select(
             *[self.dimensions[name].alias(name) for name in by],
-            *[F.col(key).alias("_key") for key in keys],
+            *[F.col(key).alias(f"_key{k}") for k, key in enumerate(keys)],
             *[c for i, name in enumerate(base) for c in self._inputs(i, self.measures[name])],
         )
         if keys:
-            rows = rows.groupBy(*[f"`{n}`" for n in by], "_key").agg(
+            rows, combined = self._per_key(rows, keys, base, by)
+            rows = rows.groupBy(*[f"`{n}`" for n in by], *combined).agg(
                 *[c for i, n in enumerate(base) for c in self._first(i, self.measures[n])]
             )
         final = [c for i, n in enumerate(base) for c in self._second(i, n, bool(keys))]
@@ -89,6 +89,23 @@ class MetricView:
         done = {n: self._column(n) for n in wanted}
         return grouped.select(*[F.col(f"`{n}`") for n in by], *[c.alias(n) for n, c in done.items()])
 
+    def _per_key(
+        self, rows: DataFrame, keys: list[str], base: list[str], by: list[str]
+    ) -> tuple[DataFrame, list[str]]:
+        """Each row once per key, the other keys null; and the columns that tell the keys' values apart."""
+        names = [f"_key{k}" for k in range(len(keys))]
+        if len(keys) == 1:
+            return rows, names
+        rows = rows.withColumn("_at", F.explode(F.array(*[F.lit(k) for k in range(len(keys))])))
+
+        def rides_on(name: str) -> int:
+            measure = self.measures[name]
+            return keys.index(measure.key) if isinstance(measure, DistinctCount) else 0
+
+        kept = [F.when(F.col("_at") == k, F.col(name)).alias(name) for k, name in enumerate(names)]
+        values = [F.when(F.col("_at") == rides_on(n), F.col(f"_v{i}")).alias(f"_v{i}") for i, n in enumerate(base)]
+        return rows.select(*[f"`{n}`" for n in by], "_at", *kept, *values), ["_at", *names]
+
     # -- one measure through the stages
 
     def _closure(self, names: list[str]) -> list[str]:

@@ -106,6 +106,33 @@ def test_chain_runs_in_order_and_names_the_failing_step(spark):
         run_chain([("fact", fact), ("stage", stage)])
 
 
+def test_stored_chain_goes_on_where_it_stopped(spark, tmp_path):
+    runs, broken = [], [True]
+
+    def stage(state):
+        runs.append("stage")
+        return {"stage": spark.range(5), "none": spark.range(0)}
+
+    def fact(state):
+        runs.append("fact")
+        state["stage"].write.mode("overwrite").parquet(f"{tmp_path}/chain/fact/fact")  # written in part
+        if broken:
+            raise OSError(broken.pop())
+        return {"fact": state["stage"].selectExpr("id + 1 AS id")}
+
+    steps, store = [("stage", stage), ("fact", fact)], f"{tmp_path}/chain"
+    with pytest.raises(RuntimeError, match="'fact'"):
+        run_chain(steps, store=store, spark=spark)
+    for _ in range(2):
+        got = run_chain(steps, store=store, spark=spark)
+        assert sorted(r.id for r in got["fact"].collect()) == [1, 2, 3, 4, 5] and got["none"].count() == 0
+    assert runs == ["stage", "fact", "fact"]
+    with pytest.raises(RuntimeError, match="'n'"):
+        run_chain([("n", lambda s: {"n": 1})], store=store, spark=spark)
+    with pytest.raises(ValueError):
+        run_chain([steps[0], steps[0]], store=store, spark=spark)
+
+
 def test_durable_folders_can_be_released(spark):
     from estatelens.session import durable, release, written
 
