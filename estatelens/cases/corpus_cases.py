@@ -125,6 +125,28 @@ def corp_scan(t):
     )
 
 
+@cases.add(
+    "corp_scan_batches",
+    _esc(
+        rf"""WITH b AS (SELECT unnest(string_split_regex(regexp_replace('-- ' || doc_id || chr(10) || text, '\r\n?', chr(10), 'g'), '{GO_LINE}')) AS batch FROM [documents]),
+trimmed AS (SELECT trim(batch, ' ' || chr(9) || chr(10) || chr(13)) AS batch FROM b)
+SELECT CAST(nullif(regexp_extract(batch, '^-- (\d+)', 1), '') AS BIGINT) AS doc_id, CAST(length(batch) AS BIGINT) AS chars, md5(batch) AS hash FROM trimmed WHERE batch <> ''"""
+    ).replace("[documents]", "{documents}"),
+)
+def corp_scan_batches(t):
+    """All documents as batches of a few long scripts, read back from byte ranges of those."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/batches-{uuid.uuid4().hex}"
+    script = F.concat(F.lit("-- "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nGO"))
+    t["documents"].select("source", script.alias("script")).write.partitionBy("source").text(folder)
+    batch = F.btrim("text", F.lit(" \t\n\r"))
+    found = corpus_files.scan_batches(t.spark, folder, "*.txt").select(batch.alias("batch"))
+    return found.filter("batch <> ''").select(
+        F.nullif(F.regexp_extract("batch", r"^-- (\d+)", 1), F.lit("")).cast("bigint").alias("doc_id"),
+        F.length("batch").cast("bigint").alias("chars"),
+        F.md5("batch").alias("hash"),
+    )
+
+
 @cases.add(
     "corp_decode",
     r"""SELECT doc_id, regexp_replace(concat(text, chr(65533), chr(13), chr(10), lang, chr(65533), '('), '\r\n?', chr(10), 'g') AS text FROM {documents}""",

@@ -25,8 +25,12 @@ def is_blank(c: Column) -> Column:
 
 def decode(content: Column) -> Column:
     """Bytes to text: bad UTF-8 becomes U+FFFD, line ends become ``\\n``."""
-    text = F.make_valid_utf8(content.cast("string"))
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.regexp_replace(decode_bytes(content), r"\r\n?", "\n")
+
+
+def decode_bytes(content: Column) -> Column:
+    """Bytes to text: bad UTF-8 becomes U+FFFD, line ends stay."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def up_to_last(c: Column, mark: str) -> tuple[Column, Column]:
@@ -55,6 +59,11 @@ def batches(c: Column) -> Column:
     return F.split(c, V.BATCH_LINE)
 
 
+def is_batch_line(line: Column) -> Column:
+    """Does this one line only hold ``GO``?"""
+    return F.rlike(line, F.lit(V.BATCH_LINE))
+
+
 # what may stand between two separating semicolons where no comment holds another one; a comment left
 # open runs to the end
 _FLAT_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/)*+(?:\*/)?"

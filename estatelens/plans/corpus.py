@@ -126,9 +126,9 @@ def batch_rows(scripts: DataFrame) -> DataFrame:
 
 
 def statements(scripts: DataFrame) -> DataFrame:
-    """One row per statement: ``(path, pos, statement)``."""
+    """One row per statement: ``(path, pos, statement)``, with ``piece`` where scripts come in pieces."""
     return scripts.select(
-        "path", F.posexplode(X.split_statements(F.col("text"))).alias("pos", "statement")
+        *_place(scripts), F.posexplode(X.split_statements(F.col("text"))).alias("pos", "statement")
     )
 
 
@@ -138,18 +138,22 @@ def objects(
     low_max: int = V.OBJECT_LOW_MAX,
     medium_max: int = V.OBJECT_MEDIUM_MAX,
 ) -> DataFrame:
-    """One row per object to migrate. Comment-only and auxiliary statements are left out."""
+    """One row per object to migrate. Comment-only and auxiliary statements are left out.
+
+    Where scripts come in pieces (``sources.corpus.scan_pieces``), ``pos`` counts within the piece.
+    """
+    place = _place(scripts)
     statement, bare = F.col("statement"), F.col("bare")
     name = F.coalesce(X.name_in(bare), S.stem("path"))
     return (
-        scripts.select("path", F.posexplode(X.statement_records(F.col("text"), strict)).alias("pos", "r"))
-        .select("path", "pos", "r.*")
+        scripts.select(*place, F.posexplode(X.statement_records(F.col("text"), strict)).alias("pos", "r"))
+        .select(*place, "pos", "r.*")
         .filter(~X.is_blank(bare))
         .withColumn("object_type", X.kind_of(F.col("head"), strict))
         .filter(~F.col("object_type").isin(*V.SKIPPED_STATEMENTS))
         .withColumn("nodes", X.size_of(bare, statement))
         .select(
-            "path",
+            *place,
             "pos",
             name.alias("name"),
             "object_type",
@@ -161,6 +165,11 @@ def objects(
     )
 
 
+def _place(rows: DataFrame) -> list[str]:
+    """The columns that say where in the corpus a text stands."""
+    return ["path", "piece"] if "piece" in rows.columns else ["path"]
+
+
 def base_key(lower: bool = False) -> Column:
     """``<last word of the type>:<name>``; ``lower`` treats names that differ in case as one."""
     name = F.lower("name") if lower else F.col("name")
@@ -172,7 +181,10 @@ def object_ids(objs: DataFrame, lower: bool = False, **spreading: int) -> DataFr
 
     Occurrences count in path order, then statement order. See ``keyed_objects`` for a whole corpus.
     """
-    keyed = objs.select("*", base_key(lower).alias("_base"), path_order("path").alias("_order"))
+    # the piece is part of the first order column, by which hot groups are cut
+    pieces = [F.lpad(F.col(c).cast("string"), 19, "0") for c in _place(objs)[1:]]
+    order = F.concat_ws("\0", path_order("path"), *pieces)
+    keyed = objs.select("*", base_key(lower).alias("_base"), order.alias("_order"))
     numbered = occurrence_number(keyed, ["_base"], ["_order", "pos"], out="_n", **spreading)
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("#"), F.col("_n").cast("string"))).otherwise("")
     return numbered.withColumn("object_id", F.concat("_base", suffix)).drop("_base", "_order", "_n")
@@ -204,7 +216,7 @@ def to_inventory(objs_with_ids: DataFrame) -> DataFrame:
 
 
 def regroup_files(code: DataFrame) -> DataFrame:
-    """Converted blocks ``(path, pos, code)`` put together again, one row per source file.
+    """Converted blocks ``(path, pos, code)``, also with ``piece``, put together again, one row per source file.
 
     A group is one file: it holds no more than the file it was split from. Files are told apart by
     their whole path and written beside each other as in their folders; where two files of a folder
@@ -212,7 +224,7 @@ def regroup_files(code: DataFrame) -> DataFrame:
     name is doubled, so that no name is made twice. Names are numbered without their texts. Empty blocks are
     left out.
     """
-    blocks = F.array_sort(F.collect_list(F.struct("pos", "code")))
+    blocks = F.array_sort(F.collect_list(F.struct(*_place(code)[1:], "pos", "code")))
     folder = F.regexp_extract("path", r"(?s)^.*/", 0)
     own = F.replace(S.stem("path"), F.lit("#"), F.lit("##"))
     full = code.filter(F.coalesce(F.col("code"), F.lit("")) != "")

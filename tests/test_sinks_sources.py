@@ -56,6 +56,76 @@ def test_scan_reads_subfolders_and_bad_bytes(spark, tmp_path):
     assert corpus.scripts_of(everything).count() == 3
 
 
+BIG = "".join(
+    f"{'go' if i % 7 == 3 else ' GO ; ' if i % 7 == 5 else f'SELECT {i} /* Größe {i} */;'}{end}"
+    for i, end in enumerate(["\r\n", "\n", "\n", "\r"] * 60)
+)
+
+
+@pytest.fixture
+def mixed(tmp_path):
+    """A folder of small and big scripts, and a package that is big too."""
+    content = {
+        "small.sql": b"SELECT 1;\r\nGO\nSELECT 2;",
+        "deep/b c%20+y.sql": BIG.encode(),
+        "deep/one.dsql": b"CREATE VIEW v AS\n" + b"SELECT '\xff' AS x, \n" * 50 + b"1\nGO\n  \nGO\n",
+        "blank.sql": b"\nGO\n" * 100,
+        "p.dtsx": b"<x>" + b"GO\n" * 200 + b"</x>",
+        "empty.sql": b"",
+    }
+    for name, data in content.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    return str(tmp_path)
+
+
+def _statements(scripts):
+    place = [c for c in ("piece", "pos") if c in scripts.columns]
+    found = {}
+    for r in sorted(scripts.collect(), key=lambda r: (r.path, *[r[c] for c in place])):
+        found.setdefault(r.path, []).append(r.statement.strip())
+    return found
+
+
+@pytest.mark.parametrize("range_bytes", [37, 400, 1 << 20])
+def test_big_scripts_read_by_ranges_give_the_same_statements(spark, mixed, range_bytes):
+    from estatelens.plans.corpus import statements
+
+    whole = corpus.scan(spark, mixed)
+    want = _statements(statements(corpus.scripts_of(whole)))
+    package = corpus.packages_of(whole).first().xml
+    # one row per file is refused above the package's size now, and ranges are tiny
+    names = {"spark.sql.files.maxPartitionBytes": str(range_bytes), "spark.sql.sources.binaryFile.maxLength": "700"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        pieces = corpus.scan_pieces(spark, mixed, whole_bytes=100)
+        assert _statements(statements(corpus.scripts_of(pieces))) == want
+        assert [r.xml for r in corpus.packages_of(pieces).collect()] == [package]
+        batches = corpus.scan_batches(spark, mixed)
+        assert _statements(statements(batches)) == want
+        with pytest.raises(Exception, match="(?i)length|exceed"):
+            corpus.scan(spark, mixed).select("text").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_objects_of_pieces_keep_their_keys(spark, mixed):
+    from estatelens.plans import corpus as plans
+
+    def keyed(scripts):
+        return rows(plans.keyed_objects(scripts).select("path", "object_id", "object_type", "nodes"))
+
+    whole = corpus.scripts_of(corpus.scan(spark, mixed))
+    pieces = corpus.scripts_of(corpus.scan_pieces(spark, mixed, whole_bytes=100))
+    assert keyed(pieces) == keyed(whole)
+    none = corpus.scan_pieces(spark, mixed, "*.nothing")
+    assert none.count() == 0 and none.columns == ["path", "piece", "text"]
+
+
 def test_reports(spark, tmp_path):
     sheet = tmp_path / "jobs.csv"
     sheet.write_text("Function Name , Call-Count,other\nf,3,x\n,,\ng,n/a,\n,7,y\n")
