@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens import fixed_values as V
+from estatelens.session import durable
 
 RATE_KEYS = ["object_type", "complexity_level", "transpilability_status"]
 ESTIMATE_COLUMNS = [
@@ -26,29 +27,28 @@ def man_days(column: str | Column = "effort_md") -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("decimal(18,6)")
 
 
-def file_effort(inventory: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row per object with the three keys of the rate card.
+def rate_keys() -> list[Column]:
+    """The three keys of the rate card, from inventory and outcome columns.
 
     An object without an outcome counts as not transpilable here (the metrics count it as
     transpilable; both readings are kept).
     """
     package = F.col("platform") == V.PLATFORM_PACKAGE
-    found = outcomes.select("file_name", "engine", "model", "transpiled")
-    return inventory.join(found, "file_name", "left").select(
-        F.col("file_name").alias("object_name"),
+    level = F.when(F.col("categorization") == "HIGH", "Transformation").otherwise("Orchestration")
+    return [
         F.when(package, "SSIS Component").otherwise("SQL Statement").alias("object_type"),
-        F.when(
-            package,
-            F.when(F.col("categorization") == "HIGH", "Transformation").otherwise("Orchestration"),
-        )
-        .otherwise(F.col("categorization"))
-        .alias("complexity_level"),
+        F.when(package, level).otherwise(F.col("categorization")).alias("complexity_level"),
         F.when(F.col("transpiled"), "transpilable").otherwise("not_transpilable").alias(
             "transpilability_status"
         ),
-        "platform",
-        "engine",
-        "model",
+    ]
+
+
+def file_effort(inventory: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row per object with the three keys of the rate card."""
+    found = outcomes.select("file_name", "engine", "model", "transpiled")
+    return inventory.join(found, "file_name", "left").select(
+        F.col("file_name").alias("object_name"), *rate_keys(), "platform", "engine", "model"
     )
 
 
@@ -86,11 +86,30 @@ def overhead(priced: DataFrame, overheads: DataFrame) -> DataFrame:
 def effort_estimate(
     inventory: DataFrame, outcomes: DataFrame, card: DataFrame, overheads: DataFrame
 ) -> DataFrame:
-    """Priced objects followed by the overhead rows."""
-    priced = with_effort(file_effort(inventory, outcomes), card)
+    """Priced objects followed by the overhead rows.
+
+    Both the rows and their total are needed, so the priced objects are stored in the checkpoint folder:
+    inventory, outcomes and card meet once, and the total reads one column of what is stored.
+    """
+    priced = durable(with_effort(file_effort(inventory, outcomes), card))
     return priced.unionByName(overhead(priced, overheads))
 
 
+def with_overheads(total: str | Column, rates: str | Column) -> Column:
+    """A development total with its overheads on top, each rounded to two decimals as in the estimate.
+
+    ``rates`` is the array of ``overhead_rates``.
+    """
+    total = (F.col(total) if isinstance(total, str) else total).cast("decimal(28,6)")
+    shares = F.transform(rates, lambda rate: F.round(total * rate, 2).cast("double").cast("decimal(18,6)"))
+    return F.aggregate(shares, total, lambda so_far, share: (so_far + share).cast("decimal(28,6)"))
+
+
+def overhead_rates(overheads: DataFrame) -> Column:
+    """The rates of the overhead card, one per profile, as an array."""
+    return overheads.agg(F.collect_list(F.col("rate").cast("decimal(9,6)"))).scalar()
+
+
 def rate_usage(objects: DataFrame, card: DataFrame) -> DataFrame:
     """The rate card with the objects each rate prices; a rate nothing uses shows zero.
 

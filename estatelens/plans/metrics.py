@@ -15,7 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.plans.effort import effort_estimate, man_days
+from estatelens.plans.effort import (
+    RATE_KEYS,
+    effort_estimate,
+    man_days,
+    overhead_rates,
+    rate_keys,
+    with_overheads,
+)
 
 
 @dataclass(frozen=True)
@@ -212,22 +219,38 @@ def effort_metrics(
     )
 
 
-def kpi_sheet(assessment: MetricView, effort: MetricView) -> DataFrame:
-    """Three headline figures as (metric, value) rows of text."""
-    one = F.col
-    files = assessment.query(["Total Files", "Transpilability Rate"]).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("Total files").alias("metric"), one("`Total Files`").cast("string").alias("value")),
-                F.struct(
-                    F.lit("Transpilability %").alias("metric"),
-                    F.round(one("`Transpilability Rate`"), 1).cast("decimal(18,1)").cast("string").alias("value"),
-                ),
-            )
-        )
+def headline_metrics(inventory: DataFrame, outcomes: DataFrame, card: DataFrame) -> MetricView:
+    """Files and their man-days without overheads: inventory, outcomes and card met once."""
+    found = outcomes.select("file_name", "transpiled")
+    objects = inventory.join(found, "file_name", "left").select(
+        "file_name", F.coalesce("transpiled", F.lit(True)).alias("transpiled"), *rate_keys()
+    )
+    rates = card.select(*RATE_KEYS, man_days("effort_md_per_unit").alias("effort_md"))
+    return MetricView(
+        objects.join(rates, RATE_KEYS, "left"),
+        dimensions={},
+        measures={
+            "Total Files": DistinctCount("file_name"),
+            "Transpilable Files": DistinctCount("file_name", F.col("transpiled")),
+            "Transpilability Rate": Percent("Transpilable Files", "Total Files"),
+            "Development (MD)": Total(F.col("effort_md"), "decimal(28,6)"),
+        },
     )
-    days = effort.query(["Effort (MD)"]).select(
-        F.lit("Total effort (MD)").alias("metric"),
-        one("`Effort (MD)`").cast("decimal(18,2)").cast("string").alias("value"),
+
+
+def kpi_sheet(
+    inventory: DataFrame, outcomes: DataFrame, card: DataFrame, overheads: DataFrame
+) -> DataFrame:
+    """Three headline figures as (metric, value) rows of text, from one pass over the joined rows."""
+    figures = headline_metrics(inventory, outcomes, card).query(
+        ["Total Files", "Transpilability Rate", "Development (MD)"]
     )
-    return files.unionByName(days)
+    # a column of its own: a subquery may not stand inside a higher-order function
+    figures = figures.withColumn("_rates", overhead_rates(overheads))
+    shown = {
+        "Total files": F.col("Total Files"),
+        "Transpilability %": F.round("Transpilability Rate", 1).cast("decimal(18,1)"),
+        "Total effort (MD)": with_overheads("Development (MD)", "_rates").cast("decimal(18,2)"),
+    }
+    lines = [F.struct(F.lit(m).alias("metric"), v.cast("string").alias("value")) for m, v in shown.items()]
+    return figures.select(F.inline(F.array(*lines)))

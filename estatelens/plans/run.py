@@ -13,7 +13,7 @@ from estatelens import schemas
 from estatelens.plans import corpus, inventory, metrics, outcomes, packages
 from estatelens.session import durable
 from estatelens.sinks import files, tables
-from estatelens.sources.corpus import packages_of, scan, scripts_of
+from estatelens.sources.corpus import packages_of, scan_pieces, scripts_of
 from estatelens.sources.literals import overhead_card, rate_card
 
 
@@ -30,7 +30,7 @@ def assess(
     """
     tables.ensure_schema(spark, database)
     # the files are read once, cleaned once and split once; every later pass reads columns it needs
-    found = durable(scan(spark, folder))
+    found = durable(scan_pieces(spark, folder))
     scripts = durable(corpus.route_scripts(scripts_of(found)))
     pkgs = packages_of(found)
     objects = durable(corpus.objects(scripts))
@@ -95,14 +95,18 @@ def stage_failing(spark: SparkSession, database: str, folder: str) -> DataFrame:
 
 def metric_views(spark: SparkSession, database: str) -> dict[str, metrics.MetricView]:
     """The two metric views over the stored tables."""
-
-    def table(name: str) -> DataFrame:
-        return tables.read(spark, f"{database}.{name}")
-
-    details, results = table("job_details"), table("conversion_results")
+    details, results, card, overheads = _assessed(spark, database)
     return {
         "assessment_metrics": metrics.assessment_metrics(details, results),
-        "effort_metrics": metrics.effort_metrics(
-            details, results, table("effort_hypothesis"), table("overhead_hypothesis")
-        ),
+        "effort_metrics": metrics.effort_metrics(details, results, card, overheads),
     }
+
+
+def kpi_sheet(spark: SparkSession, database: str) -> DataFrame:
+    """The headline figures of the stored tables."""
+    return metrics.kpi_sheet(*_assessed(spark, database))
+
+
+def _assessed(spark: SparkSession, database: str) -> list[DataFrame]:
+    names = ["job_details", "conversion_results", "effort_hypothesis", "overhead_hypothesis"]
+    return [tables.read(spark, f"{database}.{name}") for name in names]

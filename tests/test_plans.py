@@ -59,17 +59,31 @@ def test_predicates_reach_the_scan(spark, name, pushed):
     assert pushed in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["eff_estimate", "dash_planning_detail", "met_assessment_total"])
+@pytest.mark.parametrize("name", ["eff_with_effort", "met_kpi_sheet", "met_assessment_total"])
 def test_texts_are_not_read_for_figures(spark, name):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, name))
     assert schemas and not any("text" in s for s in schemas)
 
 
 def test_the_card_is_broadcast_by_its_size(spark):
-    text = plan(spark, "eff_estimate")
+    text = plan(spark, "eff_with_effort")
     assert "BroadcastHashJoin" in text and "LocalTableScan" in text
 
 
+@pytest.mark.parametrize("name", ["eff_estimate", "dash_planning_detail", "met_effort_by_dim", "met_kpi_sheet"])
+def test_inventory_and_outcomes_meet_once(spark, name, monkeypatch):
+    from estatelens.plans import effort
+
+    stored, store = [], effort.durable
+    monkeypatch.setattr(effort, "durable", lambda df: stored.append(df) or store(df))
+    last = QUERIES[name](spark, SF)
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in [*stored, last]]
+    assert len(stored) == (name != "met_kpi_sheet")
+    # inventory and outcomes both come from the documents; the only other join is the rate card's
+    assert sum(len(re.findall(r"FileScan parquet.*documents", text)) for text in texts) == 2
+    assert sum(len(re.findall(r"\w+Join \[", text)) for text in texts) == 2
+
+
 def test_distinct_counts_need_no_expand(spark):
     text = plan(spark, "met_files_by_platform_complexity")
     assert "Expand" not in text and "partial_max" in text

@@ -71,7 +71,8 @@ def test_assessment_from_folder_to_figures(spark, folder):
         views = run.metric_views(spark, db)
         row = views["assessment_metrics"].query(["Total Files", "Transpilable Files"]).first()
         assert tuple(row) == (5, 4)
-        sheet = {r.metric: r.value for r in metrics.kpi_sheet(views["assessment_metrics"], views["effort_metrics"]).collect()}
+        sheet = {r.metric: r.value for r in run.kpi_sheet(spark, db).collect()}
+        assert views["effort_metrics"].query(["Effort (MD)"]).first()[0] == 1.89
         # three low SQL objects at 0.2, one rewrite at 0.6, one orchestration at 0.25; 30 % overhead
         assert sheet == {"Total files": "5", "Transpilability %": "80.0", "Total effort (MD)": "1.89"}
         summary = dashboard.migration_summary(tables.read(spark, f"{db}.job_details"), results)
