@@ -50,7 +50,7 @@ def scan_batches(
 
     Spark's line reader cuts a file into ranges at line ends. Each range counts its own ``GO`` lines and
     puts the lines between them together; the number of a batch is that count plus the counts of the
-    ranges before, and pieces of a batch that runs over ranges meet under that number. A task holds a range or
+    ranges before, and parts of a batch that runs over ranges meet under that number. A task holds a range or
     a batch, never a file; one batch is one row. A byte order mark at the start of a file is not kept.
     """
     lines = (
@@ -65,11 +65,12 @@ def scan_batches(
         )
         .withColumn("ends", is_batch_line(F.col("line")).cast("bigint"))
     )
-    so_far = Window.partitionBy("path", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    of_range = Window.partitionBy("path", "start")
+    so_far = of_range.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     parts = (
-        lines.withColumn("local", F.sum("ends").over(so_far))
+        lines.withColumns({"local": F.sum("ends").over(so_far), "all": F.sum("ends").over(of_range)})
         .filter(F.col("ends") == 0)
-        .groupBy("path", "start", "local")
+        .groupBy("path", "start", "local", "all")
         .agg(_joined(F.collect_list(F.struct("at", "line")), "line").alias("part"))
     )
     # one row per range of a file
@@ -79,12 +80,17 @@ def scan_batches(
         .agg(F.sum("ends").alias("ends"))
         .select("path", "start", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("before"))
     )
-    return (
-        parts.join(ranges, ["path", "start"])
-        .groupBy("path", (F.col("before") + F.col("local")).alias("piece"))
+    piece = (F.col("before") + F.col("local")).alias("piece")
+    # a part between two GO lines of its range is a batch already; only parts at the ends of ranges meet others
+    inside = (F.col("local") > 0) & (F.col("local") < F.col("all"))
+    batches = parts.filter(inside).join(ranges, ["path", "start"]).select("path", piece, F.col("part").alias("text"))
+    across = (
+        parts.filter(~inside)
+        .join(ranges, ["path", "start"])
+        .groupBy("path", piece)
         .agg(_joined(F.collect_list(F.struct("start", "part")), "part").alias("text"))
-        .filter(F.rlike("text", F.lit(r"\S")))
     )
+    return batches.unionByName(across).filter(F.rlike("text", F.lit(r"\S")))
 
 
 def _files(spark: SparkSession, format: str, folder: str, glob: str) -> DataFrame:
