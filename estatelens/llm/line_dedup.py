@@ -163,8 +163,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b = sets.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("codes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(a, ["doc_a", "line_a"])
-        .join(b, ["doc_b", "line_b"])
+        pairs.join(a.hint("merge"), ["doc_a", "line_a"])
+        .join(b.hint("merge"), ["doc_b", "line_b"])
         .where(common * 100 >= (F.size("x") + F.size("y") - common) * percent)
         .select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line"))
         .distinct()
@@ -192,7 +192,7 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
         )
     )
     several = heads.where("times > 1").select("set", "n", "head")
-    copies = spread_join(slim.select("doc_id", "line", "set", "n"), several, ["set", "n"])
+    copies = spread_join(slim.select("doc_id", "line", "set", "n"), several, ["set", "n"], salted=True)
     equal = durable(copies.where(place > F.col("head")).select("doc_id", "line"))
     # a set of n tokens is only ever similar to another one if n / (n + 1) reaches the threshold
     firsts = heads.where(F.col("n") * 100 >= (F.col("n") + 1) * t).select(
@@ -208,10 +208,9 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     first_pairs = durable(others.where(_may_match(t)).select(*keys).distinct())
     settled = durable(_verified(first_pairs, sets, t))
 
-    # lines that are still open, and all earlier ones
-    open_ = others.drop(*_sided("a").values()).join(
-        settled.withColumnsRenamed({"doc_id": "doc_b", "line": "line_b"}), ["doc_b", "line_b"], "left_anti"
-    )
+    # lines that are still open, and all earlier ones; a line is told by its key before its postings are made
+    still = sets.drop("codes").join(settled.hint("merge"), ["doc_id", "line"], "left_anti")
+    open_ = _postings(still).withColumnsRenamed(_sided("b"))
     earlier = postings.select("code", *CARRIED).withColumnsRenamed(_sided("a"))
     before = _earlier(F.col("doc_a"), F.col("line_a"), F.col("doc_b"), F.col("line_b"))
     rest = open_.join(earlier, "code").where(before & _may_match(t))
@@ -286,11 +285,23 @@ def _with_heads(postings: DataFrame) -> DataFrame:
 def _again(docs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
     """(doc_id, line, codes) of some lines, cut from the texts of their documents again.
 
-    Of rows that repeat an id, the lines of one number are one line here as before: the least codes stand for it.
+    The numbers of a document's lines come to its text, so texts are shuffled once, by document. Of rows that
+    repeat an id, the lines of one number are one line here as before: any of them stands for it.
     """
-    texts = docs.join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = lines_of(texts).join(lines, ["doc_id", "line"], "left_semi")
-    return found.select("doc_id", "line", _codes(F.col("text"), ranks).alias("codes")).dropDuplicates(["doc_id", "line"])
+
+    def line_at(i: Column) -> Column:
+        return F.struct(i.alias("line"), F.get("parts", i).alias("text"))
+
+    wanted = lines.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
+    found = (
+        docs.where("text IS NOT NULL")
+        .join(wanted.hint("merge"), "doc_id")
+        .select("doc_id", "wanted", F.split("text", "\n", -1).alias("parts"))
+        # numbers and lines go together before they become rows, so no row carries a whole text
+        .select("doc_id", F.explode(F.transform("wanted", line_at)).alias("w"))
+        .select("doc_id", "w.line", _codes(F.col("w.text"), ranks).alias("codes"))
+    )
+    return found.where(F.size("codes") > 0).dropDuplicates(["doc_id", "line"])
 
 
 def _marked(docs: DataFrame, like: Alike, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
@@ -299,7 +310,8 @@ def _marked(docs: DataFrame, like: Alike, id_col: str, text_col: str) -> tuple[D
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     lines = repeated_lines(slim, like).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("line").alias(gone))
     marked = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
-    return marked.join(durable(lines), F.col(key) == F.col(of), "left"), F.col(key), F.col(gone)
+    # by a shuffle at every size, as the lines grow with the documents
+    return marked.join(durable(lines).hint("merge"), F.col(key) == F.col(of), "left"), F.col(key), F.col(gone)
 
 
 def _kept_text(text: Column, gone: Column) -> Column:
