@@ -35,6 +35,8 @@ LOW_BITS = 63 - BUCKET_BITS
 KEY_BITS = 40
 #: Tokens up to which a line's sketch has 64 bits instead of 128.
 SHORT_SKETCH = 64
+#: What a line with words holds.
+A_WORD = r"[^\x20\x09-\x0D]"
 #: White space other than spaces and line feeds.
 BLANK = "\t\x0b\x0c\r"
 
@@ -58,7 +60,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")
     )
-    return lines.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return lines.where(F.rlike("text", F.lit(A_WORD)))
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -99,12 +101,6 @@ def _needed(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def _overlap(n: Column, m: Column, percent: int) -> Column:
-    """Tokens that two sets of n and m have to share: ceil(t / (1 + t) * (n + m))."""
-    whole = (n + m) * percent
-    return F.floor((whole + 99 + percent) / (100 + percent)).cast("int")
-
-
 def _earlier(doc_a, line_a, doc_b, line_b) -> Column:
     return (doc_a < doc_b) | ((doc_a == doc_b) & (line_a < line_b))
 
@@ -112,8 +108,8 @@ def _earlier(doc_a, line_a, doc_b, line_b) -> Column:
 def _may_match(percent: int, named: str = "{0}_{1}") -> Column:
     """Length, positional and odd-sketch filter on the columns ``CARRIED`` of a and b, ``named`` by side.
 
-    Sets of n and m tokens at the threshold t differ in (1 - t) / (1 + t) * (n + m) tokens at most, and
-    their odd sketches in no more bits than that.
+    Sets of n and m tokens at the threshold t share t / (1 + t) * (n + m) tokens at least and differ in
+    (1 - t) / (1 + t) * (n + m) at most, and their odd sketches in no more bits than that.
     """
 
     def of(name: str, side: str) -> Column:
@@ -129,7 +125,7 @@ def _may_match(percent: int, named: str = "{0}_{1}") -> Column:
     )
     return (
         (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-        & (behind >= _overlap(n, m, percent))
+        & (behind * (100 + percent) >= (n + m) * percent)
         & (apart * (100 + percent) <= (n + m) * (100 - percent))
     )
 
@@ -299,9 +295,10 @@ def _again(docs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
         .select("doc_id", "wanted", F.split("text", "\n", -1).alias("parts"))
         # numbers and lines go together before they become rows, so no row carries a whole text
         .select("doc_id", F.explode(F.transform("wanted", line_at)).alias("w"))
-        .select("doc_id", "w.line", _codes(F.col("w.text"), ranks).alias("codes"))
+        .where(F.rlike("w.text", F.lit(A_WORD)))
     )
-    return found.where(F.size("codes") > 0).dropDuplicates(["doc_id", "line"])
+    coded = found.select("doc_id", "w.line", _codes(F.col("w.text"), ranks).alias("codes"))
+    return coded.dropDuplicates(["doc_id", "line"])
 
 
 def _marked(docs: DataFrame, like: Alike, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
