@@ -184,6 +184,27 @@ def test_comments_nested_at_any_depth(frame, depth):
     assert len(scan(text)) == 4
 
 
+def test_usual_nested_comments_go_by_a_pattern(frame, monkeypatch):
+    """Mark by mark only where a comment is left open or nested deeper than the pattern goes."""
+    by_marks = X._split_nested
+    monkeypatch.setattr(X, "_split_nested", lambda batch: F.transform(by_marks(batch), lambda p: F.concat(F.lit("!"), p)))
+    rng = random.Random(11)
+    parts = ["/*", "/*", "*/", "*/", ";", "'", '"', "--", "\n", "a", "*", "/"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(4, 40))) for _ in range(2000)]
+    deep = X._PATTERN_DEPTH
+    texts += ["a; " + "/* ; " * d + "*/" * d + " b; c" for d in (2, deep, deep + 1)] + ["/* /* */ ; a", "/* /* */ */ ' ; b"]
+    got = run(frame, texts, X.split_semicolons)
+    for text, pieces in zip(texts, got):
+        assert [p.removeprefix("!") for p in pieces if p.removeprefix("!").strip()] == scan(text), text
+    assert [any(p.startswith("!") for p in pieces) for pieces in got[-5:]] == [False, False, True, True, False]
+
+
+def test_block_comments_end_at_the_first_mark(frame):
+    texts = ["a/*/b*/c*/d", "/***/x/**/", "/* * / **/y/*", "a/*\n*\n*/b", "*//*/", "/*" + "*" * 100_000 + "/z"]
+    want = [re.sub(r"(?s)/\*.*?\*/", "", t) for t in texts]
+    assert run(frame, texts, X.strip_comments) == want
+
+
 def test_many_nested_comments(frame):
     """A semicolon and a nested comment two hundred thousand times, marks that touch, and an open end."""
     one = "SELECT 1 /* a /* ; */ b */ ;"
