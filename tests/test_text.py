@@ -287,6 +287,18 @@ def test_flat_copy_keeps_the_last_file_of_a_name(frame):
     assert {r.path: r.text for r in got} == {"x.sql": "2", "y.sql": "3"}
 
 
+def test_blocks_are_made_once_for_texts_and_names(frame):
+    """The plan below the numbered names holds the costly blocks once, also for copies and odd paths."""
+    rows = [("d/a.x", 1, "2"), ("d/a.x", 0, "1"), ("d/a.y", 0, "3"), ("e/a.x", 0, "4"), ("d/b.x", 0, ""), (None, 0, "5")]
+    made = frame(rows, "path string, pos int, code string").withColumn("code", F.reverse(F.reverse("code")))
+    files = corpus.regroup_files(made)
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r.path, r.output_file): r.text.replace(V.BLOCK_SEPARATOR, "|") for r in files.collect()}
+    assert got == {
+        ("d/a.x", "d/converted_a.sql"): "1|2", ("d/a.y", "d/converted_a#2.sql"): "3", ("e/a.x", "e/converted_a.sql"): "4"
+    }
+
+
 def test_regrouped_files_keep_order(frame):
     rows = [("d/a.sql", 2, "C"), ("d/a.sql", 0, "A"), ("d/a.sql", 1, ""), ("e/a.sql", 0, "Z"), ("f.sql", 0, None), ("d/a.dsql", 0, "B")]
     got = corpus.regroup_files(frame(rows, "path string, pos int, code string")).collect()
