@@ -199,6 +199,34 @@ def test_usual_nested_comments_go_by_a_pattern(frame, monkeypatch):
     assert [any(p.startswith("!") for p in pieces) for pieces in got[-5:]] == [False, False, True, True, False]
 
 
+def test_cleaning_looks_once_for_each_start(frame):
+    scripts = frame([("a.sql", "x"), ("b.sql", None)], "path string, text string")
+    plan = corpus.clean_scripts(scripts)._jdf.queryExecution().optimizedPlan().toString()
+    # the pattern alone, not the one that goes on to the semicolon
+    assert [plan.count(start + ")") for start in (V.CREATE_STATISTICS, V.CREATE_INDEX)] == [1, 1]
+
+
+@pytest.mark.parametrize(
+    "pattern,plain",
+    [
+        (V.ROUTINE, r"(?isU)\bCREATE\s+(?:OR\s+ALTER\s+)?(?:PROC|PROCEDURE|FUNCTION|TRIGGER)\b"),
+        (V.CREATE_STATISTICS, r"(?isU)\bCREATE\s+STATISTICS\b"),
+        (V.CREATE_INDEX, r"(?isU)\bCREATE\s+(?:UNIQUE\s+)?(?:(?:NON)?CLUSTERED\s+)?INDEX\b"),
+        (V.VARCHAR_MINUS_ONE, r"(?iU)\b(n?varchar|n?char|varbinary)\s*\(\s*-1\s*\)"),
+        (V.WAREHOUSE_MARK, r"(?iU)\bDISTRIBUTION\s*=|\bCREATE\s+STATISTICS\b"),
+        (rf"(?iU){V.STORAGE_WORD}", r"(?iU)\b(?:DISTRIBUTION|HEAP|CLUSTERED|COLUMNSTORE|PARTITION)\b"),
+        (rf"(?iU){V.WITH_OPEN}", r"(?iU)\bWITH\b\s*\("),
+    ],
+)
+def test_a_letter_before_a_word_boundary_changes_nothing(frame, pattern, plain):
+    rng = random.Random(5)
+    words = "create CREATE Create statistics STATI\u017fTICS unique index proc TRIGGER nvarchar NCHAR varbinary distribution "
+    words += "heap Clustered PARTITION\u0301 with _with \u00e9create xcreate 9heap = ( -1 ) (-1) \u0130NDEX \u212aheap"
+    texts = ["".join(w + rng.choice(["", " ", "\n", "\u00a0"]) for w in rng.choices(words.split(), k=8)) for _ in range(1500)]
+    got = run(frame, texts, lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    assert got == run(frame, texts, lambda c: F.regexp_extract_all(c, F.lit(plain), F.lit(0)))
+
+
 def test_block_comments_end_at_the_first_mark(frame):
     texts = ["a/*/b*/c*/d", "/***/x/**/", "/* * / **/y/*", "a/*\n*\n*/b", "*//*/", "/*" + "*" * 100_000 + "/z"]
     want = [re.sub(r"(?s)/\*.*?\*/", "", t) for t in texts]
