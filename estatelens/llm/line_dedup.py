@@ -3,7 +3,7 @@
 A line is the set of its words; lines without words always stay. It goes if an earlier line, by document
 id and line number, has a set with a Jaccard similarity of ``percent`` or more.
 
-* Tokens are 63-bit codes whose order is their rarity. Words are counted over the whole corpus by 65,536
+* Tokens are 64-bit codes whose order is their rarity. Words are counted over the whole corpus by 65,536
   buckets of their hash, and a bucket's rank by its count leads the code. The array of ranks has a fixed
   size, so codes need no join, and as a code depends on the word alone, the order is the same in every line.
 * Lines with equal sets are one; all but the first go at once, and only the first goes on.
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from estatelens.llm.workers import free
-from estatelens.operators.skew import hot_keys, spread_join
+from estatelens.operators.skew import SALTS, hot_keys
 from estatelens.session import durable
 
 BUCKET_BITS = 16
-LOW_BITS = 63 - BUCKET_BITS
+LOW_BITS = 64 - BUCKET_BITS
 #: Bits of a code that bring postings together.
 KEY_BITS = 40
 #: Tokens up to which a line's sketch has 64 bits instead of 128.
@@ -49,10 +50,15 @@ class Alike:
 
 
 def _words(text: Column) -> Column:
-    """Words of a text without line feeds. Splitting at one sign is quick; other white space is rare."""
+    """Words of a text without line feeds."""
+    return F.array_remove(_pieces(text), "")
+
+
+def _pieces(text: Column) -> Column:
+    """Words of a text without line feeds, and empty strings. Splitting at one sign is quick; other white space is rare."""
     other = [F.contains(text, F.lit(c)) for c in BLANK]
     spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(text, f"[{BLANK}]", " "))
-    return F.array_remove(F.split(F.coalesce(spaced, text), " "), "")
+    return F.split(F.coalesce(spaced, text), " ")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -64,17 +70,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The rank of each bucket of words by its count over all texts.
+    """For each bucket of words what turns its hashes into codes, by the bucket's rank over all texts.
 
-    Words are counted by bucket before any shuffle; the driver sees one number per bucket. The ranks are a
-    literal because lambdas take no subqueries.
+    Words are counted by bucket before any shuffle; the driver sees one number per bucket. The numbers are a
+    literal because lambdas take no subqueries. Each holds, in the bits of the bucket, the bucket xor its rank:
+    xor with a hash leaves the rank there, so a code takes one operation. Ranks count from the least signed number on.
     """
-    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = docs.select(F.explode(_pieces(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()
     ranks = [0] * (1 << BUCKET_BITS)
     for rank, row in enumerate(sorted(counts, key=lambda r: (r["count"], r["b"]))):
         ranks[row["b"]] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    half = 1 << (BUCKET_BITS - 1)
+    turns = [((b ^ rank ^ half) - ((b ^ rank ^ half) >= half) * 2 * half) << LOW_BITS for b, rank in enumerate(ranks)]
+    return F.split(F.lit(",".join(map(str, turns))), ",").cast("array<bigint>")
 
 
 def _bucket(h: Column) -> Column:
@@ -85,12 +94,11 @@ def _low(h: Column, bits: int) -> Column:
     return h.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _codes(line: Column, ranks: Column) -> Column:
+def _codes(line: Column, turns: Column) -> Column:
     """The distinct words of a line as codes, rarest first."""
 
     def code(h: Column) -> Column:
-        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("long"))
-        return F.shiftleft(rank, LOW_BITS).bitwiseOR(_low(h, LOW_BITS))
+        return h.bitwiseXOR(F.coalesce(F.get(turns, _bucket(h)), F.lit(0).cast("long")))
 
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, code))
@@ -149,8 +157,7 @@ def _sketch() -> dict[str, Column]:
 
 def _prefix(percent: int) -> Column:
     n = F.size("codes")
-    rare = F.slice("codes", F.lit(1), n - _needed(n, percent) + 1)
-    return F.transform(rare, lambda c: _low(c, KEY_BITS))
+    return F.slice("codes", F.lit(1), n - _needed(n, percent) + 1)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,21 +186,14 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
         )
     )
 
-    # equal sets: the first line stays, and what a posting says follows from the set alone
-    place = F.struct("doc_id", "line")
-    heads = durable(
-        slim.groupBy("set", "n").agg(
-            F.min(place).alias("head"), F.count("*").alias("times"),
-            *[F.any_value(c).alias(c) for c in ("prefix", "low", "high")],
-        )
-    )
-    several = heads.where("times > 1").select("set", "n", "head")
-    copies = spread_join(slim.select("doc_id", "line", "set", "n"), several, ["set", "n"], salted=True)
-    equal = durable(copies.where(place > F.col("head")).select("doc_id", "line"))
+    placed = durable(_with_first(slim))
+    # of the sets dealt out, the first lines of all deals meet here
+    among = Window.partitionBy("set", "n").orderBy("doc_id", "line")
+    dealt = _told(placed.where("dealt AND NOT again").drop("again"), among)
+    equal = placed.where("again").unionByName(dealt.where("again")).select("doc_id", "line")
     # a set of n tokens is only ever similar to another one if n / (n + 1) reaches the threshold
-    firsts = heads.where(F.col("n") * 100 >= (F.col("n") + 1) * t).select(
-        "head.doc_id", "head.line", "n", "prefix", "low", "high"
-    )
+    firsts = placed.where("NOT dealt AND NOT again").unionByName(dealt.where("NOT again"))
+    firsts = firsts.where(F.col("n") * 100 >= (F.col("n") + 1) * t)
     lines = durable(_plausible(_postings(firsts), t))
     sets = durable(_again(docs, lines, ranks).withColumns({"n": F.size("codes"), "prefix": _prefix(t)} | _sketch()))
     postings = durable(_with_heads(_postings(sets)))
@@ -215,8 +215,36 @@ def repeated_lines(docs: DataFrame, like: Alike = Alike()) -> DataFrame:
     return durable(equal.unionAll(settled).unionAll(more).distinct())
 
 
+def _told(lines: DataFrame, by_set: WindowSpec) -> DataFrame:
+    """The first line of each group and, with ``again``, those at later places.
+
+    Rows that repeat the first line's id and number are left out.
+    """
+    upto = by_set.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = {"at": F.row_number().over(by_set)} | {f"{c}_a": F.first(c).over(upto) for c in ("doc_id", "line")}
+    later = (F.col("doc_id") > F.col("doc_id_a")) | (F.col("line") > F.col("line_a"))
+    found = lines.withColumns(first).where((F.col("at") == 1) | later).withColumn("again", F.col("at") > 1)
+    return found.drop(*first)
+
+
+def _with_first(slim: DataFrame) -> DataFrame:
+    """Lines of equal sets told apart: ``again`` is false for the first of each set, true for those that go.
+
+    One shuffle by set: a running window carries the first line along. The few sets that hold a large share of
+    all lines would be one task each; they are dealt out (``dealt``), and each deal has a first line.
+    """
+    keys = ["set", "n"]
+    hot = hot_keys(slim, keys, [*keys, "doc_id", "line"]).scalar()
+    is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*keys)), F.lit(False))
+    deal = F.when(F.col("dealt"), F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = slim.withColumn("dealt", is_hot).withColumn("deal", deal)
+    by_set = Window.partitionBy(*keys, "deal").orderBy("doc_id", "line")
+    return _told(dealt, by_set).drop("deal")
+
+
 def _postings(lines: DataFrame) -> DataFrame:
-    return lines.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("i", "code"))
+    each = lines.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("i", "code"))
+    return each.withColumn("code", _low(F.col("code"), KEY_BITS))
 
 
 def _plausible(postings: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +257,7 @@ def _plausible(postings: DataFrame, percent: int) -> DataFrame:
     a, b = postings.alias("a"), postings.alias("b")
     other = (F.col("a.doc_id") != F.col("b.doc_id")) | (F.col("a.line") != F.col("b.line"))
     same = F.col("a.code") == F.col("b.code")
-    partner = same & other & _may_match(percent, "{1}.{0}")
+    partner = same & _may_match(percent, "{1}.{0}") & other
     return b.join(a, partner, "left_semi").select("doc_id", "line").distinct()
 
 
@@ -291,7 +319,7 @@ def _again(docs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
     wanted = lines.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
     found = (
         docs.where("text IS NOT NULL")
-        .join(wanted.hint("merge"), "doc_id")
+        .join(wanted.hint("shuffle_hash"), "doc_id")
         .select("doc_id", "wanted", F.split("text", "\n", -1).alias("parts"))
         # numbers and lines go together before they become rows, so no row carries a whole text
         .select("doc_id", F.explode(F.transform("wanted", line_at)).alias("w"))
@@ -308,7 +336,7 @@ def _marked(docs: DataFrame, like: Alike, id_col: str, text_col: str) -> tuple[D
     lines = repeated_lines(slim, like).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("line").alias(gone))
     marked = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
     # by a shuffle at every size, as the lines grow with the documents
-    return marked.join(durable(lines).hint("merge"), F.col(key) == F.col(of), "left"), F.col(key), F.col(gone)
+    return marked.join(durable(lines).hint("shuffle_hash"), F.col(key) == F.col(of), "left"), F.col(key), F.col(gone)
 
 
 def _kept_text(text: Column, gone: Column) -> Column:

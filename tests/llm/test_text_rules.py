@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from estatelens.llm import line_dedup
 from estatelens.llm.line_dedup import Alike, dedup_lines, line_report
 from estatelens.llm.quality import Rules, good_documents, quality
 from estatelens.llm.secrets import find_secrets, redact
@@ -118,6 +120,41 @@ def test_line_report(documents):
     assert line_report(documents(rows).where("doc_id > 10"), Alike()).count() == 0
 
 
+def test_equal_lines_meet_in_one_shuffle(spark):
+    rows = [(d, i, 5, 7 if d % 2 else 100 + d * 3 + i, [1], d, 0) for d in range(40, 0, -1) for i in range(3)]
+    rows += [(50, 0, 5, 103, [1], 1, 0), (2, 0, 5, 106, [1], 2, 0), (1, 0, 5, 7, [1], 1, 0)]
+    slim = spark.createDataFrame(rows, "doc_id long, line int, n int, set long, prefix array<long>, low long, high long")
+    placed = line_dedup._with_first(slim)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(set") == 1 and "SortAggregate" not in plan
+    found = placed.collect()
+    # the set 7 is held by most lines: some deals of it, each with a first line that meets the others later
+    firsts = [r for r in found if not r.again]
+    assert sum(r.set == 7 for r in firsts) > 1 and all(r.dealt for r in firsts if r.set == 7)
+    assert min((r.doc_id, r.line) for r in firsts if r.set == 7) == (1, 0)
+    at = [(r.doc_id, r.line) for r in found]
+    assert len(at) == len(set(at)) and set(at) == {r[:2] for r in rows}
+
+
+def test_many_copies_of_a_line(documents):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(d, " ".join(words[d % 8 :] + words[: d % 8]) + f"\nown{d} line{d} of{d} the{d}") for d in range(90)]
+    rows += [(200, " ".join([*words, "iota"])), (201, " ".join(words[:4]))]
+    assert {r.doc_id: r.text for r in line_report(documents(rows)).collect()} == brute.line_dedup(rows)
+
+
+def test_codes_put_rare_words_first(documents):
+    rows = [(d, "often often now") for d in range(9)] + [(10, "now seldom often")]
+    docs = documents(rows)
+    turns = line_dedup.rarity(docs)
+    coded = docs.where("doc_id = 10").select(line_dedup._codes(F.col("text"), turns).alias("codes"))
+    # the rank takes one xor, nothing is shifted or masked word by word
+    assert "shiftleft" not in coded._jdf.queryExecution().analyzed().toString()
+    hashes = {w: v for w, v in docs.sparkSession.sql(
+        "select w, xxhash64(w) & 281474976710655 from values ('seldom'), ('now'), ('often') v(w)").collect()}
+    assert [c & ((1 << 48) - 1) for c in coded.first().codes] == [hashes[w] for w in ("seldom", "now", "often")]
+
+
 def quality_rows():
     rng = random.Random(8)
 
